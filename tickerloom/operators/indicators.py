@@ -79,12 +79,16 @@ def add_ema(bars: DataFrame, span: int = 20, close: str = "close") -> DataFrame:
     held = F.pow(F.lit(1.0 - alpha), (F.col("_row") - F.col("_prev")).cast("double"))
     keep = F.when(price.isNotNull() & F.col("_prev").isNotNull(), held / (held + alpha))
     df = bars.withColumns({"_row": row, "_prev": last_seen, "_seen": seen}).withColumn("_keep", keep)
+    # Rows without a gap before them all decay alike: counting them is exact, summing logs is not.
+    regular = (F.col("_row") - F.col("_prev")) == 1
+    steps = F.count(F.when(F.col("_keep").isNotNull() & regular, 1)).over(so_far())
+    gaps = F.coalesce(F.sum(F.when(~regular, F.ln("_keep"))).over(so_far()), F.lit(0.0))
     df = df.withColumns(
         {
             "_impulse": F.when(price.isNotNull() & F.col("_prev").isNull(), price).when(
                 price.isNotNull(), price * (1 - F.col("_keep"))
             ),
-            "_decay": F.coalesce(F.sum(F.ln("_keep")).over(so_far()), F.lit(0.0)),
+            "_decay": steps * F.lit(math.log(1.0 - alpha)) + gaps,
         }
     )
     df = linear_recurrence(df, ["symbol"], "date", {"_ema": "_impulse"}, "_decay")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.constants import BETA_WINDOWS, TIMEFRAME_MONTHS
-from tickerloom.operators.indicators import by_symbol, last_rows
+from tickerloom.operators.indicators import by_symbol, so_far
 from tickerloom.operators.keys import DataQualityError, assert_unique, require_columns
 
 RETURNS = ["simple_return", "log_return"]
@@ -127,19 +127,34 @@ def add_rolling_beta(
     if not windows or any(n < 2 for n in windows):
         raise ValueError("beta windows must be integers of at least 2")
     require_columns(aligned, ["symbol", "date", stock, market], "aligned returns")
-    y, x = F.col(stock), F.col(market)
+    y, x, w = F.col(stock), F.col(market), by_symbol()
+    zero = F.lit(0.0)
     pair = y.isNotNull() & x.isNotNull()
+    changed = ~x.eqNullSafe(F.lag(x, 1).over(w))
+    # Running totals: a window of any length is the difference of two of them, so its cost does not
+    # depend on its length.
+    totals = {
+        "_n": F.count(x), "_x": F.sum(F.coalesce(x, zero)), "_xx": F.sum(F.coalesce(x * x, zero)),
+        "_np": F.count(F.when(pair, 1)), "_y": F.sum(F.when(pair, y).otherwise(zero)),
+        "_xy": F.sum(F.when(pair, x * y).otherwise(zero)),
+    }
+    df = aligned.withColumns({"_row": F.row_number().over(w), "_changed": changed})
+    df = df.withColumns(
+        {k: v.over(so_far()) for k, v in totals.items()}
+        | {"_last_change": F.max(F.when(F.col("_changed"), F.col("_row"))).over(so_far())}
+    )
     columns: dict[str, Column] = {}
     for n in windows:
-        w = last_rows(n)
-        n_obs = F.count(F.when(pair, 1)).over(w)
-        variance = F.when(F.count(x).over(w) == n, F.var_samp(x).over(w))
-        covariance = F.covar_samp(y, x).over(w)
-        flat = F.max(x).over(w) == F.min(x).over(w)
-        columns[f"beta_{n}"] = F.when((n_obs == n) & ~flat, F.try_divide(covariance, variance))
-        columns[f"beta_{n}_n_obs"] = n_obs
+        s = {k: F.col(k) - F.coalesce(F.lag(k, n).over(w), F.lit(0)) for k in totals}
+        variance = F.when(s["_n"] == n, F.greatest((s["_xx"] - s["_x"] * s["_x"] / n) / (n - 1), zero))
+        # Decided by the rows, not by a rounded sum: no change inside the window, no variance.
+        flat = F.col("_last_change") <= F.col("_row") - (n - 1)
+        variance = F.when(flat & variance.isNotNull(), zero).otherwise(variance)
+        covariance = (s["_xy"] - s["_x"] * s["_y"] / n) / (n - 1)
+        columns[f"beta_{n}"] = F.when((s["_np"] == n) & ~flat, F.try_divide(covariance, variance))
+        columns[f"beta_{n}_n_obs"] = s["_np"]
         columns[f"benchmark_variance_{n}"] = variance
-    return aligned.withColumns(columns)
+    return df.withColumns(columns).drop("_row", "_changed", "_last_change", *totals)
 
 
 def compare_betas(calculated: DataFrame, provider: DataFrame, windows: Sequence[int] = BETA_WINDOWS) -> DataFrame:
@@ -302,6 +317,27 @@ def comparison_summary(history: DataFrame, benchmark: str, months: dict[str, int
     )
 
 
+def indexed_comparison_days(history: DataFrame, benchmark: str, days: dict[str, int]) -> DataFrame:
+    """Day-count variant: the window ends on the stock's own last day; one summary per pair."""
+    market = _one_row_per_day(
+        history.where((F.col("symbol") == benchmark) & F.col("adjusted_close").isNotNull()).select(
+            "date", F.col("adjusted_close").alias("benchmark_adjusted_close")
+        ),
+        ["benchmark_adjusted_close"],
+    )
+    stock = history.where(F.col("symbol") != benchmark).select("symbol", "date", "adjusted_close")
+    pairs = lookback_days(stock, days).dropna(subset=["adjusted_close"]).join(market, "date")
+    s, b = F.col("adjusted_close"), F.col("benchmark_adjusted_close")
+    per_pair = pairs.groupBy("symbol", "timeframe").agg(
+        F.count(F.lit(1)).alias("n_days"),
+        ((F.max_by(s, "date") / F.min_by(s, "date")) * 100 - 100).alias("stock_change_pct"),
+        ((F.max_by(b, "date") / F.min_by(b, "date")) * 100 - 100).alias("benchmark_change_pct"),
+    )
+    return per_pair.where("n_days >= 2").withColumn(
+        "excess_pct", F.col("stock_change_pct") - F.col("benchmark_change_pct")
+    )
+
+
 def comparison_long(indexed: DataFrame) -> DataFrame:
     """Two indexed series per pair stacked into rows; the suffix goes away in the series name."""
     return (

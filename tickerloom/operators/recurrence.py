@@ -2,8 +2,9 @@
 
 ``y[k] = p[k] * y[k-1] + u[k]`` with ``0 < p <= 1`` equals ``exp(L[k]) * sum(u[i] * exp(-L[i]))`` for
 ``i <= k``, where ``L`` is the running sum of ``ln p``. The exponent is reset every ``SPAN`` units of
-decay so that nothing overflows; one reset span shrinks older values by ``exp(-SPAN)``, far below
-double precision, so only the span just before can still be felt and one carried value is enough.
+decay so that nothing overflows; one reset span shrinks older values by ``exp(-SPAN)``, below double
+precision, so only the span just before can still be felt and one carried value is enough. A short
+span also keeps the exponents, and with them the rounding error of ``exp``, small.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SPAN = 300.0
+SPAN = 40.0
 
 
 def linear_recurrence(
