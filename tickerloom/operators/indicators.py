@@ -120,7 +120,8 @@ def add_rsi(bars: DataFrame, period: int = 14, close: str = "close") -> DataFram
     later = F.col("_at") > period
 
     def impulse(column: str) -> Column:
-        return F.when(start, F.avg(column).over(last_rows(period))).when(later, F.col(column) / period)
+        # The first row has no move and counts as zero, so the running sum is that of the first moves.
+        return F.when(start, F.sum(column).over(first_moves) / period).when(later, F.col(column) / period)
 
     df = df.withColumns(
         {

@@ -52,17 +52,18 @@ def with_range(df: DataFrame, order: Sequence[str], keys_from: DataFrame | None
 
 
 def _offsets(ranged: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
-    """Rows before each range of a group, and rows of the group. At most groups + RANGES rows."""
+    """Rows before each range of a group, in it, and in the group. At most groups + RANGES rows."""
     inside = W.partitionBy(*group)
     before = inside.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     return (
         ranged.groupBy(*group, "_range")
-        .agg(F.sum(weight).alias("_n"))
+        .agg(F.sum(weight).alias("_held"))
         .select(
             *group,
             "_range",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            F.sum("_n").over(inside).alias("n_group"),
+            "_held",
+            F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"),
+            F.sum("_held").over(inside).alias("n_group"),
         )
     )
 
@@ -85,7 +86,7 @@ def rank_table(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     smaller = W.partitionBy(*group, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     out = (
         ranged.withColumn("_within", F.coalesce(F.sum("n_equal").over(smaller), F.lit(0)))
-        .join(offsets, [*group, "_range"])
+        .join(offsets.drop("_held"), [*group, "_range"])
         .select(*group, value, "n_equal", (F.col("_before") + F.col("_within")).alias("n_less"), "n_group")
     )
     return out.drop("_all")
@@ -100,7 +101,7 @@ def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str]) ->
     w = W.partitionBy(*group, "_range").orderBy(*order)
     return (
         ranged.withColumn("_row", F.row_number().over(w))
-        .join(offsets, [*group, "_range"])
+        .join(offsets.drop("_held"), [*group, "_range"])
         .withColumn("position", F.col("_before") + F.col("_row") - 1)
         .drop("_all", "_range", "_before", "_row")
     )
@@ -110,28 +111,65 @@ def _holds(position: Column) -> Column:
     return (F.col("n_less") <= position) & (position < F.col("n_less") + F.col("n_equal"))
 
 
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+def _near_positions(
+    df: DataFrame, group: Sequence[str], value: str, positions: Sequence[Column], few_groups: bool
+) -> DataFrame:
+    """The part of the rank table that covers ``positions`` (expressions over ``n_group``).
+
+    Ranges are counted first; only the ranges that hold a wanted position are read again, tallied and
+    ordered, so the values as a whole are never shuffled or sorted. With ``few_groups`` (features,
+    bins, no group at all) the list of wanted ranges, two per group and position, is broadcast;
+    otherwise it is joined like any other table.
+    """
+    ranged = with_range(df.where(F.col(value).isNotNull()).select(*group, value), [*group, value])
+    offsets = _offsets(ranged, group, F.lit(1))
+    hit = F.lit(False)
+    for at in positions:
+        hit = hit | ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_held")))
+    wanted = offsets.where(hit).drop("_held")
+    tally = (
+        ranged.join(F.broadcast(wanted) if few_groups else wanted, [*group, "_range"])
+        .groupBy(*group, "_range", "_before", "n_group", value)
+        .agg(F.count(F.lit(1)).alias("n_equal"))
+    )
+    smaller = W.partitionBy(*group, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return tally.withColumn("n_less", F.col("_before") + F.coalesce(F.sum("n_equal").over(smaller), F.lit(0)))
+
+
+def exact_quantiles(
+    df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float], few_groups: bool = True
+) -> DataFrame:
     """Linear-interpolation quantiles, one column per entry of ``quantiles``, one row per group."""
     for q in quantiles.values():
         if not 0 <= q <= 1:
             raise ValueError(f"quantile outside 0-1: {q}")
-    ranks = rank_table(df, group, value)
+    keys = list(group) or ["_all"]
+    source = df if group else df.withColumn("_all", F.lit(0))
+    places = {name: (F.col("n_group") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
+    near = _near_positions(
+        source, keys, value, [f(at) for at in places.values() for f in (F.floor, F.ceil)], few_groups
+    )
     picks, columns = [], []
-    for name, q in quantiles.items():
-        at = (F.col("n_group") - 1) * F.lit(float(q))
-        low, high = F.floor(at), F.ceil(at)
+    for name, at in places.items():
         picks += [
-            F.max(F.when(_holds(low), F.col(value))).alias(f"_{name}_low"),
-            F.max(F.when(_holds(high), F.col(value))).alias(f"_{name}_high"),
-            F.max(at - low).alias(f"_{name}_share"),
+            F.max(F.when(_holds(F.floor(at)), F.col(value))).alias(f"_{name}_low"),
+            F.max(F.when(_holds(F.ceil(at)), F.col(value))).alias(f"_{name}_high"),
+            F.max(at - F.floor(at)).alias(f"_{name}_share"),
         ]
         lo, hi = F.col(f"_{name}_low"), F.col(f"_{name}_high")
         columns.append((lo + (hi - lo) * F.col(f"_{name}_share")).alias(name))
-    return ranks.groupBy(*group).agg(*picks).select(*group, *columns)
+    return _per_group(near, group, picks).select(*group, *columns)
+
+
+def _per_group(near: DataFrame, group: Sequence[str], picks: list[Column]) -> DataFrame:
+    """One row per group; without a group always one row, even of nothing."""
+    return near.groupBy(*group).agg(*picks) if group else near.agg(*picks)
 
 
-def upper_median(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
+def upper_median(df: DataFrame, group: Sequence[str], value: str, name: str, few_groups: bool = True) -> DataFrame:
     """Element at index floor(n/2) of the sorted values: the larger middle one when n is even."""
-    ranks = rank_table(df, group, value)
+    keys = list(group) or ["_all"]
+    source = df if group else df.withColumn("_all", F.lit(0))
     middle = F.floor(F.col("n_group") / 2)
-    return ranks.groupBy(*group).agg(F.max(F.when(_holds(middle), F.col(value))).alias(name))
+    near = _near_positions(source, keys, value, [middle], few_groups)
+    return _per_group(near, group, [F.max(F.when(_holds(middle), F.col(value))).alias(name)])

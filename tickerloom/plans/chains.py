@@ -48,7 +48,8 @@ def aligned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_of(spark: SparkSession, folder: str):
-    return features(spark, folder).agg(F.max("date")).scalar()
+    """Latest trading day, as a scalar subquery."""
+    return tables.table(spark, folder, "lineitem").agg(F.max(F.to_date("l_shipdate"))).scalar()
 
 
 def fundamentals(spark: SparkSession, folder: str) -> DataFrame:

@@ -178,8 +178,8 @@ def fact_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def identity(spark: SparkSession, folder: str) -> DataFrame:
-    nation = table(spark, folder, "nation")  # 25 fixed rows
-    s = suppliers(spark, folder).join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    nation = table(spark, folder, "nation")
+    s = suppliers(spark, folder).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return s.select(
         "symbol",
         F.col("s_name").alias("company_name"),
