@@ -18,7 +18,7 @@ SUBMISSION_SCHEMA = (
 def read_documents(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """``symbol, document`` from a folder of ``<SYMBOL><suffix>`` files, one document per file."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(path)
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
     return files.select(F.regexp_replace(name, f"{suffix}$", "").alias("symbol"), F.col("value").alias("document"))
 
 
