@@ -114,3 +114,9 @@ def test_full_chain_plan_has_one_shuffle_and_no_python(spark):
     plan = ind.add_all(series(spark, range(1, 60)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") == 1
     assert "SinglePartition" not in plan and "Python" not in plan
+
+
+def test_repeated_days_fail(spark):
+    df = series(spark, range(1, 30))
+    with pytest.raises(Exception, match="duplicate symbol/date keys: A"):
+        ind.add_momentum(df.unionByName(df)).collect()

@@ -45,6 +45,14 @@ def positive(value: Column, what: str) -> Column:
     return F.when(value <= 0, F.raise_error(F.lit(f"{what} must be strictly positive")).cast("double")).otherwise(value)
 
 
+def once_per_day(value: Column, what: str) -> Column:
+    """The value itself; a second row of the same symbol and day fails the job. Uses the window that
+    the indicators need anyway, so the check costs no exchange."""
+    repeated = F.lag("date", 1).over(by_symbol()) == F.col("date")
+    error = F.raise_error(F.concat(F.lit(f"{what} contains duplicate symbol/date keys: "), F.col("symbol")))
+    return F.when(repeated, error.cast("double")).otherwise(value)
+
+
 def add_returns(bars: DataFrame, close: str = "close") -> DataFrame:
     require_columns(bars, ["symbol", "date", close], "returns input")
     price = F.col(close)
@@ -174,7 +182,7 @@ def add_momentum(bars: DataFrame, periods: Sequence[int] = MOMENTUM_PERIODS, clo
     at = F.row_number().over(by_symbol()) - 1
     columns: dict[str, Column] = {}
     for n in periods:
-        columns[f"momentum_{n}d"] = _change(F.col(close), n)
+        columns[f"momentum_{n}d"] = once_per_day(_change(F.col(close), n), "momentum input")
         columns[f"momentum_{n}d_n_obs"] = F.least(at, F.lit(n)).cast("long")
     return bars.withColumns(columns)
 

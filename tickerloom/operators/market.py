@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.constants import BETA_WINDOWS, TIMEFRAME_MONTHS
-from tickerloom.operators.indicators import by_symbol, so_far
+from tickerloom.operators.indicators import by_symbol, once_per_day, so_far
 from tickerloom.operators.keys import DataQualityError, assert_unique, require_columns
 
 RETURNS = ["simple_return", "log_return"]
@@ -151,7 +151,8 @@ def add_rolling_beta(
         flat = F.col("_last_change") <= F.col("_row") - (n - 1)
         variance = F.when(flat & variance.isNotNull(), zero).otherwise(variance)
         covariance = (s["_xy"] - s["_x"] * s["_y"] / n) / (n - 1)
-        columns[f"beta_{n}"] = F.when((s["_np"] == n) & ~flat, F.try_divide(covariance, variance))
+        beta = F.when((s["_np"] == n) & ~flat, F.try_divide(covariance, variance))
+        columns[f"beta_{n}"] = once_per_day(beta, "aligned returns")
         columns[f"beta_{n}_n_obs"] = s["_np"]
         columns[f"benchmark_variance_{n}"] = variance
     return df.withColumns(columns).drop("_row", "_changed", "_last_change", *totals)
