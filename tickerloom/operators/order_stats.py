@@ -37,18 +37,29 @@ def _split_points(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
-def with_range(df: DataFrame, order: Sequence[str], keys_from: DataFrame | None = None) -> DataFrame:
-    """Add ``_range``: how many split points are at or below the row's key (binary search)."""
-    points = _split_points(keys_from if keys_from is not None else df, order).scalar()
-    steps = F.array(*[F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())])
+def _first_above(element, low: int, high: int, key: Column) -> Column:
+    """How many of ``element(low) .. element(high - 1)``, which ascend, are at or below ``key``, plus
+    ``low``; an element past the end of the array is null and counts as above."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(element(middle) <= key, _first_above(element, middle + 1, high, key)).otherwise(
+        _first_above(element, low, middle, key)
+    )
+
 
-    def advance(at: Column, step: Column) -> Column:
-        reached = F.get(F.col("_splits"), at + step - 1) <= F.struct(*order)
-        return at + F.when(reached, step).otherwise(F.lit(0))
+def with_range(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``_range``: how many split points are at or below the row's key.
 
+    Two searches of 15 compiled comparisons each: every sixteenth split point, then those between.
+    """
+    points = _split_points(df, order).scalar()
+    keyed = df.withColumns({"_splits": points, "_key": F.struct(*order)})
+    splits, key, top = F.col("_splits"), F.col("_key"), F.col("_top")
+    coarse = keyed.withColumn("_top", _first_above(lambda i: F.get(splits, F.lit(16 * i + 15)), 0, 15, key))
+    fine = top * 16 + _first_above(lambda i: F.get(splits, top * 16 + i), 0, 15, key)
     # explode of one element: the search stays here instead of being copied into join filters.
-    found = F.explode(F.array(F.aggregate(steps, F.lit(0), advance))).alias("_range")
-    return df.withColumn("_splits", points).select("*", found).drop("_splits")
+    return coarse.select("*", F.explode(F.array(fine)).alias("_range")).drop("_splits", "_key", "_top")
 
 
 def _offsets(ranged: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
