@@ -72,6 +72,17 @@ def test_trading_dates(spark):
         df.select(scalars.strict_trading_date(F.col("x"))).collect()
 
 
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/New_York"])
+def test_trading_dates_do_not_depend_on_the_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2026-08-03", "2026-08-03 00:00:00", "2026-08-03 20:00:00 UTC", "2026-08-03T20:00:00Z", "2026-08-03T22:00:00-01:30", "2026-08-03 23:59"]
+        df = spark.createDataFrame([(t,) for t in texts], "x string")
+        assert {r[0] for r in df.select(scalars.trading_date(F.col("x"))).collect()} == {D(2026, 8, 3)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_lenient_numbers(spark):
     texts = ["1.5", " -2 ", "", "None", "-", "N/A", "1e3", "nan", "inf", "12abc", None, "5d"]
     df = spark.createDataFrame([(t,) for t in texts], "x string")

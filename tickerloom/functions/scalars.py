@@ -28,10 +28,16 @@ def lenient_date(text: Column) -> Column:
     return F.trim(text.cast("string")).try_cast("date")
 
 
+# A time of day followed by a zone name or an offset.
+_ZONED = r"\d:\d{2}(:\d{2}(\.\d+)?)?\s*([A-Za-z][A-Za-z/_]*|[+-]\d{1,2}(:?\d{2})?)$"
+
+
 def trading_date(value: Column) -> Column:
-    """UTC calendar day of a date, a timestamp or date text in mixed formats; null if unreadable."""
-    stamp = F.trim(value.cast("string")).try_cast("timestamp")
-    return F.to_date(F.to_utc_timestamp(stamp, F.current_timezone()))
+    """UTC calendar day of a date or of text in mixed formats; null if unreadable. Text without a zone
+    is taken as UTC, whatever the session's time zone."""
+    text = F.trim(value.cast("string"))
+    in_utc = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone())
+    return F.when(text.rlike(_ZONED), F.to_date(in_utc)).otherwise(F.to_date(text.try_cast("timestamp_ntz")))
 
 
 def strict_trading_date(value: Column) -> Column:

@@ -54,12 +54,12 @@ def with_range(df: DataFrame, order: Sequence[str]) -> DataFrame:
     Two searches of 15 compiled comparisons each: every sixteenth split point, then those between.
     """
     points = _split_points(df, order).scalar()
-    keyed = df.withColumns({"_splits": points, "_key": F.struct(*order)})
-    splits, key, top = F.col("_splits"), F.col("_key"), F.col("_top")
-    coarse = keyed.withColumn("_top", _first_above(lambda i: F.get(splits, F.lit(16 * i + 15)), 0, 15, key))
+    keyed = df.withColumns({"_range_splits": points, "_range_key": F.struct(*order)})
+    splits, key, top = F.col("_range_splits"), F.col("_range_key"), F.col("_range_top")
+    coarse = keyed.withColumn("_range_top", _first_above(lambda i: F.get(splits, F.lit(16 * i + 15)), 0, 15, key))
     fine = top * 16 + _first_above(lambda i: F.get(splits, top * 16 + i), 0, 15, key)
     # explode of one element: the search stays here instead of being copied into join filters.
-    return coarse.select("*", F.explode(F.array(fine)).alias("_range")).drop("_splits", "_key", "_top")
+    return coarse.select("*", F.explode(F.array(fine)).alias("_range")).drop("_range_splits", "_range_key", "_range_top")
 
 
 def _offsets(ranged: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
