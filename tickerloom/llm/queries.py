@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import packing, quality, sharding
+from tickerloom.llm import bpe, packing, quality, sharding
 
 SHARDS = 16
 
@@ -21,6 +22,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digest(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return quality.measure(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "ratio", "bad_chunk_share")
@@ -34,6 +39,7 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
 }
