@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, packing, quality, sharding
+from tickerloom.llm import bpe, line_dedup, packing, quality, sharding
 
 SHARDS = 16
 
@@ -37,11 +37,17 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -70,7 +70,6 @@ def text_bytes(column: pa.Array, fold_case: bool = False) -> tuple[np.ndarray, n
 
 def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Longest runs of marked bytes within one text: first byte, byte after the last, number of the text."""
-    size = len(inside)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -79,7 +78,6 @@ def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[begins] = inside[begins]
     last[closes] = inside[closes]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    assert size >= 0 and len(starts) == len(ends)
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
@@ -92,14 +90,15 @@ def word_bytes(data: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span; spans are in order and do not overlap."""
+    """Hash of the bytes (or 64-bit values) of each span; starts and ends must not decrease."""
     out, i = np.empty(len(starts), dtype=np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
         low, size = starts[i], int(ends[j - 1] - starts[i])
         up, down = (_UP, _DOWN) if size <= BLOCK else (_powers(_STEP, size), _powers(_INVERSE, size))
+        part = data[low : low + size]
         sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum(_LIFT[data[low : low + size]] * up[:size], out=sums[1:])
+        np.cumsum((_LIFT[part] if data.dtype == np.uint8 else part) * up[:size], out=sums[1:])
         a, b = starts[i:j] - low, ends[i:j] - low
         out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
         i = j
@@ -121,3 +120,9 @@ def chains(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np
 def within(values: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Values that are equal only if both the value and the text are."""
     return mix(values + mix((text.astype(np.uint64) + np.uint64(1)) * _BASE))
+
+
+def lists(values: np.ndarray, text: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """Values, ordered by their text, as one list per text."""
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
