@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, line_dedup, packing, quality, sharding
+from tickerloom.llm import bpe, jaccard_join, line_dedup, packing, quality, sharding
 
 SHARDS = 16
 
@@ -42,12 +42,17 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similarity_components(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}

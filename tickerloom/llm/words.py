@@ -19,6 +19,9 @@ BLOCK = 1 << 18
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
@@ -60,12 +63,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def text_bytes(column: pa.Array, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins and the last ends. Null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
-    if fold_case:
-        column = pc.ascii_lower(column)
     bounds = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     held = column.buffers()[2]
     data = np.frombuffer(held, dtype=np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
-    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+    data = data[bounds[0] : bounds[-1]]
+    return _LOWER[data] if fold_case else data, bounds - bounds[0]
 
 
 def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
