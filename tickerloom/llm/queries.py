@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, jaccard_join, line_dedup, packing, quality, sharding
+from tickerloom.llm import bpe, jaccard_join, line_dedup, packing, quality, sharding, toxicity
 
 SHARDS = 16
 
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    settings = toxicity.Settings()
+    model = toxicity.fit(docs, _table(spark, folder, "labels"), settings)
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id"), settings.held_out_of).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_table(spark, folder, "documents"))
     return pieces.select(
@@ -47,6 +57,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_quality_rules": op5_quality_rules,
