@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, jaccard_join, line_dedup, packing, quality, sharding, toxicity
+from tickerloom.llm import bpe, jaccard_join, line_dedup, packing, permutation_index, quality, sharding, toxicity
 
 SHARDS = 16
 
@@ -32,6 +32,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation_index.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -59,6 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_permutation_index": op3_permutation_index,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
