@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, jaccard_join, line_dedup, packing, permutation_index, quality, sharding, toxicity
+from tickerloom.llm import bpe, html_extract, jaccard_join, line_dedup, packing, permutation_index, quality, sharding, token_matrix, toxicity
 
 SHARDS = 16
 
@@ -45,6 +45,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "ratio", "bad_chunk_share")
 
 
+def op6_token_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    rows = token_matrix.pack_rows(_table(spark, folder, "documents"))
+    return rows.select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "doc_ids", "starts", "cumulative")
+
+
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = sharding.sized(_table(spark, folder, "documents"))
     placed = sharding.assign(docs, "doc_id", [1.0] * SHARDS)
@@ -56,6 +61,11 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    texts = html_extract.extract(_table(spark, folder, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similarity_components(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -66,8 +76,10 @@ QUERIES = {
     "op3_permutation_index": op3_permutation_index,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_matrix": op6_token_matrix,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
