@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from helpers import column, days, series
 from pyspark.sql import functions as F
@@ -130,9 +131,21 @@ def test_beta_gap_and_constant_market(spark):
     assert set(column(flat, "beta_20")) == {None} and column(flat, "benchmark_variance_20")[-1] == 0.0
 
 
-def test_rolling_beta_matches_pandas(spark):
-    import numpy as np
+@pytest.mark.parametrize("size", [1e3, 1e7, 1e12])
+def test_rolling_beta_forgets_an_outlier(spark, size):
+    r = np.random.default_rng(3)
+    x, y = r.normal(0, 0.01, 400), r.normal(0, 0.02, 400)
+    x[75], y[75] = size, -2 * size
+    rows = [("A", d, float(b), float(b), float(a), float(a)) for d, a, b in zip(days(400), x, y)]
+    df = spark.createDataFrame(rows, "symbol string, date date, simple_return double, log_return double, benchmark_simple_return double, benchmark_log_return double")
+    out = column(market.add_rolling_beta(df, (60,)), "beta_60")
+    assert not any(v is not None and v != v for v in out)
+    for i in (150, 300, 399):
+        w = slice(i - 59, i + 1)
+        assert abs(out[i] - np.cov(y[w], x[w])[0, 1] / np.var(x[w], ddof=1)) < 1e-9
+
 
+def test_rolling_beta_matches_pandas(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(0, 0.01, 400)
     y = 0.7 * m + rng.normal(0, 0.02, 400)

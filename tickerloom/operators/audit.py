@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,40 +52,79 @@ def prefix_invariance(full: DataFrame, prefix: DataFrame, columns: Sequence[str]
     return a.join(b, ["symbol", "date"], "left").agg(F.count(F.lit(1)).alias("rows_compared"), *differs)
 
 
-def _second_opinion(bars: pd.DataFrame) -> pd.DataFrame:
-    g = bars.sort_values("date").reset_index(drop=True)
-    close = g["close"]
-    out = {"simple_return": close.pct_change(fill_method=None), "log_return": np.log(close).diff()}
-    out["sma_20"] = close.rolling(20).mean()
-    out["sma_50"] = close.rolling(50).mean()
-    out["ema_20"] = close.ewm(span=20, adjust=False, min_periods=20).mean()
-    move = close.diff()
-    up, down = move.clip(lower=0), (-move).clip(lower=0)
-    smooth = {}
-    for name, s in (("up", up), ("down", down)):
-        seeded = s.copy()
-        seeded.iloc[:14] = np.nan
-        if len(s) > 14:
-            seeded.iloc[14] = s.iloc[1:15].mean()
-        smooth[name] = seeded.ewm(alpha=1 / 14, adjust=False).mean()
-    rsi = 100 - 100 / (1 + smooth["up"] / smooth["down"])
-    rsi = rsi.where(~((smooth["up"] == 0) & (smooth["down"] == 0)), 50.0)
-    out["rsi_14"] = rsi.where(smooth["up"].notna())
-    out["volatility_20d_annualized"] = out["log_return"].rolling(20).std(ddof=1) * np.sqrt(252)
-    out["drawdown"] = close / close.cummax() - 1
-    out["max_drawdown_to_date"] = out["drawdown"].cummin()
-    rows = []
-    for c in INDICATORS:
-        gap = (g[c].astype(float) - out[c]).abs()
-        same = bool(np.allclose(g[c].astype(float), out[c], equal_nan=True, rtol=1e-10, atol=1e-12))
-        worst = gap.max(skipna=True)
-        rows.append((g["symbol"].iloc[0], c, same, None if pd.isna(worst) else float(worst)))
-    return pd.DataFrame(rows, columns=["symbol", "indicator", "passed", "max_abs_error"])
-
-
-def independent_recompute(features: DataFrame) -> DataFrame:
-    """Nine indicators worked out again in pandas, one symbol's daily bars per group."""
-    needed = features.select("symbol", "date", "close", *INDICATORS)
-    return needed.groupBy("symbol").applyInPandas(
-        _second_opinion, "symbol string, indicator string, passed boolean, max_abs_error double"
+def _fold(values: str, start: str, step: str) -> str:
+    """Running values of a recurrence over an array: ``step`` gives the next value from ``s.v`` and ``x``."""
+    nothing = "cast(array() AS array<double>)"
+    return (
+        f"aggregate({values}, named_struct('v', {start}, 'out', {nothing}), "
+        f"(s, x) -> named_struct('v', {step}, 'out', array_append(s.out, {step})), s -> s.out)"
+    )
+
+
+def _last(values: str, n: int, worth: Callable[[str], str]) -> str:
+    """``worth`` of the array of the last ``n`` values up to each index; null before there are n."""
+    return f"transform({values}, (x, i) -> CASE WHEN i >= {n - 1} THEN {worth(f'slice({values}, i - {n - 2}, {n})')} END)"
+
+
+def _total(values: str) -> str:
+    return f"aggregate({values}, 0D, (a, b) -> a + b)"
+
+
+def independent_recompute(features: DataFrame, rtol: float = 1e-10, atol: float = 1e-12) -> DataFrame:
+    """``symbol, indicator, passed, max_abs_error``: nine indicators worked out again from their definitions.
+
+    A symbol's closes are one array in order of days, which the calendar bounds: a repeated day fails the job.
+    Averages and deviations come from slices of the array and recurrences from folds over it, so nothing is
+    shared with the window expressions under test. A missing close makes everything after it that depends on
+    it missing.
+    """
+    fields = ", ".join(["date", "close", *INDICATORS])
+    bars = features.groupBy("symbol").agg(
+        F.expr(f"array_sort(collect_list(struct({fields})))").alias("bars"),
+        F.when(F.count(F.lit(1)) > F.count_distinct("date"), F.raise_error(F.lit("features contain duplicate symbol/date keys")).cast("boolean")).alias("_single"),
+    )
+    df = bars.where(F.col("_single").isNull()).select("symbol", "bars", F.expr("transform(bars, b -> cast(b.close AS double))").alias("c"))
+    df = df.select(
+        "*",
+        F.expr("transform(c, (x, i) -> x - get(c, i - 1))").alias("moves"),
+        F.expr("transform(c, (x, i) -> try_divide(x, get(c, i - 1)) - 1)").alias("simple_return"),
+        F.expr("transform(c, (x, i) -> ln(x) - ln(get(c, i - 1)))").alias("log_return"),
+    )
+
+    def deviation(w: str) -> str:
+        squares = f"transform({w}, y -> pow(y - {_total(w)} / 20, 2))"
+        return f"sqrt({_total(squares)} / 19 * 252)"
+
+    seed = {side: f"aggregate(slice({side}, 2, 14), 0D, (a, b) -> a + b) / 14" for side in ("ups", "downs")}
+    df = df.select(
+        "*",
+        F.expr("transform(moves, m -> greatest(m, 0D))").alias("ups"),
+        F.expr("transform(moves, m -> greatest(-m, 0D))").alias("downs"),
+        F.expr(_last("c", 20, lambda w: f"{_total(w)} / 20")).alias("sma_20"),
+        F.expr(_last("c", 50, lambda w: f"{_total(w)} / 50")).alias("sma_50"),
+        F.expr(_last("log_return", 20, deviation)).alias("volatility_20d_annualized"),
+        F.expr(_fold("c", "cast(NULL AS double)", "CASE WHEN size(s.out) = 0 THEN x ELSE s.v + 2D / 21 * (x - s.v) END")).alias("_ema"),
+        F.expr(_fold("c", "cast(NULL AS double)", "greatest(s.v, x)")).alias("peaks"),
     )
+    # Wilder: the mean of the first 14 moves, then 13 parts of it and one part of each later move.
+    df = df.select(
+        "*",
+        *[F.expr(f"concat(array({seed[k]}), {_fold(f'slice({k}, 16, size({k}))', seed[k], '(13 * s.v + x) / 14')})").alias(f"mean_{k}") for k in ("ups", "downs")],
+        F.expr("transform(_ema, (x, i) -> CASE WHEN i >= 19 THEN x END)").alias("ema_20"),
+        F.expr("transform(c, (x, i) -> x / peaks[i] - 1)").alias("drawdown"),
+    )
+    strength = (
+        "transform(c, (x, i) -> CASE WHEN i < 14 THEN NULL WHEN mean_ups[i - 14] + mean_downs[i - 14] = 0 THEN 50D "
+        "ELSE 100 * mean_ups[i - 14] / (mean_ups[i - 14] + mean_downs[i - 14]) END)"
+    )
+    df = df.select("*", F.expr(strength).alias("rsi_14"), F.expr(_fold("drawdown", "cast(NULL AS double)", "least(s.v, x)")).alias("max_drawdown_to_date"))
+
+    def compared(name: str) -> str:
+        stored = f"transform(bars, b -> cast(b.{name} AS double))"
+        same = f"(a <=> b) OR coalesce(abs(a - b) <= {atol}D + {rtol}D * abs(b), false)"
+        return (
+            f"named_struct('indicator', '{name}', 'passed', forall(zip_with({stored}, {name}, (a, b) -> {same}), x -> x), "
+            f"'max_abs_error', array_max(zip_with({stored}, {name}, (a, b) -> abs(a - b))))"
+        )
+
+    return df.select("symbol", F.expr(f"inline(array({', '.join(map(compared, INDICATORS))}))"))

@@ -131,21 +131,30 @@ def add_rolling_beta(
     zero = F.lit(0.0)
     pair = y.isNotNull() & x.isNotNull()
     changed = ~x.eqNullSafe(F.lag(x, 1).over(w))
-    # Running totals: a window of any length is the difference of two of them, so its cost does not
-    # depend on its length.
+    # Each symbol's rows are cut into blocks of n. A window is the end of one block and the start of the next,
+    # so its totals are a sum of two others and cost the same for any n. Nothing is subtracted: a row outside
+    # the window leaves no trace in it, however large.
     totals = {
         "_n": F.count(x), "_x": F.sum(F.coalesce(x, zero)), "_xx": F.sum(F.coalesce(x * x, zero)),
         "_np": F.count(F.when(pair, 1)), "_y": F.sum(F.when(pair, y).otherwise(zero)),
         "_xy": F.sum(F.when(pair, x * y).otherwise(zero)),
     }
     df = aligned.withColumns({"_row": F.row_number().over(w), "_changed": changed})
-    df = df.withColumns(
-        {k: v.over(so_far()) for k, v in totals.items()}
-        | {"_last_change": F.max(F.when(F.col("_changed"), F.col("_row"))).over(so_far())}
-    )
+    df = df.withColumn("_last_change", F.max(F.when(F.col("_changed"), F.col("_row"))).over(so_far()))
+    held: list[str] = []
+    for n in windows:
+        block = W.partitionBy("symbol", f"_block_{n}").orderBy("date")
+        start, end = block.rowsBetween(W.unboundedPreceding, 0), block.rowsBetween(0, W.unboundedFollowing)
+        df = df.withColumn(f"_block_{n}", F.floor((F.col("_row") - 1) / n))
+        df = df.withColumns({f"{k}_to_{n}": v.over(start) for k, v in totals.items()} | {f"{k}_from_{n}": v.over(end) for k, v in totals.items()})
+        held += [f"_block_{n}", *[f"{k}_{side}_{n}" for k in totals for side in ("to", "from")]]
     columns: dict[str, Column] = {}
     for n in windows:
-        s = {k: F.col(k) - F.coalesce(F.lag(k, n).over(w), F.lit(0)) for k in totals}
+        within_block = F.col("_row") % n == 0
+        s = {
+            k: F.col(f"{k}_to_{n}") + F.when(within_block, F.lit(0)).otherwise(F.coalesce(F.lag(f"{k}_from_{n}", n - 1).over(w), F.lit(0)))
+            for k in totals
+        }
         variance = F.when(s["_n"] == n, F.greatest((s["_xx"] - s["_x"] * s["_x"] / n) / (n - 1), zero))
         # Decided by the rows, not by a rounded sum: no change inside the window, no variance.
         flat = F.col("_last_change") <= F.col("_row") - (n - 1)
@@ -155,7 +164,7 @@ def add_rolling_beta(
         columns[f"beta_{n}"] = once_per_day(beta, "aligned returns")
         columns[f"beta_{n}_n_obs"] = s["_np"]
         columns[f"benchmark_variance_{n}"] = variance
-    return df.withColumns(columns).drop("_row", "_changed", "_last_change", *totals)
+    return df.withColumns(columns).drop("_row", "_changed", "_last_change", *held)
 
 
 def compare_betas(calculated: DataFrame, provider: DataFrame, windows: Sequence[int] = BETA_WINDOWS) -> DataFrame:
