@@ -12,10 +12,11 @@ first `n - ceil(0.8 n) + 1` of each, so no pair is lost. Shingles known to be co
 which keeps passages that many documents share out of prefixes.
 
 1. Equal sets become one node.
-2. In each block every node is paired with the block's least node, bounded by points, then verified. That links
-   large groups of near copies with as many pairs as they have members.
-3. Blocks that still hold several components go through the forest: pairs of nodes of different components that
-   the trees let pass are verified too. A large block is cut into pieces, and pairs of pieces are searched apart.
+2. A block's hub is its least node. Every node is paired with the hubs it shares most blocks with; pairs are
+   bounded by points, then verified. That links large groups of near copies with a few pairs for each member.
+3. Blocks that still hold several components go through the forest. First each node is paired with its best
+   match of another component, which joins most of what is left; then all pairs of different components that the
+   trees let pass are verified. A large block is cut into pieces, and pairs of pieces are searched apart.
 4. A component's id is its least doc_id.
 
 A text with fewer than five words has one shingle, its whole sequence; without words (null, empty) the set is
@@ -31,19 +32,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickerloom.llm import words as W
 from tickerloom.llm.components import components
 from tickerloom.llm.staging import Stages
 
 SHINGLE = 5
-GROUPS = 32
+GROUPS = 128
 #: Links need 5 * intersection >= 4 * union.
 LEAF, FAN = 16, 8
 #: Rows of a block that are searched together, and common shingles that are put last (a bound on the broadcast only).
 PIECE = 512
 COMMON = 1 << 19
 COMMON_FROM = 16
+#: Hubs that a node is paired with before the forest looks at what they leave.
+HUBS = 3
 #: Shingles counted together when looking for common ones, and bits of the filters.
 COUNTED = 4_000_000
 FILTER_BITS = 1 << 25
@@ -211,7 +215,7 @@ def _node_table(docs: DataFrame, common) -> DataFrame:
 
 
 def _block_rows(nodes: DataFrame, active: np.ndarray, spark: SparkSession) -> DataFrame:
-    """(key, node) of prefixes whose key may be active."""
+    """(key, node, place in the prefix) of prefixes whose key may be active."""
     held = spark.sparkContext.broadcast(active)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +223,12 @@ def _block_rows(nodes: DataFrame, active: np.ndarray, spark: SparkSession) -> Da
             prefix = batch.column("prefix")
             keys = prefix.flatten().to_numpy()
             node = np.repeat(batch.column("node").to_numpy(), prefix.value_lengths().to_numpy())
+            sizes = prefix.value_lengths().to_numpy()
+            at = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = _in_filter(held.value, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(node[keep])], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(node[keep]), pa.array(at[keep])], ["key", "node", "at"])
 
-    return nodes.select("node", "prefix").mapInArrow(run, "key bigint, node bigint")
+    return nodes.select("node", "prefix").mapInArrow(run, "key bigint, node bigint, at bigint")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -257,12 +263,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, stages: Stages) -> DataFrame:
                 values, text = shingle_sets(part.column("text"))
                 ids, _ = set_ids(values, text, part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.view(np.int64)), part.column("_key"), W.lists(values.view(np.int64), text, part.num_rows, pa.int64())],
-                    ["node", "_key", "shingles"])
+                    [pa.array(ids.view(np.int64)), W.lists(values.view(np.int64), text, part.num_rows, pa.int64())], ["node", "shingles"])
 
-    read = docs.select("_key", "text").mapInArrow(run, "node bigint, _key bigint, shingles array<bigint>")
-    # One document stands for each node; repeated rows of it are dropped where they meet.
-    return stages.put(read.join(wanted, ["node", "_key"], "left_semi").dropDuplicates(["node"]))
+    # A repeated row repeats its node's set, and with it links, which are made distinct later.
+    return stages.put(docs.select("_key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -284,15 +288,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(named("a"), "a").join(named("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _search_pieces(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components in one block that the trees let pass.
+def _search_pieces(rows: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs of nodes of different components in one block that the trees let pass; or for each node its best.
 
-    rows: key, low, high (the pieces that meet), piece, node, label, n, point; sorted by (key, low, high) within
+    rows: key, low, high (the pieces that meet), piece, node, at, label, n, point; sorted by (key, low, high) within
     partitions. At most two pieces are held at a time.
     """
 
     def pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, label, n, piece = (group.column(c).to_numpy() for c in ("node", "label", "n", "piece"))
+        node, label, n, piece, at = (group.column(c).to_numpy() for c in ("node", "label", "n", "piece", "at"))
         points = np.frombuffer(b"".join(group.column("point").to_pylist()), "<i4").reshape(-1, GROUPS)
         alone = group.column("low")[0].as_py() == group.column("high")[0].as_py()
         inner = np.arange(len(node)) if alone else np.flatnonzero(piece == piece.min())
@@ -302,7 +306,13 @@ def _search_pieces(rows: DataFrame) -> DataFrame:
         tree, a, b = CountTree(points[inner], n[inner]), [], []
         for i in outer:
             hit = inner[tree.search(points[i], int(n[i]))]
-            hit = hit[(label[hit] != label[i]) & ((node[hit] < node[i]) | (not alone))]
+            # In the block of their first common shingle two sets share at most what follows it in each.
+            after = np.minimum(n[hit] - at[hit], n[i] - at[i])
+            once = (node[hit] < node[i]) | (not alone) | best_only
+            hit = hit[(label[hit] != label[i]) & once & (after >= needed(n[hit], n[i]))]
+            if best_only and len(hit) > 1:
+                shared = np.minimum(points[hit], points[i]).sum(axis=1) / (n[hit] + n[i])
+                hit = hit[[int(np.argmax(shared))]]
             a.append(np.minimum(node[hit], node[i]))
             b.append(np.maximum(node[hit], node[i]))
         return np.concatenate(a), np.concatenate(b)
@@ -336,9 +346,9 @@ def _search_pieces(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _forest(blocks: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of the blocks that hold several components."""
-    labelled = blocks.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+def _forest(blocks: DataFrame, labels: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
+    """Candidate pairs of the blocks that hold several components; or only each node's best in a piece."""
+    labelled = blocks.join(labels, "node", "left").select("key", "node", "at", F.coalesce("label", "node").alias("label"))
     mixed = (
         labelled.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low <> high AND rows > 2").select("key", F.ceil(F.col("rows") / PIECE).cast("int").alias("pieces"))
@@ -348,9 +358,9 @@ def _forest(blocks: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
         .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .join(nodes.select("node", "n", "point"), "node")
-        .select("key", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "node", "label", "n", "point")
+        .select("key", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "node", "at", "label", "n", "point")
     )
-    return _search_pieces(dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"))
+    return _search_pieces(dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"), best_only)
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, Stages]:
@@ -365,20 +375,31 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, Stages]:
 
     shared = (
         nodes.select("node", F.explode("prefix").alias("key"))
-        .groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last")
+        .groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key")
     )
-    shared = stages.put(shared.select("key", "hub"))
-    blocks = stages.put(_block_rows(nodes, _filter_of(shared, "key"), spark).join(shared, "key"))
+    shared = stages.put(shared)
+    rows = stages.put(_block_rows(nodes, _filter_of(shared, "key"), spark).join(shared, "key"))
+    # Blocks of the same members are one block; the first of their keys is the first shingle that any two share.
+    blocks = (
+        rows.groupBy("key").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("node").alias("hub"),
+            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        .groupBy("rows", "x", "y", "hub").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("keys"))
+    )
+    blocks = stages.put(rows.join(blocks.select("key", "hub", "keys"), "key"))
 
-    hubs = blocks.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    hubs = stages.put(_bounded(hubs, nodes))
-    links = stages.put(_checked(docs, hubs, nodes, stages))
+    ties = blocks.filter("node <> hub").groupBy("hub", "node").agg(F.sum("keys").alias("keys"))
+    nearest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("keys"), "hub"))
+    hubs = ties.withColumn("place", nearest).filter(F.col("place") <= HUBS).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    checked = stages.put(_bounded(hubs, nodes))
+    links = stages.put(_checked(docs, checked, nodes, stages))
     labels = components(links, stages)
-
-    rest = stages.put(_forest(blocks.select("key", "node"), labels, nodes).distinct().join(hubs, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = stages.put(links.union(_checked(docs, rest, nodes, stages)))
-        labels = components(links, stages)
+    for best_only in (True, False):
+        pairs = stages.put(_forest(blocks, labels, nodes, best_only).distinct().join(checked, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            checked = checked.union(pairs)
+            links = links.union(stages.put(_checked(docs, pairs, nodes, stages)))
+            labels = components(links, stages)
     placed = members.join(labels, "node", "left").select("doc_id", "_key", "n", F.coalesce("label", "node").alias("label"))
     return stages.put(placed), stages
 
