@@ -171,8 +171,40 @@ def test_alignment(spark):
     assert (a.stock_dates_without_benchmark, a.benchmark_dates_without_stock, a.stock_null_return_rows_removed) == (1, 1, 1)
     with pytest.raises(Exception, match="duplicate dates"):
         market.align_returns(s, b.unionByName(b), "MKT").collect()
-    with pytest.raises(keys.DataQualityError):
-        market.align_returns(s.unionByName(s), b, "MKT", validate=True)
+    with pytest.raises(Exception, match="duplicate symbol/date"):
+        market.align_returns(s.unionByName(s), b, "MKT").collect()
+    with pytest.raises(Exception, match="benchmark XYZ is not in the series"):
+        market.align_returns(s, b, "XYZ").collect()
+    lower = [x.withColumn("symbol", F.lower("symbol")) for x in (s, b)]
+    assert [r.symbol for r in market.align_returns(*lower, "mkt").collect()] == ["A"]
+
+
+def test_joins_fail_on_repeated_symbols(spark):
+    once = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "symbol string, provider_beta double")
+    assert keys.one_row_each(once, ["symbol"], "sides").count() == 2
+    with pytest.raises(Exception, match="sides contains duplicate symbol keys: A"):
+        keys.one_row_each(once.union(once.limit(1)), ["symbol"], "sides").collect()
+    betas = spark.createDataFrame([("A", D(2024, 1, 2), 1.0)], "symbol string, date date, beta_60 double")
+    with pytest.raises(Exception, match="provider betas contains duplicate"):
+        market.compare_betas(betas, once.union(once), (60,)).collect()
+
+
+@pytest.mark.parametrize("add", [indicators.add_returns, indicators.add_simple_averages, indicators.add_ema, indicators.add_rsi, indicators.add_risk, indicators.add_momentum])
+def test_indicators_fail_on_a_repeated_day(spark, add):
+    bars = series(spark, [100.0 + i for i in range(60)])
+    with pytest.raises(Exception, match="duplicate symbol/date"):
+        add(bars.union(bars.limit(1))).collect()
+
+
+def test_comparison_rejects_bad_prices_and_repeated_days(spark):
+    rows = [(s, d, 10.0) for s in ("A", "M") for d in days(4)]
+    frame = lambda x: spark.createDataFrame(x, "symbol string, date date, adjusted_close double")
+    with pytest.raises(Exception, match="strictly positive"):
+        market.comparison_summary(frame([*rows[:-1], ("M", days(4)[3], -5.0)]), "M").collect()
+    with pytest.raises(Exception, match="duplicate symbol/date"):
+        market.comparison_summary(frame([*rows, rows[0]]), "M").collect()
+    short = market.comparison_summary(frame([*rows, ("B", days(1)[0], 5.0)]), "M").where("symbol = 'B'").collect()
+    assert {(r.status, r.common_observations, r.stock_return) for r in short} == {("fewer than two common days", 1, None)} and len(short) == 4
 
 
 def test_comparison_summary(spark):
@@ -329,7 +361,8 @@ def test_missing_report(spark):
     rows = [("A", False, 100.0), ("B", False, None), ("MKT", True, None)]
     df = spark.createDataFrame(rows, "symbol string, is_benchmark boolean, revenue double")
     r = statistics.missing_report(df).first()
-    assert (r.eligible_rows, r.missing_count, r.missing_rate, r.missing_symbols, r.benchmark_not_applicable) == (2, 1, 0.5, "B", True)
+    assert (r.eligible_rows, r.missing_count, r.missing_rate, r.benchmark_not_applicable) == (2, 1, 0.5, True)
+    assert statistics.missing_report(df).count() == len({r.feature for r in statistics.missing_report(df).collect()})
     assert [x.symbol for x in statistics.missing_by_symbol(df).collect()] == ["B"]
 
 

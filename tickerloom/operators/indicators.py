@@ -58,7 +58,7 @@ def add_returns(bars: DataFrame, close: str = "close") -> DataFrame:
     price = F.col(close)
     return bars.withColumn(close, positive(price, close)).withColumns(
         {
-            "simple_return": _change(price, 1),
+            "simple_return": once_per_day(_change(price, 1), "returns input"),
             "log_return": F.ln(price) - F.ln(F.lag(price, 1).over(by_symbol())),
         }
     )
@@ -68,7 +68,10 @@ def add_simple_averages(bars: DataFrame, windows: Sequence[int] = (20, 50), clos
     require_columns(bars, ["symbol", "date", close], "moving-average input")
     price = F.col(close)
     return bars.withColumns(
-        {f"sma_{n}": _full_window(price, n, F.avg(price).over(last_rows(n))) for n in windows}
+        {
+            f"sma_{n}": once_per_day(_full_window(price, n, F.avg(price).over(last_rows(n))), "moving-average input")
+            for n in windows
+        }
     )
 
 
@@ -100,7 +103,7 @@ def add_ema(bars: DataFrame, span: int = 20, close: str = "close") -> DataFrame:
         }
     )
     df = linear_recurrence(df, ["symbol"], "date", {"_ema": "_impulse"}, "_decay")
-    return df.withColumn(f"ema_{span}", F.when(F.col("_seen") >= span, F.col("_ema"))).drop(
+    return df.withColumn(f"ema_{span}", once_per_day(F.when(F.col("_seen") >= span, F.col("_ema")), "moving-average input")).drop(
         "_row", "_prev", "_seen", "_keep", "_impulse", "_decay", "_ema"
     )
 
@@ -150,7 +153,7 @@ def add_rsi(bars: DataFrame, period: int = 14, close: str = "close") -> DataFram
         .when(~F.col("_up"), 0.0)
         .otherwise(100.0 - 100.0 / (1.0 + gain / loss))
     )
-    return df.withColumns({"_up": any_gain, "_down": any_loss}).withColumn(f"rsi_{period}", rsi).drop(
+    return df.withColumns({"_up": any_gain, "_down": any_loss}).withColumn(f"rsi_{period}", once_per_day(rsi, "RSI input")).drop(
         "_move", "_at", "_gain", "_loss", "_known", "_ug", "_ul", "_decay", "_avg_gain", "_avg_loss", "_up", "_down"
     )
 
@@ -166,7 +169,7 @@ def add_risk(bars: DataFrame, window: int = 20, trading_days: int = TRADING_DAYS
     spread = F.stddev_samp(r).over(last_rows(window)) * F.lit(math.sqrt(trading_days))
     df = bars.withColumns(
         {
-            f"volatility_{window}d_annualized": _full_window(r, window, spread),
+            f"volatility_{window}d_annualized": once_per_day(_full_window(r, window, spread), "risk input"),
             "drawdown": F.col(close) / F.max(close).over(so_far()) - 1,
         }
     )

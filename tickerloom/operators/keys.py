@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,14 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
         raise DataQualityError(f"{what} contains duplicate {'/'.join(keys)} keys: {[tuple(r) for r in bad]}")
 
 
+def one_row_each(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """The rows of ``df``; a second row of a key fails the job that reads them. No job of its own, and no
+    exchange that a join on the same keys would not need."""
+    again = F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) > 1
+    error = F.raise_error(F.concat_ws(" ", F.lit(f"{what} contains duplicate {'/'.join(keys)} keys:"), *[F.col(k).cast("string") for k in keys]))
+    return df.withColumn("_again", again).where(F.when(F.col("_again"), error.cast("boolean")).otherwise(True)).drop("_again")
+
+
 def assert_positive(df: DataFrame, column: str, what: str, allow_null: bool = True) -> None:
     bad = F.col(column) <= 0
     if not allow_null:

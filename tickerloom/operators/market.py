@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.constants import BETA_WINDOWS, TIMEFRAME_MONTHS
-from tickerloom.operators.indicators import by_symbol, once_per_day, so_far
-from tickerloom.operators.keys import DataQualityError, assert_unique, require_columns
+from tickerloom.functions.scalars import symbol_text
+from tickerloom.operators.indicators import by_symbol, once_per_day, positive, so_far
+from tickerloom.operators.keys import DataQualityError, one_row_each, require_columns
 
 RETURNS = ["simple_return", "log_return"]
 
@@ -70,18 +71,38 @@ def assert_returns(series: DataFrame) -> None:
         raise DataQualityError(f"stored returns do not follow from the closes: {[r.asDict() for r in bad]}")
 
 
-def align_returns(features: DataFrame, benchmark_rows: DataFrame, benchmark: str, validate: bool = False) -> DataFrame:
-    """Inner join of every other symbol to the benchmark on the same day; no fill, no nearest match."""
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("symbol", symbol_text(F.col("symbol")))
+
+
+def _nothing_if_present(series: DataFrame, benchmark: str, like: DataFrame) -> DataFrame:
+    """No rows, with the columns of ``like``; the job fails if the benchmark has no row in ``series``.
+
+    A count over everything has a row even where nothing is, so the check runs before an empty join side is skipped.
+    """
+    there = _named(series).where(F.col("symbol") == benchmark.upper()).agg(F.count(F.lit(1)).alias("_n"))
+    absent = F.raise_error(F.lit(f"benchmark {benchmark.upper()} is not in the series")).cast("boolean")
+    none = there.where(F.when(F.col("_n") == 0, absent).otherwise(F.col("_n") < 0))
+    # The join key is no null: rows with a null key would be dropped, and the check with them.
+    values = {"date": F.lit("1970-01-01")}
+    return none.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+def align_returns(features: DataFrame, benchmark_rows: DataFrame, benchmark: str) -> DataFrame:
+    """Inner join of every other symbol to the benchmark on the same day; no fill, no nearest match.
+
+    Symbols are compared in upper case. A repeated day of a symbol or an absent benchmark fails the job.
+    """
     for df, what in ((features, "stock features"), (benchmark_rows, "benchmark")):
         require_columns(df, ["date", "symbol", *RETURNS], what)
-    stocks = features.where(F.col("symbol") != benchmark.upper()).select("symbol", "date", *RETURNS).dropna(subset=RETURNS)
-    if validate:
-        assert_unique(stocks, ["symbol", "date"], "stock returns")
-    return stocks.join(_benchmark_returns(benchmark_rows, benchmark), "date")
+    stocks = _named(features).where(F.col("symbol") != benchmark.upper()).select("symbol", "date", *RETURNS).dropna(subset=RETURNS)
+    stocks = stocks.withColumn("simple_return", once_per_day(F.col("simple_return"), "stock returns"))
+    returns = _benchmark_returns(benchmark_rows, benchmark)
+    return stocks.join(F.broadcast(returns.union(_nothing_if_present(benchmark_rows, benchmark, returns))), "date")
 
 
 def _benchmark_returns(rows: DataFrame, benchmark: str) -> DataFrame:
-    renamed = rows.where(F.col("symbol") == benchmark.upper()).dropna(subset=RETURNS).select(
+    renamed = _named(rows).where(F.col("symbol") == benchmark.upper()).dropna(subset=RETURNS).select(
         "date", *[F.col(c).alias(f"benchmark_{c}") for c in RETURNS]
     )
     return _one_row_per_day(renamed, [f"benchmark_{c}" for c in RETURNS])
@@ -92,7 +113,8 @@ def alignment_audit(features: DataFrame, benchmark_rows: DataFrame, benchmark: s
     with the symbols: its unmatched days are its valid days minus the matched ones."""
     valid = F.col("simple_return").isNotNull() & F.col("log_return").isNotNull()
     market = _benchmark_returns(benchmark_rows, benchmark).select("date", F.lit(True).alias("_in_market"))
-    days = benchmark_rows.where(F.col("symbol") == benchmark.upper()).dropna(subset=RETURNS).agg(
+    features = _named(features)
+    days = _named(benchmark_rows).where(F.col("symbol") == benchmark.upper()).dropna(subset=RETURNS).agg(
         F.count_distinct("date").alias("n")
     )
     matched = valid & F.col("_in_market").isNotNull()
@@ -170,7 +192,7 @@ def add_rolling_beta(
 def compare_betas(calculated: DataFrame, provider: DataFrame, windows: Sequence[int] = BETA_WINDOWS) -> DataFrame:
     """Own betas beside the provider's; differences are descriptive only."""
     require_columns(calculated, ["symbol", "date", *[f"beta_{n}" for n in windows]], "calculated beta table")
-    df = calculated.join(provider, "symbol", "left")
+    df = calculated.join(one_row_each(provider, ["symbol"], "provider betas"), "symbol", "left")
     columns: dict[str, Column] = {}
     for n in windows:
         gap = F.col(f"beta_{n}") - F.col("provider_beta")
@@ -232,32 +254,38 @@ def max_drawdown(sliced: DataFrame) -> DataFrame:
     return sliced.groupBy("symbol", "timeframe").agg((F.min("timeframe_drawdown") * 100).alias("max_drawdown_pct"))
 
 
-def _compare_window(history: DataFrame, benchmark: str, months: dict[str, int]) -> DataFrame:
-    """Common-day pairs per symbol and timeframe, with what each side had in the window."""
-    price = F.col("adjusted_close")
-    stock = history.where((F.col("symbol") != benchmark))
-    market = _one_row_per_day(
-        history.where(F.col("symbol") == benchmark).select("date", price.alias("benchmark_adjusted_close"), F.lit(True).alias("_listed")),
+def _priced(history: DataFrame) -> DataFrame:
+    """symbol, date, adjusted_close; a price at or below zero or a repeated day fails the job."""
+    require_columns(history, ["symbol", "date", "adjusted_close"], "comparison input")
+    price = once_per_day(positive(F.col("adjusted_close"), "adjusted_close"), "comparison input")
+    return history.select("symbol", "date", price.alias("adjusted_close"))
+
+
+def _market_series(prices: DataFrame, benchmark: str) -> DataFrame:
+    rows = prices.where(F.col("symbol") == benchmark)
+    return _one_row_per_day(
+        rows.select("date", F.col("adjusted_close").alias("benchmark_adjusted_close"), F.lit(True).alias("_listed")),
         ["benchmark_adjusted_close", "_listed"],
     )
-    market_end = history.where(F.col("symbol") == benchmark).agg(F.max("date")).scalar()
+
+
+def _market_days(prices: DataFrame, benchmark: str) -> Column:
+    """Sorted days of the benchmark, one calendar's worth, as a scalar subquery; the last is its end."""
+    return prices.where(F.col("symbol") == benchmark).agg(F.array_sort(F.collect_set("date")).alias("days")).scalar()
+
+
+def _compare_window(prices: DataFrame, benchmark: str, months: dict[str, int]) -> DataFrame:
+    """Common-day pairs per symbol and timeframe, with what each side had in the window."""
+    stock = prices.where(F.col("symbol") != benchmark).select("symbol", "date", F.col("adjusted_close").alias("stock_adjusted_close"))
+    stock = stock.withColumn("_days", _market_days(prices, benchmark)).withColumn("_market_end", F.try_element_at("_days", F.lit(-1))).drop("_days")
     end = F.greatest(F.max("date").over(W.partitionBy("symbol")), F.col("_market_end"))
-    return (
-        lookback(
-            stock.select("symbol", "date", price.alias("stock_adjusted_close")).withColumn("_market_end", market_end),
-            months,
-            end,
-        )
-        .drop("_market_end")
-        .join(market, "date", "left")
-    )
+    return lookback(stock, months, end).drop("_market_end").join(_market_series(prices, benchmark), "date", "left")
 
 
 def indexed_comparison(history: DataFrame, benchmark: str, months: dict[str, int] | None = None) -> DataFrame:
     """Both series on their common days, each indexed to 100 at the first of them; for every symbol
     and timeframe with at least two common days."""
-    require_columns(history, ["symbol", "date", "adjusted_close"], "comparison input")
-    pairs = _compare_window(history, benchmark, months or TIMEFRAME_MONTHS).dropna(
+    pairs = _compare_window(_priced(history), benchmark, months or TIMEFRAME_MONTHS).dropna(
         subset=["stock_adjusted_close", "benchmark_adjusted_close"]
     )
     w = W.partitionBy("symbol", "timeframe").orderBy("date")
@@ -276,9 +304,13 @@ def indexed_comparison(history: DataFrame, benchmark: str, months: dict[str, int
 
 
 def comparison_summary(history: DataFrame, benchmark: str, months: dict[str, int] | None = None) -> DataFrame:
-    """Returns over the common days, the excess in points, and the days left out on each side."""
+    """Returns over the common days, the excess in points, and the days left out on each side.
+
+    Every symbol has a row per timeframe; ``status`` says where fewer than two common days leave nothing to compare.
+    """
     months = months or TIMEFRAME_MONTHS
-    rows = _compare_window(history, benchmark, months)
+    prices = _priced(history)
+    rows = _compare_window(prices, benchmark, months)
     common = F.col("stock_adjusted_close").isNotNull() & F.col("benchmark_adjusted_close").isNotNull()
     s, b = F.col("stock_adjusted_close"), F.col("benchmark_adjusted_close")
     at = F.when(common, F.col("date"))
@@ -290,45 +322,38 @@ def comparison_summary(history: DataFrame, benchmark: str, months: dict[str, int
         (F.max_by(s, at) / F.min_by(s, at) - 1).alias("stock_return"),
         (F.max_by(b, at) / F.min_by(b, at) - 1).alias("benchmark_return"),
     )
-    # How many benchmark days fall in each pair's window: the window's end is a calendar day, so the
-    # counts are keyed by (end day, timeframe) and the days of one benchmark series.
-    ends = history.where(F.col("symbol") != benchmark).groupBy("symbol").agg(F.max("date").alias("_last"))
-    market_end = history.where(F.col("symbol") == benchmark).agg(F.max("date")).scalar()
-    ends = ends.withColumn("_end", F.greatest(F.col("_last"), market_end)).drop("_last")
-    market_days = history.where(F.col("symbol") == benchmark).select("date")
-    span = market_days.agg(F.array_sort(F.collect_set("date")).alias("days"))
-    per_end = (
-        ends.select("_end").distinct()
-        .withColumn("_days", span.scalar())
+    pairs = (
+        prices.where(F.col("symbol") != benchmark).groupBy("symbol").agg(F.max("date").alias("_last"))
+        .withColumn("_days", _market_days(prices, benchmark))
+        .withColumn("_end", F.greatest(F.col("_last"), F.try_element_at("_days", F.lit(-1))))
         .withColumn("_tf", _timeframes(months))
         .select(
-            "_end",
+            "symbol",
             F.col("_tf.timeframe").alias("timeframe"),
             F.size(F.filter("_days", lambda d: d >= F.add_months("_end", -F.col("_tf.months")))).cast("long").alias("_market_days"),
         )
     )
-    return (
-        per_pair.where("common_observations >= 2")
-        .join(ends, "symbol")
-        .join(per_end, ["_end", "timeframe"])
-        .select(
-            "symbol",
-            F.lit(benchmark).alias("benchmark"),
-            "timeframe",
-            "stock_return",
-            "benchmark_return",
-            ((F.col("stock_return") - F.col("benchmark_return")) * 100).alias("excess_return_pp"),
-            "common_observations",
-            "first_common_date",
-            "last_common_date",
-            (F.col("_stock_days") - F.col("common_observations")).alias("stock_dates_excluded"),
-            (F.col("_market_days") - F.col("common_observations")).alias("benchmark_dates_excluded"),
-        )
+    n = F.coalesce("common_observations", F.lit(0).cast("long"))
+    enough = n >= 2
+    return pairs.join(per_pair, ["symbol", "timeframe"], "left").select(
+        "symbol",
+        F.lit(benchmark).alias("benchmark"),
+        "timeframe",
+        F.when(enough, F.lit("compared")).otherwise("fewer than two common days").alias("status"),
+        F.when(enough, F.col("stock_return")).alias("stock_return"),
+        F.when(enough, F.col("benchmark_return")).alias("benchmark_return"),
+        F.when(enough, (F.col("stock_return") - F.col("benchmark_return")) * 100).alias("excess_return_pp"),
+        n.alias("common_observations"),
+        "first_common_date",
+        "last_common_date",
+        (F.coalesce("_stock_days", F.lit(0).cast("long")) - n).alias("stock_dates_excluded"),
+        (F.col("_market_days") - n).alias("benchmark_dates_excluded"),
     )
 
 
 def indexed_comparison_days(history: DataFrame, benchmark: str, days: dict[str, int]) -> DataFrame:
     """Day-count variant: the window ends on the stock's own last day; one summary per pair."""
+    history = _priced(history)
     market = _one_row_per_day(
         history.where((F.col("symbol") == benchmark) & F.col("adjusted_close").isNotNull()).select(
             "date", F.col("adjusted_close").alias("benchmark_adjusted_close")

@@ -15,7 +15,7 @@ from tickerloom.constants import (
     RANK_POLICY,
 )
 from tickerloom.functions.scalars import direction_adjusted, score_label
-from tickerloom.operators.keys import require_columns
+from tickerloom.operators.keys import one_row_each, require_columns
 from tickerloom.operators.order_stats import rank_table
 from tickerloom.operators.transform import long_features
 
@@ -157,7 +157,7 @@ def composite_scores(percentiles: DataFrame, context: DataFrame | None = None) -
     df = add_score_rank(add_subscores(percentiles))
     if context is not None:
         kept = [c for c in CONTEXT_COLUMNS if c in context.columns and c not in df.columns]
-        df = df.join(context.select("symbol", *kept), "symbol", "left")
+        df = df.join(one_row_each(context.select("symbol", *kept), ["symbol"], "score context"), "symbol", "left")
     return df.withColumns(
         {
             "beta_role": F.lit("risk/sensitivity context; excluded from composite"),

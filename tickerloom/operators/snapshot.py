@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickerloom.constants import BETA_WINDOWS, MOMENTUM_PERIODS
 from tickerloom.functions.scalars import symbol_text, technical_signal
 from tickerloom.operators.cleaning import patch_benchmark_identity, with_billions, with_percent_columns
-from tickerloom.operators.keys import assert_unique
+from tickerloom.operators.keys import one_row_each
 
 FUNDAMENTAL_COLUMNS = [
     "company_name", "sic", "sic_description", "fiscal_year_end", "exchange",
@@ -22,15 +22,21 @@ GROWTH_COLUMNS = [
 ]
 
 
-def latest_per_symbol(df: DataFrame, order: str = "date", keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Last row of each key as an aggregate: combined map-side, no sort of the whole panel."""
+def _at(df: DataFrame, order: str, keys: Sequence[str], pick) -> DataFrame:
+    """One aggregate per column, each carrying its order: hash aggregates, combined before the exchange. Null
+    orders are never picked; a text or nested column makes Spark sort its side instead."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(df.columns)
+    return df.groupBy(*keys).agg(*[pick(c, order).alias(c) for c in rest]).select(df.columns)
+
+
+def latest_per_symbol(df: DataFrame, order: str = "date", keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Last row of each key; ``order`` is unique in it."""
+    return _at(df, order, keys, F.max_by)
 
 
 def first_per_symbol(df: DataFrame, order: str = "date", keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(df.columns)
+    """First row of each key; ``order`` is unique in it."""
+    return _at(df, order, keys, F.min_by)
 
 
 def latest_beta(rolling: DataFrame, windows: Sequence[int] = BETA_WINDOWS) -> DataFrame:
@@ -50,9 +56,8 @@ def build_master(
     momentum: DataFrame,
     growth: DataFrame,
     benchmark: str,
-    validate: bool = False,
 ) -> DataFrame:
-    """Left joins of one-row-per-symbol tables. The dedicated tables replace columns of the same name.
+    """Left joins of one-row-per-symbol tables; a repeated symbol in any of them fails the job. The dedicated tables replace columns of the same name.
 
     All sides are keyed by symbol, so the chain needs each table hashed once; Spark broadcasts a side
     by itself when its measured size allows.
@@ -61,10 +66,7 @@ def build_master(
         "technical": technical, "fundamentals": fundamentals, "beta": betas,
         "momentum": momentum, "growth": growth,
     }
-    sides = {k: v.withColumn("symbol", symbol_text(F.col("symbol"))) for k, v in sides.items()}
-    if validate:
-        for name, side in sides.items():
-            assert_unique(side, ["symbol"], name)
+    sides = {k: one_row_each(v.withColumn("symbol", symbol_text(F.col("symbol"))), ["symbol"], k) for k, v in sides.items()}
     columns = {
         "fundamentals": [c for c in FUNDAMENTAL_COLUMNS if c in fundamentals.columns],
         "beta": [c for c in betas.columns if c.startswith("beta_")],
@@ -115,7 +117,7 @@ def build_screener(
 ) -> DataFrame:
     """Latest technical row with identity, signal, percent and billion columns, and score labels."""
     wanted = ["symbol", "company_name", "sic_description", "revenue", "net_income", "assets", "eps_diluted"]
-    df = latest.join(identity.select(wanted), "symbol", "left")
+    df = one_row_each(latest, ["symbol"], "latest rows").join(one_row_each(identity.select(wanted), ["symbol"], "identity"), "symbol", "left")
     df = patch_benchmark_identity(df, benchmark, benchmark_name, benchmark_description)
     df = df.withColumns(
         {
@@ -125,5 +127,5 @@ def build_screener(
     )
     if labels is not None:
         kept = [c for c in SIGNAL_COLUMNS if c in labels.columns]
-        df = df.join(labels.select("symbol", *kept), "symbol", "left")
+        df = df.join(one_row_each(labels.select("symbol", *kept), ["symbol"], "labels"), "symbol", "left")
     return with_billions(with_percent_columns(df, _PERCENT))

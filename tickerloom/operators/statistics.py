@@ -69,31 +69,20 @@ def _missing_flags(master: DataFrame) -> DataFrame:
     return master.select("symbol", "is_benchmark", F.inline(F.array(*cells)))
 
 
-def missing_report(master: DataFrame, list_symbols: bool = True) -> DataFrame:
-    """Missing and available values per feature among the rows that can have it."""
-    flags = _missing_flags(master)
-    per_feature = flags.groupBy("feature", "scope").agg(
+def missing_report(master: DataFrame) -> DataFrame:
+    """One row per feature: missing and available values among the rows that can have it. The symbols behind
+    the counts are rows of ``missing_by_symbol``, whatever their number."""
+    per_feature = _missing_flags(master).groupBy("feature", "scope").agg(
         F.count_if("eligible").alias("eligible_rows"),
         F.count_if(F.col("eligible") & F.col("missing")).alias("missing_count"),
         F.bool_or(F.col("is_benchmark")).alias("_has_benchmark"),
     )
-    report = per_feature.select(
+    return per_feature.select(
         "feature", "scope", "eligible_rows", "missing_count",
         (F.col("eligible_rows") - F.col("missing_count")).alias("available_count"),
         F.try_divide("missing_count", "eligible_rows").alias("missing_rate"),
         ((F.col("scope") == "stocks_only") & F.col("_has_benchmark")).alias("benchmark_not_applicable"),
     )
-    if not list_symbols:
-        return report
-    lists = listed_in_blocks(
-        flags.where(F.col("eligible") & F.col("missing")), ["feature"], "symbol", "missing_symbols"
-    )
-    return report.join(lists, "feature", "left").withColumns(
-        {
-            "list_part": F.coalesce("list_part", F.lit(0).cast("long")),
-            "missing_symbols": F.coalesce("missing_symbols", F.lit("")),
-        }
-    )
 
 
 def missing_by_symbol(master: DataFrame) -> DataFrame:
@@ -105,7 +94,7 @@ def missing_by_symbol(master: DataFrame) -> DataFrame:
 
 
 def missing_summary(master: DataFrame) -> DataFrame:
-    report = missing_report(master, list_symbols=False)
+    report = missing_report(master)
     some = F.col("missing_count") > 0
     features = report.agg(
         F.count(F.lit(1)).alias("features_assessed"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.constants import WINSOR_FEATURES
 from tickerloom.functions.scalars import clip, lenient_number
+from tickerloom.operators.keys import one_row_each
 from tickerloom.operators.order_stats import exact_quantiles
 
 PE_SOURCE = "provider overview PERatio"
@@ -93,4 +94,4 @@ def winsorize(
 def transform_features(
     master: DataFrame, valuation: DataFrame, lower: float = 0.05, upper: float = 0.95
 ) -> DataFrame:
-    return winsorize(master.join(valuation, "symbol", "left"), WINSOR_FEATURES, lower, upper)
+    return winsorize(master.join(one_row_each(valuation, ["symbol"], "valuation"), "symbol", "left"), WINSOR_FEATURES, lower, upper)

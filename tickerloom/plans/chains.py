@@ -10,18 +10,29 @@ from pyspark.sql import functions as F
 from tickerloom.operators import cleaning, filings, indicators, market, research, scoring, snapshot, transform
 from tickerloom.plans import tables
 from tickerloom.plans.tables import BENCHMARK
-from tickerloom.stage import stage
+from tickerloom.stage import drop, stage
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+_staged: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 def forget_stages() -> None:
-    """The next use of a stage computes it again."""
+    """Remove every stage table; the next use of one computes it again."""
+    for table in _staged.values():
+        drop(table)
     _staged.clear()
 
 
+def _listing(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the input files: another listing is another input."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(hadoop).globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/*"))
+    return ";".join(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found or [])
+
+
 def staged(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder, name)
+    """The stage table of this name over the folder as it is now."""
+    key = (spark.sparkContext.applicationId, folder, name, _listing(spark, folder))
     if key not in _staged:
         _staged[key] = stage(build(), name)
     return _staged[key]
@@ -140,4 +151,4 @@ def research_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
-    return research.bin_observations(research_rows(spark, folder))
+    return staged(spark, folder, "observations", lambda: research.bin_observations(research_rows(spark, folder)))

@@ -254,9 +254,9 @@ FROM (SELECT symbol, CASE WHEN s_nationkey > 3 THEN s_acctbal / 250 + s_nationke
 cte("master", """
 SELECT f.symbol, f.date, f.close, f.adjusted_close, f.simple_return, f.sma_20, f.sma_50, f.ema_20, f.rsi_14,
        f.volatility_20d_annualized, f.drawdown, f.max_drawdown_to_date, f.symbol = 'MKT' AS is_benchmark,
-       u.company_name, u.sic_description, u.exchange, u.revenue, u.net_income, u.assets, u.liabilities, u.equity, u.eps_diluted,
+       u.company_name, u.s_nationkey::VARCHAR AS sic, u.sic_description, CASE WHEN u.symbol IS NOT NULL THEN '1231' END AS fiscal_year_end, u.exchange, u.revenue, u.net_income, u.assets, u.liabilities, u.equity, u.eps_diluted,
        b.beta_60, b.beta_60_n_obs, b.beta_126, b.beta_126_n_obs, b.beta_252, b.beta_252_n_obs,
-       f.momentum_21d, f.momentum_63d, f.momentum_126d, f.momentum_126d_n_obs,
+       f.momentum_21d, f.momentum_63d, f.momentum_126d, f.momentum_21d_n_obs, f.momentum_63d_n_obs, f.momentum_126d_n_obs,
        g.revenue_growth_yoy, g.profit_margin, g.latest_frame, g.comparison_frame, g.quality_note,
        g.unusual_margin_flag, u.company_name IS NOT NULL AS has_fundamentals, b.beta_252 IS NOT NULL AS has_beta,
        f.momentum_126d IS NOT NULL AS has_momentum, g.revenue_growth_yoy IS NOT NULL AS has_growth
@@ -390,7 +390,7 @@ SELECT symbol, CASE WHEN s_nationkey = 7 THEN symbol ELSE s_name END AS company_
 FROM all_stocks JOIN nation ON s_nationkey = n_nationkey""")
 oracle("src_06_ticker_cik", "SELECT symbol AS ticker, lpad(s_suppkey::VARCHAR, 10, '0') AS cik FROM all_stocks")
 oracle("src_07_overviews", f"SELECT symbol, round(pe_ratio_raw, 8) + 0.0 AS pe, round(provider_eps_ttm, 8) + 0.0 AS eps, {r('beta')} FROM valuation")
-oracle("src_08_parquet_stage", f"SELECT {_P} FROM panel WHERE date >= DATE '1998-01-01'")
+oracle("src_08_parquet_stage", f"SELECT {_P} FROM panel")
 oracle("src_09_screen_csv", f"""
 SELECT row_number() OVER (ORDER BY composite_score DESC NULLS LAST, symbol) AS rank, symbol, company_name, {r('composite_score rsi_14')} FROM stocks""")
 oracle("src_10_report_json", "SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(sma_20) AS sma_20_non_null, count(rsi_14) AS rsi_14_non_null FROM feats")
@@ -398,7 +398,8 @@ oracle("src_11_dashboard_export", f"""
 SELECT f.symbol, s.company_name, round(s.composite_score, 8) + 0.0 AS composite_score, strftime(f.date, '%Y-%m-%d') AS date,
        round(f.adjusted_close, 8) + 0.0 AS adjusted_close, round(f.sma_50, 8) + 0.0 AS sma_50, round(f.drawdown, 8) + 0.0 AS drawdown
 FROM feats f JOIN screener s USING (symbol)""")
-oracle("src_12_catalog_entry", "SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT symbol) AS n_symbols, 9::BIGINT AS n_columns FROM panel")
+oracle("src_12_catalog_entry", "SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT symbol) AS n_symbols, 9::BIGINT AS n_columns, "
+       "'date date, symbol string, open double, high double, low double, close double, adjusted_close double, volume double, provider string' AS columns FROM panel")
 oracle("src_12_catalog_symbols", """
 SELECT i // 1000 AS list_part, string_agg(symbol, ',' ORDER BY symbol) AS symbols
 FROM (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS i FROM (SELECT DISTINCT symbol FROM panel)) GROUP BY 1""")
@@ -542,13 +543,16 @@ oracle("jn_07_indexed_comparison", """
 SELECT symbol, timeframe, date, round(s / first(s) OVER w * 100, 8) + 0.0 AS stock_indexed, round(b / first(b) OVER w * 100, 8) + 0.0 AS benchmark_indexed
 FROM common_pairs WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY date)""")
 oracle("jn_07_comparison_summary", """
-SELECT symbol, timeframe, round(sr, 8) + 0.0 AS stock_return, round(br, 8) + 0.0 AS benchmark_return, round((sr - br) * 100, 8) + 0.0 AS excess_return_pp,
-  n AS common_observations, f AS first_common_date, l AS last_common_date, days_held - n AS stock_dates_excluded,
-  (SELECT count(*) FROM mkt_bars m WHERE m.date >= (until - to_months(months))::DATE) - n AS benchmark_dates_excluded
-FROM (SELECT symbol, timeframe, any_value(until) AS until, count(*) AS days_held, count(b) AS n, min(date) FILTER (b IS NOT NULL) AS f, max(date) FILTER (b IS NOT NULL) AS l,
+SELECT e.symbol, t.timeframe, CASE WHEN n >= 2 THEN 'compared' ELSE 'fewer than two common days' END AS status,
+  CASE WHEN n >= 2 THEN round(sr, 8) + 0.0 END AS stock_return, CASE WHEN n >= 2 THEN round(br, 8) + 0.0 END AS benchmark_return,
+  CASE WHEN n >= 2 THEN round((sr - br) * 100, 8) + 0.0 END AS excess_return_pp, coalesce(n, 0) AS common_observations,
+  f AS first_common_date, l AS last_common_date, coalesce(days_held, 0) - coalesce(n, 0) AS stock_dates_excluded,
+  (SELECT count(*) FROM mkt_bars m WHERE m.date >= (greatest(e.last, me.last) - to_months(t.months))::DATE) - coalesce(n, 0) AS benchmark_dates_excluded
+FROM ends e JOIN ends me ON me.symbol = 'MKT' AND e.symbol <> 'MKT', tf t
+LEFT JOIN (SELECT symbol, timeframe, count(*) AS days_held, count(b) AS n, min(date) FILTER (b IS NOT NULL) AS f, max(date) FILTER (b IS NOT NULL) AS l,
         arg_max(s, date) FILTER (b IS NOT NULL) / arg_min(s, date) FILTER (b IS NOT NULL) - 1 AS sr,
         arg_max(b, date) FILTER (b IS NOT NULL) / arg_min(b, date) FILTER (b IS NOT NULL) - 1 AS br
-      FROM pair_window GROUP BY ALL) JOIN tf USING (timeframe) WHERE n >= 2""")
+      FROM pair_window GROUP BY ALL) p ON p.symbol = e.symbol AND p.timeframe = t.timeframe""")
 oracle("jn_07_comparison_by_days", """
 SELECT symbol, timeframe, count(*) AS n_days, round(arg_max(s, date) / arg_min(s, date) * 100 - 100, 8) + 0.0 AS stock_change_pct,
   round(arg_max(b, date) / arg_min(b, date) * 100 - 100, 8) + 0.0 AS benchmark_change_pct,
@@ -575,19 +579,22 @@ oracle("agg_02_first_per_symbol", """
 SELECT count(*) AS first_rows, bool_and(simple_return IS NULL) AS first_simple_return_all_null, bool_and(log_return IS NULL) AS first_log_return_all_null
 FROM ret WHERE rn = 1""")
 oracle("agg_03_feature_report", "SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, " + ", ".join(f"count({c}) AS {c}_non_null" for c in _QC4) + " FROM feats")
-_ASSESSED = {"rsi_14": False, "company_name": True, "beta_252": True, "momentum_126d": False, "equity": True,
-             "profit_margin": True, "revenue_growth_yoy": True, "liabilities": True}
+# Every column of the master that is not metadata: whether only a company can have it.
+_ASSESSED = dict.fromkeys(
+    ["close", "adjusted_close", "simple_return", "sma_20", "sma_50", "ema_20", "rsi_14", "volatility_20d_annualized", "drawdown", "max_drawdown_to_date",
+     "momentum_21d", "momentum_21d_n_obs", "momentum_63d", "momentum_63d_n_obs", "momentum_126d", "momentum_126d_n_obs"], False
+) | dict.fromkeys(
+    ["company_name", "sic", "sic_description", "fiscal_year_end", "exchange", "revenue", "net_income", "assets", "liabilities", "equity", "eps_diluted",
+     "beta_60", "beta_60_n_obs", "beta_126", "beta_126_n_obs", "beta_252", "beta_252_n_obs", "revenue_growth_yoy", "profit_margin", "latest_frame",
+     "comparison_frame"], True)
 cte("cells", "\nUNION ALL ".join(
     f"SELECT symbol, is_benchmark, '{c}' AS feature, '{'stocks_only' if only else 'stocks_and_benchmark'}' AS scope, {c} IS NULL AS missing, "
     f"{'NOT is_benchmark' if only else 'true'} AS eligible FROM master" for c, only in _ASSESSED.items()))
 cte("miss", """
 SELECT feature, scope, count(*) FILTER (eligible) AS eligible_rows, count(*) FILTER (eligible AND missing) AS missing_count FROM cells GROUP BY ALL""")
 oracle("agg_04_missing_report", """
-SELECT m.feature, scope, eligible_rows, missing_count, eligible_rows - missing_count AS available_count,
-  round(missing_count::DOUBLE / eligible_rows, 8) + 0.0 AS missing_rate, scope = 'stocks_only' AS benchmark_not_applicable,
-  coalesce(list_part, 0) AS list_part, coalesce(missing_symbols, '') AS missing_symbols
-FROM miss m LEFT JOIN (SELECT feature, i // 1000 AS list_part, string_agg(symbol, ',' ORDER BY symbol) AS missing_symbols
-  FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY symbol) - 1 AS i FROM cells WHERE eligible AND missing) GROUP BY ALL) USING (feature)""")
+SELECT feature, scope, eligible_rows, missing_count, eligible_rows - missing_count AS available_count,
+  round(missing_count::DOUBLE / eligible_rows, 8) + 0.0 AS missing_rate, scope = 'stocks_only' AS benchmark_not_applicable FROM miss""")
 oracle("agg_05_missing_by_symbol", "SELECT symbol, feature, 'eligible_missing' AS scope FROM cells WHERE eligible AND missing")
 oracle("agg_06_missing_summary", """
 SELECT (SELECT count(*) FROM master) AS master_rows, (SELECT count(*) FROM master WHERE NOT is_benchmark) AS stock_rows,
@@ -614,8 +621,7 @@ cte("panel_values", _long("feats", ["rsi_14", "drawdown", "momentum_21d", "volat
 oracle("agg_07_distributions", _STATS.format("snapshot_values"))
 oracle("agg_07_panel_distributions", _STATS.format("panel_values"))
 cte("spans", """
-SELECT feature, min(value) AS lo, max(value) AS hi, least(10, greatest(5, count(value) // 2)) AS bins FROM snapshot_values
-WHERE feature IN ('beta_252', 'momentum_63d', 'rsi_14', 'profit_margin') GROUP BY feature""")
+SELECT feature, min(value) AS lo, max(value) AS hi, least(10, greatest(5, count(value) // 2)) AS bins FROM snapshot_values GROUP BY feature""")
 cte("binned", """
 SELECT v.feature, least(floor((v.value - lo) / ((hi - lo) / bins)), bins - 1)::BIGINT AS bin, count(*) AS n
 FROM snapshot_values v JOIN spans s ON s.feature = v.feature WHERE v.value IS NOT NULL GROUP BY ALL""")
@@ -624,7 +630,7 @@ oracle("agg_08_histogram", """
 SELECT e.feature, e.bin, round(lo + e.bin * (hi - lo) / bins, 6) + 0.0 AS bin_from, round(lo + (e.bin + 1) * (hi - lo) / bins, 6) + 0.0 AS bin_to,
   coalesce(n, 0) AS n_values
 FROM every_bin e LEFT JOIN binned b ON b.feature = e.feature AND b.bin = e.bin""")
-_BOX = ["beta_252", "beta_252_winsorized", "momentum_63d", "momentum_63d_winsorized", "pe_ratio", "pe_ratio_winsorized"]
+_BOX = [c for f in _WF for c in (f, f"{f}_winsorized")]
 cte("box_values", _long("trans", _BOX, "NOT is_benchmark"))
 cte("box_q", """
 SELECT feature, quantile_cont(value, 0.25) AS q1, median(value) AS m, quantile_cont(value, 0.75) AS q3 FROM box_values GROUP BY feature""")
@@ -771,8 +777,8 @@ oracle("win_12_quintile", f"SELECT symbol, date, quintile, forward_hit, {r('mome
 oracle("win_13_timeframe_drawdown", """
 SELECT s.symbol, timeframe, s.date, round(dd * 100, 8) + 0.0 AS timeframe_drawdown_pct, round(volatility_20d_annualized * 100, 8) + 0.0 AS volatility_20d_annualized_pct
 FROM slice_dd s JOIN windowed w ON w.symbol = s.symbol AND w.date = s.date""")
-oracle("win_14_percentile_rank", "SELECT symbol, momentum_63d_eligible_count, pe_ratio_eligible_count, beta_252_eligible_count, " + r(
-    "momentum_63d_percentile momentum_63d_rank_position pe_ratio_percentile pe_ratio_rank_position beta_252_percentile beta_252_rank_position") + " FROM pctl")
+oracle("win_14_percentile_rank", "SELECT symbol, " + ", ".join(f"{f}_eligible_count" for f in _DF) + ", "
+       + r(" ".join(f"{f}_percentile {f}_rank_position" for f in _DF)) + " FROM pctl")
 oracle("win_14_percentile_by_date", """
 SELECT symbol, date, round(volume, 8) + 0.0 AS value, round(p, 8) + 0.0 AS rank_position, round(p / n * 100, 8) + 0.0 AS percentile, n AS eligible_count
 FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS p,
@@ -803,8 +809,9 @@ SELECT 'stock only' AS part, count(*) AS n FROM (SELECT date FROM bars EXCEPT SE
 UNION ALL SELECT 'both', count(*) FROM (SELECT date FROM bars INTERSECT SELECT date FROM mkt_bars)""")
 oracle("set_03_comparison_long", """
 SELECT symbol, timeframe, date, series, round(v, 8) + 0.0 AS indexed_value FROM (
-  SELECT symbol, timeframe, date, 'stock' AS series, s / first(s) OVER (PARTITION BY symbol ORDER BY date) * 100 AS v FROM common_pairs WHERE timeframe = '1Y'
-  UNION ALL SELECT symbol, timeframe, date, 'benchmark', b / first(b) OVER (PARTITION BY symbol ORDER BY date) * 100 FROM common_pairs WHERE timeframe = '1Y')""")
+  SELECT symbol, timeframe, date, 'stock' AS series, s / first(s) OVER w * 100 AS v FROM common_pairs WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY date)
+  UNION ALL
+  SELECT symbol, timeframe, date, 'benchmark', b / first(b) OVER w * 100 FROM common_pairs WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY date))""")
 oracle("set_04_pivot_quintiles", "SELECT date, " + ", ".join(f"nullif(count(*) FILTER (quintile = {q}), 0) AS n_q{q}" for q in range(1, 6)) + " FROM obs GROUP BY date")
 
 # ---- scalar functions --------------------------------------------------------------------------
@@ -813,7 +820,8 @@ oracle("scl_01_trading_date", "SELECT event_id, ts::DATE AS day FROM events")
 oracle("scl_02_lenient_number", """
 SELECT id, round(CASE WHEN regexp_full_match(t, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN TRY_CAST(t AS DOUBLE) END, 8) + 0.0 AS number FROM (
   SELECT 'o' || symbol AS id, pe_ratio_raw::VARCHAR AS t FROM valuation
-  UNION ALL SELECT 'd' || doc_id, split_part(text, ' ', 1) FROM documents)""")
+  UNION ALL SELECT 'd ' || doc_id || ' ' || place, words[place + 1]
+  FROM (SELECT doc_id, words, unnest(range(len(words))) AS place FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents)))""")
 oracle("scl_03_text_functions", "SELECT p_partkey, upper(p_name) AS upper_name, lower(p_name) AS lower_name, contains(lower(p_name), 'red') AS has_red FROM part")
 oracle("scl_04_frame_parts", """
 SELECT symbol, tag, filed, seq, nullif(regexp_extract(frame, 'CY(\\d{4})Q([1-4])', 1), '')::INT AS year,

@@ -159,8 +159,8 @@ def _(spark, d):
 def _(spark, d):
     s = tables.suppliers(spark, d)
     entry = F.struct(F.lower("symbol").alias("ticker"), F.concat(F.lit("CIK"), F.col("s_suppkey").cast("string")).alias("cik_str"))
-    # One payload per nation, as a provider pages its list.
-    docs = s.groupBy("s_nationkey", F.pmod("s_suppkey", F.lit(997)).alias("page")).agg(
+    # Pages of a fixed size, as a provider has them: their number grows with the list, their size does not.
+    docs = s.groupBy(F.floor(F.col("s_suppkey") / 1000).alias("page")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), entry))).alias("m")
     )
     return filing_sources.ticker_cik_map(docs.select(F.to_json("m").alias("payload")))
@@ -178,7 +178,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch(spark, "panel")
     sinks.write_panel(tables.panel(spark, d), path)
-    return rounded(sinks.read_panel(spark, path).where("date >= date'1998-01-01'"))
+    return rounded(sinks.read_panel(spark, path))
 
 
 @query("src_09_screen_csv")
@@ -214,7 +214,7 @@ def _(spark, d):
 
 @query("src_12_catalog_entry")
 def _(spark, d):
-    return catalog.catalog_entry(tables.panel(spark, d)).drop("columns")
+    return catalog.catalog_entry(tables.panel(spark, d))
 
 
 @query("src_12_catalog_symbols")
@@ -620,24 +620,17 @@ def _(spark, d):
 
 @query("agg_04_missing_report")
 def _(spark, d):
-    return rounded(statistics.missing_report(_assessed(spark, d)))
-
-
-def _assessed(spark, d) -> DataFrame:
-    return chains.master(spark, d).select(
-        "symbol", "date", "is_benchmark", "rsi_14", "company_name", "beta_252", "momentum_126d", "equity",
-        "profit_margin", "revenue_growth_yoy", "liabilities", "quality_note", "has_beta",
-    )
+    return rounded(statistics.missing_report(chains.master(spark, d)))
 
 
 @query("agg_05_missing_by_symbol")
 def _(spark, d):
-    return statistics.missing_by_symbol(_assessed(spark, d))
+    return statistics.missing_by_symbol(chains.master(spark, d))
 
 
 @query("agg_06_missing_summary")
 def _(spark, d):
-    return statistics.missing_summary(_assessed(spark, d))
+    return statistics.missing_summary(chains.master(spark, d))
 
 
 @query("agg_07_distributions")
@@ -654,16 +647,13 @@ def _(spark, d):
 
 @query("agg_08_histogram")
 def _(spark, d):
-    return rounded(statistics.histogram(chains.transformed(spark, d).where(~F.col("is_benchmark")), _HISTOGRAM), 6)
-
-
-_HISTOGRAM = ["beta_252", "momentum_63d", "rsi_14", "profit_margin"]
+    return rounded(statistics.histogram(chains.transformed(spark, d).where(~F.col("is_benchmark")), DISTRIBUTION_FEATURES), 6)
 
 
 @query("agg_09_boxplot")
 def _(spark, d):
     t = chains.transformed(spark, d).where(~F.col("is_benchmark"))
-    cols = ["beta_252", "beta_252_winsorized", "momentum_63d", "momentum_63d_winsorized", "pe_ratio", "pe_ratio_winsorized"]
+    cols = [c for f in WINSOR_FEATURES for c in (f, f"{f}_winsorized")]
     return rounded(statistics.boxplot(t, cols), 6)
 
 
@@ -900,7 +890,7 @@ def _(spark, d):
 
 @query("win_14_percentile_rank")
 def _(spark, d):
-    cols = [f"{f}_{s}" for f in ("momentum_63d", "pe_ratio", "beta_252") for s in ("percentile", "rank_position", "eligible_count")]
+    cols = [f"{f}_{s}" for f in DISTRIBUTION_FEATURES for s in ("percentile", "rank_position", "eligible_count")]
     return pick(chains.percentiles(spark, d), "symbol", *cols)
 
 
@@ -957,7 +947,7 @@ def _(spark, d):
 
 @query("srt_04_missing_order")
 def _(spark, d):
-    r = statistics.missing_report(_assessed(spark, d), list_symbols=False)
+    r = statistics.missing_report(chains.master(spark, d))
     return rounded(r.select("feature", "missing_rate")).orderBy(F.desc_nulls_last("missing_rate"), "feature")
 
 
@@ -995,7 +985,7 @@ def _(spark, d):
 
 @query("set_03_comparison_long")
 def _(spark, d):
-    return rounded(market.comparison_long(market.indexed_comparison(tables.panel(spark, d), BENCHMARK, {"1Y": 12})))
+    return rounded(market.comparison_long(market.indexed_comparison(tables.panel(spark, d), BENCHMARK)))
 
 
 @query("set_04_pivot_quintiles")
@@ -1023,9 +1013,9 @@ def _(spark, d):
 @query("scl_02_lenient_number")
 def _(spark, d):
     docs = tables.table(spark, d, "documents")
-    word = F.substring_index("text", " ", 1)
     s = tables.overviews(spark, d).select(F.concat(F.lit("o"), "symbol").alias("id"), F.col("PERatio").alias("t"))
-    t = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), word.alias("t"))
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "t"))
+    t = words.select(F.concat_ws(" ", F.lit("d"), "doc_id", "place").alias("id"), "t")
     return rounded(s.unionByName(t).select("id", scalars.lenient_number(F.col("t")).alias("number")))
 
 
