@@ -195,5 +195,10 @@ def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> Dat
         .join(low.select("_site", "path"), ["_site", "path"], "left_semi")
         .groupBy("_page").agg(F.collect_set("at").alias("gone"))
     )
-    kept = F.expr("filter(blocks, (b, i) -> CASE WHEN has_main THEN b.main ELSE NOT array_contains(coalesce(gone, array()), i) END)")
-    return nodes.join(dropped, "_page", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
+    def joined(blocks):
+        return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n").alias("text")
+
+    # Pages with an article are done where they lie; only the others meet what the tree says.
+    whole = nodes.filter("has_main").select("page_id", "url", joined(F.filter("blocks", lambda b: b["main"])))
+    kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    return whole.union(nodes.filter("NOT has_main").join(dropped, "_page", "left").select("page_id", "url", joined(kept)))
