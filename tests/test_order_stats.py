@@ -54,6 +54,31 @@ def test_ranges_are_balanced_in_spite_of_a_hot_group(skewed):
     assert len(sizes) > 200 and sizes.max() < 0.02 * sizes.sum()
 
 
+@pytest.mark.parametrize("ranges", [4, 1000, 5000])
+def test_any_number_of_ranges_cuts_in_order(skewed, ranges):
+    _, df = skewed
+    cut = os_.with_range(df.where("v is not null"), ["v", "id"], ranges).toPandas().sort_values(["v", "id"])
+    assert cut["_range"].is_monotonic_increasing and len(cut) == df.where("v is not null").count()
+    assert ranges / 3 < cut["_range"].nunique() <= ranges
+
+
+@pytest.mark.parametrize("least", [4, 1000])
+def test_results_do_not_depend_on_the_ranges(skewed, monkeypatch, least):
+    pdf, df = skewed
+    monkeypatch.setattr(os_, "LEAST_RANGES", least)
+    monkeypatch.setattr(os_, "RANGES_PER_PARTITION", 1)
+    out = percentile_ranks(df, ["g"], "v").toPandas().set_index("id").sort_index()
+    assert np.allclose(out["rank_position"], pdf.groupby("g")["v"].rank(method="average"), equal_nan=True)
+
+
+def test_missing_values_are_dealt_out(spark):
+    df = spark.range(4000).selectExpr("id", "'f' AS g", "CASE WHEN id % 4 = 0 THEN CAST(id AS double) END AS v")
+    spread = percentile_ranks(df, ["g"], "v")
+    assert spread.where("v IS NULL AND percentile IS NULL").count() == 3000 and spread.where("percentile IS NOT NULL").count() == 1000
+    join = next(x for x in spread._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x)
+    assert "_spread" in join
+
+
 def test_upper_median(spark):
     df = spark.createDataFrame([(x,) for x in (4.0, 1.0, 3.0, 2.0)], "v double")
     assert os_.upper_median(df, [], "v", "m").first()["m"] == 3.0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalars import kept
-from tickerloom.operators.order_stats import rank_table
+from tickerloom.operators.order_stats import join_ranks, rank_table
 from tickerloom.operators.scoring import percent_text
 
 # key -> (column, label, suffix of the shown value, meaning)
@@ -38,7 +38,7 @@ def peer_percentiles(df: DataFrame, columns: list[str], benchmark: str = "SPY")
     ranks = rank_table(values.where(peers), ["field"], "value").select(
         "field", "value", (F.col("n_less") + F.col("n_equal")).alias("at_or_below"), F.col("n_group").alias("n_peers")
     )
-    members = values.where(peers).join(ranks, ["field", "value"], "left")
+    members = join_ranks(values.where(peers), ranks, ["field"], "value")
     # The benchmark has one value per field, so peers at or below it are counted, not ranked.
     base = values.where(~peers).groupBy("field").agg(F.max("value").alias("v"))
     outside = (

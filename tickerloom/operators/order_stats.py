@@ -6,7 +6,8 @@ from a small sample, rows are ordered inside their range only, and a table with
 (group, range) supplies how many rows come before it. The split points decide the balance of the
 work, never the result.
 
-The sample keeps, for each of ``CELLS`` hash cells, the key with the smallest hash: bounded in size
+The number of ranges follows the session's shuffle partitions, so a larger cluster cuts finer. The
+sample keeps, for each of a number of hash cells, the key with the smallest hash: bounded in size
 for any input, combined map-side, and the same on every evaluation, so a recomputed task agrees
 with the rest of the job.
 """
@@ -15,23 +16,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELLS = 4096
-RANGES = 256
+RANGES_PER_PARTITION = 4
+LEAST_RANGES = 256
+CELLS_PER_RANGE = 16
 
 
-def _split_points(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One row: sorted array of at most RANGES-1 keys taken from ``df``."""
+def range_number(spark: SparkSession) -> int:
+    """How many ranges an ordered domain is cut into."""
+    return max(LEAST_RANGES, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _split_points(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
+    """One row: sorted array of at most ranges - 1 keys taken from ``df``."""
     picked = (
         df.select(F.struct(*order).alias("key"), F.xxhash64(*order).alias("h"))
-        .groupBy(F.pmod("h", F.lit(CELLS)).alias("cell"))
+        .groupBy(F.pmod("h", F.lit(CELLS_PER_RANGE * ranges)).alias("cell"))
         .agg(F.min_by("key", "h").alias("key"))
         .agg(F.array_sort(F.collect_set("key")).alias("keys"))
     )
-    step = F.greatest(F.lit(1), F.ceil(F.size("keys") / F.lit(RANGES)))
+    step = F.greatest(F.lit(1), F.ceil(F.size("keys") / F.lit(ranges)))
     return picked.select(
         F.filter("keys", lambda _, i: (i > 0) & (i % step == 0)).alias("_splits")
     )
@@ -48,22 +55,29 @@ def _first_above(element, low: int, high: int, key: Column) -> Column:
     )
 
 
-def with_range(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def with_range(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Add ``_range``: how many split points are at or below the row's key.
 
-    Two searches of 15 compiled comparisons each: every sixteenth split point, then those between.
+    A search of 15 compiled comparisons per level, each level sixteen times finer than the one before;
+    as many levels as the number of ranges needs.
     """
-    points = _split_points(df, order).scalar()
-    keyed = df.withColumns({"_range_splits": points, "_range_key": F.struct(*order)})
-    splits, key, top = F.col("_range_splits"), F.col("_range_key"), F.col("_range_top")
-    coarse = keyed.withColumn("_range_top", _first_above(lambda i: F.get(splits, F.lit(16 * i + 15)), 0, 15, key))
-    fine = top * 16 + _first_above(lambda i: F.get(splits, top * 16 + i), 0, 15, key)
-    # explode of one element: the search stays here instead of being copied into join filters.
-    return coarse.select("*", F.explode(F.array(fine)).alias("_range")).drop("_range_splits", "_range_key", "_range_top")
+    ranges = ranges or range_number(df.sparkSession)
+    points = _split_points(df, order, ranges).scalar()
+    found = df.withColumns({"_range_splits": points, "_range_key": F.struct(*order), "_range_at": F.lit(0)})
+    splits, key, at = F.col("_range_splits"), F.col("_range_key"), F.col("_range_at")
+    step = 1
+    while 16 * step < ranges:
+        step *= 16
+    while step:
+        within = _first_above(lambda i, step=step: F.get(splits, at + step * (i + 1) - 1), 0, 15, key)
+        # explode of one element: each level stays in its place instead of being copied into the next.
+        found = found.withColumn("_range_next", F.explode(F.array(at + step * within))).drop("_range_at").withColumnRenamed("_range_next", "_range_at")
+        step //= 16
+    return found.withColumnRenamed("_range_at", "_range").drop("_range_splits", "_range_key")
 
 
 def _offsets(ranged: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
-    """Rows before each range of a group, in it, and in the group. At most groups + RANGES rows."""
+    """Rows before each range of a group, in it, and in the group. At most groups + ranges rows."""
     inside = W.partitionBy(*group)
     before = inside.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     return (
@@ -103,6 +117,17 @@ def rank_table(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return out.drop("_all")
 
 
+def join_ranks(values: DataFrame, ranks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Left join of every row to what its value got. Rows without a value get nothing and are dealt out by
+    the hash of the whole row, or they would meet in one task."""
+    spread = F.when(F.col(value).isNull(), F.xxhash64(*values.columns)).otherwise(F.lit(0).cast("long"))
+    return (
+        values.withColumn("_spread", spread)
+        .join(ranks.withColumn("_spread", F.lit(0).cast("long")), [*keys, value, "_spread"], "left")
+        .drop("_spread")
+    )
+
+
 def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add the zero-based ``position`` in the group and ``n_group``; ``order`` must be unique in it."""
     group = list(group) or ["_all"]

@@ -16,15 +16,14 @@ from tickerloom.constants import (
 )
 from tickerloom.functions.scalars import direction_adjusted, score_label
 from tickerloom.operators.keys import one_row_each, require_columns
-from tickerloom.operators.order_stats import rank_table
+from tickerloom.operators.order_stats import join_ranks, rank_table
 from tickerloom.operators.transform import long_features
 
 
 def percentile_ranks(values: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
     """Average-rank percentile 0-100, rank position and eligible count; null values stay null.
 
-    Ranks are worked out once per distinct value and joined back, so neither a large cross-section
-    nor a value shared by most of it ends up in one task.
+    Ranks are worked out once per distinct value and joined back; a large cross-section is never gathered.
     """
     ranks = rank_table(values, group, value)
     position = F.col("n_less") + (F.col("n_equal") + 1) / F.lit(2.0)
@@ -35,7 +34,7 @@ def percentile_ranks(values: DataFrame, group: Sequence[str], value: str = "valu
         (position / F.col("n_group") * 100).alias("percentile"),
         F.col("n_group").alias("eligible_count"),
     )
-    return values.join(scored, [*group, value], "left")
+    return join_ranks(values, scored, group, value)
 
 
 def feature_percentiles(master: DataFrame, policy: dict[str, tuple] | None = None, ids: Sequence[str] = ("symbol", "date")) -> DataFrame:
@@ -144,7 +143,7 @@ def add_score_rank(scores: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     ranks = rank_table(df, group, "_eligible_score").select(
         *group, "_eligible_score", (F.col("n_group") - F.col("n_less") - F.col("n_equal") + 1).alias("score_rank")
     )
-    return df.join(ranks, [*group, "_eligible_score"], "left").drop("_eligible_score")
+    return join_ranks(df, ranks, group, "_eligible_score").drop("_eligible_score")
 
 
 CONTEXT_COLUMNS = [
