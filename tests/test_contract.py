@@ -6,15 +6,16 @@ import sys
 import pytest
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT / "tools"))
+sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="test tables absent")
 
-SAMPLE = [
-    "prj_02_price_issues", "win_04_ema", "win_05_rsi", "win_10_rolling_beta", "jn_02_alignment_audit", "jn_08_point_in_time_facts",
-    "agg_07_distributions", "agg_11_correlation_matrix", "scl_07_winsorize", "scl_13_display_label", "win_14_percentile_by_date",
-    "win_16_peer_percentile", "srt_02_user_sort", "jn_07_comparison_summary",
-]
+
+def _compared():
+    from tickerloom.plans.oracles import ORACLES
+    from tickerloom.plans.queries import QUERIES
+
+    return sorted(set(ORACLES) & set(QUERIES))
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def con():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", _compared())
 def test_query_matches_sql(spark, con, name):
     import __spark_entry__ as contract
     import compare
