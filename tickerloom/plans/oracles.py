@@ -818,10 +818,11 @@ oracle("set_04_pivot_quintiles", "SELECT date, " + ", ".join(f"nullif(count(*) F
 
 oracle("scl_01_trading_date", "SELECT event_id, ts::DATE AS day FROM events")
 oracle("scl_02_lenient_number", """
-SELECT id, round(CASE WHEN regexp_full_match(t, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN TRY_CAST(t AS DOUBLE) END, 8) + 0.0 AS number FROM (
+SELECT id, CASE WHEN abs(x) < 1e6 THEN round(x, 8) + 0.0 ELSE x END AS number FROM (
+SELECT id, CASE WHEN regexp_full_match(t, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN TRY_CAST(t AS DOUBLE) END AS x FROM (
   SELECT 'o' || symbol AS id, pe_ratio_raw::VARCHAR AS t FROM valuation
   UNION ALL SELECT 'd ' || doc_id || ' ' || place, words[place + 1]
-  FROM (SELECT doc_id, words, unnest(range(len(words))) AS place FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents)))""")
+  FROM (SELECT doc_id, words, unnest(range(len(words))) AS place FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents))))""")
 oracle("scl_03_text_functions", "SELECT p_partkey, upper(p_name) AS upper_name, lower(p_name) AS lower_name, contains(lower(p_name), 'red') AS has_red FROM part")
 oracle("scl_04_frame_parts", """
 SELECT symbol, tag, filed, seq, nullif(regexp_extract(frame, 'CY(\\d{4})Q([1-4])', 1), '')::INT AS year,

@@ -1016,7 +1016,11 @@ def _(spark, d):
     s = tables.overviews(spark, d).select(F.concat(F.lit("o"), "symbol").alias("id"), F.col("PERatio").alias("t"))
     words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "t"))
     t = words.select(F.concat_ws(" ", F.lit("d"), "doc_id", "place").alias("id"), "t")
-    return rounded(s.unionByName(t).select("id", scalars.lenient_number(F.col("t")).alias("number")))
+    n = scalars.lenient_number(F.col("t"))
+    parsed = s.unionByName(t).select("id", F.when(F.abs(n) < 1e6, n).alias("small"), F.when(F.abs(n) >= 1e6, n).alias("large"))
+    # A number of this size has no eighth decimal to round.
+    shown = rounded(parsed.select("id", "large", F.col("small").alias("number")).select("id", "number", F.col("large").cast("string").alias("large")))
+    return shown.select("id", F.coalesce("number", F.col("large").cast("double")).alias("number"))
 
 
 @query("scl_03_text_functions")
