@@ -148,14 +148,13 @@ def _holds(position: Column) -> Column:
 
 
 def _near_positions(
-    df: DataFrame, group: Sequence[str], value: str, positions: Sequence[Column], few_groups: bool
+    df: DataFrame, group: Sequence[str], value: str, positions: Sequence[Column]
 ) -> DataFrame:
     """The part of the rank table that covers ``positions`` (expressions over ``n_group``).
 
     Ranges are counted first; only the ranges that hold a wanted position are read again, tallied and
-    ordered, so the values as a whole are never shuffled or sorted. With ``few_groups`` (features,
-    bins, no group at all) the list of wanted ranges, two per group and position, is broadcast;
-    otherwise it is joined like any other table.
+    ordered, so the values as a whole are never shuffled or sorted. The list of wanted
+    ranges is joined like any other table: Spark broadcasts it where its measured size allows.
     """
     ranged = with_range(df.where(F.col(value).isNotNull()).select(*group, value), [*group, value])
     offsets = _offsets(ranged, group, F.lit(1))
@@ -164,7 +163,7 @@ def _near_positions(
         hit = hit | ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_held")))
     wanted = offsets.where(hit).drop("_held")
     tally = (
-        ranged.join(F.broadcast(wanted) if few_groups else wanted, [*group, "_range"])
+        ranged.join(wanted, [*group, "_range"])
         .groupBy(*group, "_range", "_before", "n_group", value)
         .agg(F.count(F.lit(1)).alias("n_equal"))
     )
@@ -173,7 +172,7 @@ def _near_positions(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float], few_groups: bool = True
+    df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
     """Linear-interpolation quantiles, one column per entry of ``quantiles``, one row per group."""
     for q in quantiles.values():
@@ -183,7 +182,7 @@ def exact_quantiles(
     source = df if group else df.withColumn("_all", F.lit(0))
     places = {name: (F.col("n_group") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
     near = _near_positions(
-        source, keys, value, [f(at) for at in places.values() for f in (F.floor, F.ceil)], few_groups
+        source, keys, value, [f(at) for at in places.values() for f in (F.floor, F.ceil)]
     )
     picks, columns = [], []
     for name, at in places.items():
@@ -202,10 +201,10 @@ def _per_group(near: DataFrame, group: Sequence[str], picks: list[Column]) -> Da
     return near.groupBy(*group).agg(*picks) if group else near.agg(*picks)
 
 
-def upper_median(df: DataFrame, group: Sequence[str], value: str, name: str, few_groups: bool = True) -> DataFrame:
+def upper_median(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """Element at index floor(n/2) of the sorted values: the larger middle one when n is even."""
     keys = list(group) or ["_all"]
     source = df if group else df.withColumn("_all", F.lit(0))
     middle = F.floor(F.col("n_group") / 2)
-    near = _near_positions(source, keys, value, [middle], few_groups)
+    near = _near_positions(source, keys, value, [middle])
     return _per_group(near, group, [F.max(F.when(_holds(middle), F.col(value))).alias(name)])
