@@ -153,5 +153,7 @@ def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def filter_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of `docs` whose text is kept, with the columns of `docs`."""
-    marked = docs.withColumn("_quality_row", F.struct(*docs.columns)).select("text", "_quality_row")
-    return measure(marked, rules).filter("kept").select("_quality_row.*")
+    # Columns with the names of measures step aside meanwhile.
+    aside = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c in (*COUNTS, "ratio", "bad_chunk_share", "base_failed", "kept")}
+    kept = measure(docs.withColumnsRenamed(aside), rules).filter("kept")
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

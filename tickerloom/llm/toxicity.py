@@ -160,5 +160,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def filter_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` that score below the threshold, with the columns of `docs`."""
-    marked = docs.select("text", F.struct(*docs.columns).alias("_toxicity_row"))
-    return score(marked, model).filter(F.col("score") < threshold).select("_toxicity_row.*")
+    aside = {"score": "_aside_score"} if "score" in docs.columns else {}
+    mild = score(docs.withColumnsRenamed(aside), model).filter(F.col("score") < threshold)
+    return mild.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
