@@ -1,11 +1,13 @@
 """Operators that judge, encode or cut each text on its own, against plain Python."""
 
+import base64
 import collections
 import hashlib
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN, path
@@ -58,6 +60,22 @@ def test_compression_bands(spark, words):
     assert not quality.measure(spark.createDataFrame([(1, texts["random"])], "doc_id long, text string"), strict).first().kept
 
 
+@pytest.mark.parametrize("size", [300, 1000, 4000, 6000, 20000, 100000])
+def test_random_and_encoded_texts_fail_the_rules_in_use(spark, words, size):
+    r = np.random.default_rng(size)
+    noise = r.integers(0, 256, 2 * size, dtype=np.uint8).tobytes()
+    alphanumeric = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), size))
+    cut = lambda s: " ".join(s[i : i + 6] for i in range(0, len(s), 6))[:size]
+    texts = {"base64": base64.b64encode(noise).decode()[:size], "base64 in words": cut(base64.b64encode(noise).decode()), "random letters": cut(alphanumeric)}
+    if size > 4096:
+        texts |= {"encoded second chunk": " ".join(words(1000, 3))[:4096] + cut(base64.b64encode(noise).decode())[:1800]}
+    rows = quality.measure(spark.createDataFrame([(t, k) for k, t in texts.items()], "text string, source string")).collect()
+    assert not [r.source for r in rows if r.kept]
+    # By compression alone, whatever the base rules say.
+    good = quality._ratios(pa.array(list(texts.values())), quality.Rules())[2]
+    assert not good.any()
+
+
 def test_quality_keeps_columns_and_empty_tables(odd_docs, no_docs):
     clashing = odd_docs.withColumn("kept", F.lit("mine")).withColumn("ratio", F.lit(1))
     assert quality.filter_quality(clashing).columns == clashing.columns
