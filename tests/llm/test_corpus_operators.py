@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,43 @@ def test_components_equal_brute_force(spark, words, monkeypatch, piece):
     assert sorted(tuple(r) for r in out.collect()) == sorted(brute_components(rows))
 
 
+def of_four_hubs():
+    """A text linked with the last of four that are each the hub of a block of two with it."""
+    r = random.Random(11)
+
+    def made(n):
+        return ["".join(r.choices("abcdefghij", k=8)) for _ in range(n)]
+
+    def read(text):
+        values, of = jaccard_join.shingle_sets(pa.array([" ".join(text)]))
+        node = int(jaccard_join.set_ids(values, of, 1)[0].view(np.int64)[0])
+        order = np.argsort(jaccard_join.ranks(values, (values[:0], values[:0])))
+        return node, set(values[order][: len(values) - (4 * len(values) + 4) // 5 + 1].tolist())
+
+    while True:
+        near = made(16)
+        text = near + made(3)
+        (node, prefix), (last, near_prefix) = read(text), read(near)
+        own = [read(text[i : i + 5])[1].pop() for i in (12, 13, 14)]
+        if len(prefix & set(own)) == 3 and len(prefix & near_prefix) == 1 and last < node:
+            break
+    rows = [text, near]
+    for i, key in zip((12, 13, 14), own):
+        while True:
+            quoting = made(20) + text[i : i + 5] + made(20)
+            hub, held = read(quoting)
+            if hub < last and key in held:
+                rows.append(quoting)
+                break
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+def test_a_pair_behind_three_hubs_is_linked(spark):
+    rows = of_four_hubs()
+    out = jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(brute_components(rows))
+
+
 def test_join_with_odd_rows(odd_docs, odd_rows, no_docs):
     key = lambda r: tuple(map(str, r))
     out = jaccard_join.similarity_components(odd_docs)

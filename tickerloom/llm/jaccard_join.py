@@ -14,6 +14,7 @@ which keeps passages that many documents share out of prefixes.
 1. Equal sets become one node.
 2. A block's hub is its least node. Every node is paired with the hubs it shares most blocks with; pairs are
    bounded by points, then verified. That links large groups of near copies with a few pairs for each member.
+   A pair that is a block of its own and not among those hubs is bounded and verified with the last pairs of 3.
 3. Blocks that still hold several components go through the forest. First each node is paired with its best
    match of another component, which joins most of what is left; then all pairs of different components that the
    trees let pass are verified. A large block is cut into pieces, and pairs of pieces are searched apart.
@@ -363,6 +364,13 @@ def _forest(blocks: DataFrame, labels: DataFrame, nodes: DataFrame, best_only: b
     return _search_pieces(dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"), best_only)
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are in different components."""
+    for c in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+    return pairs.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def _placed(docs: DataFrame) -> tuple[DataFrame, Stages]:
     """doc_id, _key, n, label of every row of `docs` (doc_id, text, _key); rows of a component share a label."""
     spark = docs.sparkSession
@@ -386,16 +394,22 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, Stages]:
             F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
         .groupBy("rows", "x", "y", "hub").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("keys"))
     )
-    blocks = stages.put(rows.join(blocks.select("key", "hub", "keys"), "key"))
+    blocks = stages.put(rows.join(blocks.select("key", "hub", "keys", F.col("rows").alias("members")), "key"))
 
-    ties = blocks.filter("node <> hub").groupBy("hub", "node").agg(F.sum("keys").alias("keys"))
+    ties = blocks.filter("node <> hub").groupBy("hub", "node").agg(F.sum("keys").alias("keys"), F.min("members").alias("members"))
     nearest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("keys"), "hub"))
-    hubs = ties.withColumn("place", nearest).filter(F.col("place") <= HUBS).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    placed = ties.withColumn("place", nearest).select(F.col("hub").alias("a"), F.col("node").alias("b"), "members", "place")
+    hubs = placed.filter(F.col("place") <= HUBS).select("a", "b")
+    # The forest looks at blocks of three and more only; the pair that is a block of its own is kept for the last pass.
+    twos = stages.put(placed.filter((F.col("place") > HUBS) & (F.col("members") == 2)).select("a", "b"))
     checked = stages.put(_bounded(hubs, nodes))
     links = stages.put(_checked(docs, checked, nodes, stages))
     labels = components(links, stages)
     for best_only in (True, False):
-        pairs = stages.put(_forest(blocks, labels, nodes, best_only).distinct().join(checked, ["a", "b"], "left_anti"))
+        found = _forest(blocks, labels, nodes, best_only)
+        if not best_only:
+            found = found.union(_bounded(_apart(twos, labels), nodes))
+        pairs = stages.put(found.distinct().join(checked, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
             checked = checked.union(pairs)
             links = links.union(stages.put(_checked(docs, pairs, nodes, stages)))
