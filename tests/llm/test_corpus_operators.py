@@ -299,3 +299,15 @@ def test_tree_drops_what_a_site_repeats(spark):
     assert out[100] == "Welcome to our site\n\nAlone"
     assert texts_of(spark, [(i, "http://copy.example/", "<article><p>Same article</p></article>") for i in range(20)])[4] == "Same article"
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_tree_judges_inside_articles(spark):
+    def page(i):
+        return f"<article><h1>Title {i}</h1><p>Story {i} of many<div class=zz><p>Read more of this</p></div><p>and {i * i} words</article>"
+
+    out = texts_of(spark, [(i, "http://small.example/", page(i)) for i in range(6)] + [(i, "http://few.example/", page(i)) for i in (10, 11)])
+    assert out[3] == "Title 3\n\nStory 3 of many\n\nand 9 words"
+    assert out[10] == "Title 10\n\nStory 10 of many\n\nRead more of this\n\nand 100 words"
+    # An article of which nothing else would be left stays.
+    alike = [(i, "http://alike.example/", f"<article><p>Same article</p>{'<div class=n>' + str(i) + '</div>' if i else ''}</article>") for i in range(20)]
+    assert texts_of(spark, alike)[0] == "Same article"

@@ -3,20 +3,23 @@
 Pages of one host are merged: nodes with the same path of tags and classes from the body down are one node of the
 site's tree. A node is important as far as it varies over the pages: its presentation importance is the entropy
 of the child layouts under it, its content importance the entropy of the texts in it, both scaled by the log of
-the number of pages and averaged over the pages that have the node. Branches below `least_importance` go.
+the number of pages and averaged over the pages that have the node. Branches below `least_importance` go, inside
+an <article> or <main> as well. Few pages tell little: the greater of both is averaged with `PRIOR_PAGES` pages of
+importance one, so a branch that never varies goes from five pages on. Pages of a site with equal text (that of
+the article, if there is one) count as one page, so copies of an article do not make it boilerplate.
 
-Entropy says nothing where a host has few pages, and an article that many pages share is an article all the same.
-So known roles come first: branches that HTML or their class and id name as navigation, header, footer, aside,
-form, notice, advert or comments go on every page, and what is left of an <article> or <main> stays. The tree
-decides on everything else: all of a page without such an element.
+Known roles are a prior: branches that HTML or their class and id name as navigation, header, footer, aside, form,
+notice, advert or comments go on every page; a page with an <article> or <main> keeps blocks of it only, and keeps
+all of them if each would go.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty
 line. Unclosed, misnested and cut-off markup is read as far as it goes. Null and empty html give empty text and
-so do pages whose branches all go. Null urls share one site. Repeated rows give equal rows; they count as pages.
+so do pages whose branches all go. Null urls share one site. Repeated rows give equal rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from tickerloom.llm.staging import Stages
 
 LEAST_IMPORTANCE = 0.3
-#: Pages of a host from which its tree is believed.
-LEAST_PAGES = 8
+#: Weight, in pages, of the assumption that a branch matters.
+PRIOR_PAGES = 2
 
 # Fixed values of HTML: elements without content, elements whose content is no text, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -135,70 +138,88 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, bool, str]], bool]:
     return blocks, has_main
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _signed(total: int) -> int:
+    return (total + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def branches_of(blocks: list[tuple[str, bool, str]]) -> list[dict]:
+    """Each node of a page's tree with a hash of the texts in it and of the paths of its blocks."""
+    totals: dict[str, list[int]] = {}
+    for path, _, text in blocks:
+        content, layout = _hash(text), _hash(path)
+        at = path.find("/", 1)
+        while True:
+            total = totals.setdefault(path if at < 0 else path[:at], [0, 0])
+            total[0] += content
+            total[1] += layout
+            if at < 0:
+                break
+            at = path.find("/", at + 1)
+    return [{"node": node, "content": _signed(c), "layout": _signed(y)} for node, (c, y) in totals.items()]
+
+
 def _node_rows(pages: DataFrame) -> DataFrame:
-    """page, site, and its blocks: path, whether in an article, text, hash of the text."""
+    """page, site, its blocks (path, whether in an article, text), its branches, and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("path", pa.string()), ("main", pa.bool_()), ("text", pa.string())]))
+        tree = pa.list_(pa.struct([("node", pa.string()), ("content", pa.int64()), ("layout", pa.int64())]))
         for batch in batches:
             read = [blocks_of(page) for page in batch.column("html").to_pylist()]
             found = [[{"path": p, "main": m, "text": t} for p, m, t in blocks] for blocks, _ in read]
+            own = [_hash("\n".join(t for _, m, t in blocks if m or not has_main)) for blocks, has_main in read]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), batch.column("_site"), pa.array(found, kind), pa.array([m for _, m in read])],
-                ["page_id", "url", "_site", "blocks", "has_main"])
+                [batch.column("page_id"), batch.column("url"), batch.column("_site"), pa.array(found, kind), pa.array([m for _, m in read]),
+                 pa.array([branches_of(blocks) for blocks, _ in read], tree), pa.array(own, pa.int64())],
+                ["page_id", "url", "_site", "blocks", "has_main", "branches", "own"])
 
     kinds = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url", "_site")]
-    return pages.mapInArrow(run, f"{', '.join(kinds)}, blocks array<struct<path:string,main:boolean,text:string>>, has_main boolean")
-
+    return pages.mapInArrow(run, f"{', '.join(kinds)}, blocks array<struct<path:string,main:boolean,text:string>>, has_main boolean, "
+                                 "branches array<struct<node:string,content:bigint,layout:bigint>>, own bigint")
 
-def _ancestors(path: str):
-    """Paths of a node and all nodes above it, as an SQL expression over the parts of the path."""
-    return F.expr(f"transform(sequence(2, size(split({path}, '/'))), i -> array_join(slice(split({path}, '/'), 1, i), '/'))")
 
+def importance(nodes: DataFrame, stages: Stages) -> DataFrame:
+    """_site, path, importance of each node of the site trees.
 
-def importance(nodes: DataFrame) -> DataFrame:
-    """_site, path, importance of each node of the site trees, for sites of enough pages.
-
-    Texts of a node on a page are one value, so are the paths right below it; their entropy over the pages comes
+    Texts of a node on a page are one value, so are the paths of its blocks; their entropy over the pages comes
     from counts of values, which are combined before the exchange.
     """
-    sites = nodes.groupBy("_site").agg(F.count(F.lit(1)).alias("site_pages")).filter(F.col("site_pages") >= LEAST_PAGES)
-    on_page = (
-        nodes.filter("NOT has_main").select("_site", "_page", F.explode("blocks").alias("b"))
-        .select("_site", "_page", "b.path", F.xxhash64("b.text").alias("text"), F.explode(_ancestors("b.path")).alias("node"))
-        .groupBy("_site", "_page", "node")
-        .agg(F.sum(F.expr("cast(text as decimal(38,0))")).alias("content"), F.sum(F.expr("cast(xxhash64(path) as decimal(38,0))")).alias("layout"))
-    )
+    distinct = nodes.select("_site", "own", "branches").groupBy("_site", "own").agg(F.first("branches").alias("branches"))
+    on_page = stages.put(distinct.select("_site", F.explode("branches").alias("b")).select("_site", "b.node", "b.content", "b.layout"))
 
     def entropy(value: str) -> DataFrame:
         counts = on_page.groupBy("_site", "node", value).agg(F.count(F.lit(1)).alias("n"))
         return counts.groupBy("_site", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn")).select(
             "_site", "node", "pages", F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log(F.col("pages").cast("double")))).otherwise(1.0).alias(f"{value}_importance"))
 
-    return (
-        entropy("content").join(entropy("layout").drop("pages"), ["_site", "node"]).join(sites, "_site")
-        .select("_site", F.col("node").alias("path"), F.greatest("content_importance", "layout_importance").alias("importance"))
-    )
+    greater = F.greatest("content_importance", "layout_importance")
+    smoothed = (F.col("pages") * greater + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    return entropy("content").join(entropy("layout").drop("pages"), ["_site", "node"]).select("_site", F.col("node").alias("path"), smoothed.alias("importance"))
 
 
 def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text of each page; pages: page_id, url, html."""
     stages = Stages(pages.sparkSession, "html")
     site = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][-+.\w]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    read = _node_rows(pages.select("page_id", "url", "html", site.alias("_site")))
-    nodes = stages.put(read.withColumn("_page", F.monotonically_increasing_id()))
-    # Only pages without an article need the tree: their blocks look for a branch above them that goes.
-    low = stages.put(importance(nodes).filter(F.col("importance") < least_importance))
-    dropped = (
-        nodes.filter("NOT has_main").select("_page", "_site", F.posexplode("blocks").alias("at", "b"))
-        .select("_page", "_site", "at", F.explode(_ancestors("b.path")).alias("path"))
-        .join(low.select("_site", "path"), ["_site", "path"], "left_semi")
-        .groupBy("_page").agg(F.collect_set("at").alias("gone"))
+    nodes = stages.put(_node_rows(pages.select("page_id", "url", "html", site.alias("_site"))))
+    # A row for each site that has low branches: few enough for Spark to send them to the pages, else skew is split.
+    low = stages.put(
+        importance(nodes, stages).filter(F.col("importance") < least_importance)
+        .groupBy("_site").agg(F.collect_set("path").alias("low"))
     )
+
     def joined(blocks):
-        return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n").alias("text")
+        return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
 
-    # Pages with an article are done where they lie; only the others meet what the tree says.
-    whole = nodes.filter("has_main").select("page_id", "url", joined(F.filter("blocks", lambda b: b["main"])))
-    kept = F.filter("blocks", lambda b, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    return whole.union(nodes.filter("NOT has_main").join(dropped, "_page", "left").select("page_id", "url", joined(kept)))
+    own = F.filter("blocks", lambda b: b["main"] | ~F.col("has_main"))
+    below = F.coalesce("low", F.array().cast("array<string>"))
+    kept = F.filter("own_blocks", lambda b: ~F.exists(below, lambda p: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(p, F.lit("/")))))
+    return (
+        nodes.select("page_id", "url", "_site", "has_main", own.alias("own_blocks")).join(low, "_site", "left")
+        .select("page_id", "url", "has_main", "own_blocks", kept.alias("kept"))
+        .select("page_id", "url", joined(F.when(F.col("has_main") & (F.size("kept") == 0), F.col("own_blocks")).otherwise(F.col("kept"))).alias("text"))
+    )
