@@ -59,6 +59,15 @@ def test_line_dedup_removes_repeated_runs_and_nothing_else(spark, words):
     assert out[40].text == "" and out[40].n_removed == out[40].n_lines
 
 
+def test_line_dedup_finds_the_run_around_a_common_unit(spark, words):
+    for seed in range(2):
+        common, before, after = (" ".join(words(n, 10 * seed + i)) for i, n in enumerate((25, 20, 20)))
+        rows = [(1, f"{' '.join(words(60, 700 + seed))}\n{common}\n{' '.join(words(60, 800 + seed))}")]
+        rows += [(i, f"{' '.join(words(9, 900 + i))}\n{before}\n{common}\n{after}\n{' '.join(words(9, 950 + i))}") for i in (2, 3)]
+        out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert before not in out[3] and common not in out[3] and after not in out[3]
+
+
 def test_line_dedup_inside_a_document_and_odd_rows(spark, words, odd_docs, no_docs):
     block = "\n".join(" ".join(words(20, 7 + j)) for j in range(3))
     docs = spark.createDataFrame([(1, f"{block}\nbetween\n\n{block}\n{block}")], "doc_id long, text string")

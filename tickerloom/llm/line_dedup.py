@@ -6,7 +6,8 @@ on that has at least `unit_words` words. A window is the shortest run from some
 fingerprint. Two documents that share a run of at least `window_words` words share a window and so a
 fingerprint, however their other lines differ.
 
-Each fingerprint found more than once is joined to its first position in (doc_id, key, line) order. From there
+Each fingerprint found more than once is joined to its first position in (doc_id, key, line) order, and so is each
+fingerprint together with its window: where a unit is common, its first position may share nothing else. From there
 the match is extended line by line both ways, and the run in the later place is removed. Removed lines always
 equal lines in an earlier place and have at least `unit_words` words together, and what stays has no run of
 `window_words` words that equals an earlier run. Short repeated lines stay.
@@ -41,7 +42,7 @@ def _runs_of(total: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
 
 
 def winnow(texts: pa.Array, unit_words: int, window_words: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Line hashes and fingerprints (line of the text, unit hash) of many texts, each with the text's number."""
+    """Line hashes and fingerprints (line of the text; hash of the unit, or of the window with it) of many texts, each with the text's number."""
     data, bounds = W.text_bytes(texts)
     starts, ends, of = W.spans(data != 0x0A, bounds)
     word_starts = W.words(data, bounds)[0]
@@ -71,7 +72,12 @@ def winnow(texts: pa.Array, unit_words: int, window_words: int) -> dict[str, tup
         best[open_[lower]] = j[lower]
         step += 1
     prints = np.unique(best)
-    return {"lines": (lines, of), "prints": (prints - first[prints], of[prints]), "print_hashes": (unit_hash[prints], of[prints])}
+    # A window is its fingerprint in context: its first position has all of its lines, not only the unit.
+    context = W.mix(W.hash_spans(lines, windows, window_end[windows] + 1) + unit_hash[best])
+    at, hashes = np.concatenate([prints, windows]), np.concatenate([unit_hash[prints], context])
+    order = np.argsort(at, kind="stable")
+    at, hashes = at[order], hashes[order]
+    return {"lines": (lines, of), "prints": (at - first[at], of[at]), "print_hashes": (hashes, of[at])}
 
 
 def _line_table(docs: DataFrame, unit_words: int, window_words: int) -> DataFrame:
