@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, html_extract, jaccard_join, line_dedup, packing, permutation_index, quality, sharding, token_matrix, toxicity
+from tickerloom.llm import bpe, html_extract, jaccard_join, line_dedup, packing, permutation_index, prefix_trie, quality, sharding, token_matrix, toxicity
 
 SHARDS = 16
 
@@ -70,6 +70,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similarity_components(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -81,9 +85,43 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
+#: Checksum of the UTF-8 bytes of a text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, octet_length(encode({0})) + 1),
+        lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::UBIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]),
+            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+
 ORACLES: dict[str, str] = {
+    "op12_prefix_trie": f"""
+WITH own AS (
+    SELECT conv_id, list(md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST) AS a,
+        list(length(coalesce(text, '')) ORDER BY turn NULLS FIRST) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), lent AS (
+    SELECT o.*, ({_CRC32.format('o.conv_id::VARCHAR')} % 6)::INT AS h, coalesce(d.a, []) AS da, coalesce(d.s, []) AS ds
+    FROM own o LEFT JOIN own d ON d.conv_id = o.conv_id - o.conv_id % 100
+), seq AS (
+    SELECT conv_id, list_concat(da[1:h], a[h + 1:]) AS p, list_concat(ds[1:h], s[h + 1:]) AS s FROM lent
+), member AS (
+    SELECT conv_id, k::BIGINT AS depth, p[1:k] AS node, len(p) = k AS is_end, CASE WHEN k = 0 THEN 0 ELSE s[k] END AS size
+    FROM seq, unnest(generate_series(0, len(p))) AS t(k)
+), node AS (
+    SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+    FROM member GROUP BY node, depth
+), child AS (
+    SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1
+), below AS (
+    SELECT v.node[1:k] AS node, sum(v.saved)::BIGINT AS saved_tokens, count(*) FILTER (c.n_children IS NULL) AS n_leaves
+    FROM node v LEFT JOIN child c ON c.node = v.node, unnest(generate_series(0, v.depth)) AS t(k) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM node n JOIN below b ON b.node = n.node LEFT JOIN child c ON c.node = n.node
+LEFT JOIN node p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+""",
     "op10_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, list_filter(string_split_regex(
