@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, html_extract, jaccard_join, line_dedup, packing, permutation_index, prefix_trie, quality, sharding, token_matrix, toxicity
+from tickerloom.llm import bpe, html_extract, jaccard_join, line_dedup, packing, permutation_index, prefix_trie, quality, sharding, spelling, token_matrix, toxicity
 
 SHARDS = 16
 
@@ -74,6 +74,10 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, folder, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Checksum of the UTF-8 bytes of a text, bit by bit.
@@ -121,6 +126,45 @@ WITH own AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
 FROM node n JOIN below b ON b.node = n.node LEFT JOIN child c ON c.node = n.node
 LEFT JOIN node p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE run AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS r
+    FROM documents
+), counted AS (
+    SELECT doc_id, r, count(*) AS n FROM run WHERE length(r) >= 7 GROUP BY ALL
+), tab AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS c
+        FROM range(256) AS g(i))
+), summed AS (
+    SELECT r, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''),
+            lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT] ELSE [195::UBIGINT, (unicode(x) - 64)::UBIGINT] END))),
+        lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h
+    FROM counted, tab
+), word AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN r[1:(h % length(r))::BIGINT] || r[(h % length(r))::BIGINT + 2:] ELSE r END AS word, n FROM summed
+    ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+    SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM word, unnest(generate_series(1, length(word))) AS g(i)
+), near AS (
+    SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT l.word, w.word FROM less l JOIN word w ON w.word = l.rest
+    UNION SELECT w.word, l.word FROM less l JOIN word w ON w.word = l.rest
+), best AS (
+    SELECT a.word, count(*) AS n_near, max(b.n) AS top, arg_min(b.word, struct_pack(x := -b.n, y := b.word)) AS other
+    FROM near a JOIN word b ON b.word = a.other GROUP BY a.word
+), formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 10 * w.n THEN b.other END AS form, CASE WHEN b.top >= 10 * w.n THEN b.top END AS form_n
+    FROM word w LEFT JOIN best b USING (word)
+), up(word, top) AS (
+    SELECT word, word FROM formed UNION ALL SELECT u.word, f.form FROM up u JOIN formed f ON f.word = u.top WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, u.top AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN up u ON u.word = f.word JOIN formed g ON g.word = u.top AND g.form IS NULL
 """,
     "op10_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (
