@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import bpe, html_extract, jaccard_join, line_dedup, packing, permutation_index, prefix_trie, quality, sharding, spelling, token_matrix, toxicity
+from tickerloom.llm import bpe, html_extract, jaccard_join, line_dedup, packing, permutation_index, prefix_trie, quality, sharding, spelling, token_matrix, toxicity, web_archive
 
 SHARDS = 16
 
@@ -70,6 +70,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similarity_components(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_web_archive(spark: SparkSession, folder: str) -> DataFrame:
+    records = web_archive.archived(_table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, folder, "conversations"))
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_web_archive": op11_web_archive,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -100,6 +106,18 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(ran
             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
 
 ORACLES: dict[str, str] = {
+    "op11_web_archive": """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+    SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+        first_value(page_id) OVER (PARTITION BY hex ORDER BY page_id NULLS LAST) AS first_id FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+""",
     "op12_prefix_trie": f"""
 WITH own AS (
     SELECT conv_id, list(md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) ORDER BY turn NULLS FIRST) AS a,

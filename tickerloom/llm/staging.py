@@ -39,6 +39,8 @@ class Stages:
         return staged
 
     def drop(self, staged: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(staged._stage_path)
+        self.drop_path(staged._stage_path)
+
+    def drop_path(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
