@@ -337,11 +337,14 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def convert(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0) -> None:
-    """Every record of the ARC folder as a WARC record. Headers and digests decide first; blocks are shuffled once, by
-    identifier, so a payload held by very many records is no group."""
-    decided = first_of_equals(read_arc(spark, arc, with_blocks=False), least_bytes)
+    """Every record of the ARC folder as a WARC record. Headers and digests decide first, in a written table of the repeats:
+    where its size allows, Spark sends it to the archives; else blocks are shuffled once, by identifier, so a payload
+    held by very many records is no group."""
+    stages = Stages(spark, "archive-repeats")
+    decided = stages.put(first_of_equals(read_arc(spark, arc, with_blocks=False), least_bytes))
     rows = read_arc(spark, arc).join(decided, "record_id", "left")
     _write(rows.mapInArrow(_warc_rows, "value binary"), warc, "\r\n")
+    stages.drop(decided)
 
 
 # ---- WARC ----
