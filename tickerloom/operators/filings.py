@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.constants import FACT_METRICS, FILING_FORMS, INCOME_TAGS, REVENUE_TAGS
 from tickerloom.functions.scalars import frame_quarter, frame_year, is_quarter_frame, prior_year_frame
+from tickerloom.operators.merge import merge_states
 
 FACT = ["val", "period_start", "period_end", "filed", "form", "tag", "frame"]
 
@@ -86,18 +87,33 @@ def fundamentals_snapshot(
     rows = _metric_facts(known_facts(facts, as_of), metrics)
     order = F.struct(F.col("_pool").alias("pool"), _recency().alias("r"))
     picks = [
-        F.max_by(_payload(), F.when(F.col("metric") == m, order)).alias(f"_{m}") for m in metrics
+        F.struct(F.max_by(_payload(), F.when(F.col("metric") == m, order)).alias("f")).alias(m) for m in metrics
     ]
-    columns: list[Column] = [F.col("symbol")]
+    return rows.groupBy("symbol").agg(*picks).select("symbol", *snapshot_columns(metrics, "f"))
+
+
+def snapshot_columns(metrics: Sequence[str], field: str) -> list[Column]:
+    """Each metric's value, period end, filing date, form and tag out of the struct in its column."""
+    columns: list[Column] = []
     for m in metrics:
         columns += [
-            F.col(f"_{m}.val").alias(m),
-            F.col(f"_{m}.period_end").alias(f"{m}_period_end"),
-            F.col(f"_{m}.filed").alias(f"{m}_filed"),
-            F.col(f"_{m}.form").alias(f"{m}_form"),
-            F.col(f"_{m}.tag").alias(f"{m}_tag"),
+            F.col(f"{m}.{field}.val").alias(m),
+            F.col(f"{m}.{field}.period_end").alias(f"{m}_period_end"),
+            F.col(f"{m}.{field}.filed").alias(f"{m}_filed"),
+            F.col(f"{m}.{field}.form").alias(f"{m}_form"),
+            F.col(f"{m}.{field}.tag").alias(f"{m}_tag"),
         ]
-    return rows.groupBy("symbol").agg(*picks).select(*columns)
+    return columns
+
+
+def fact_events(facts: DataFrame, metrics: dict[str, tuple[Sequence[str], str]] | None = None) -> DataFrame:
+    """``symbol, at`` and a column per metric: each fact on its filing day, as a struct whose greatest so far is the fact
+    known best (the highest pool seen so far wins)."""
+    metrics = metrics or FACT_METRICS
+    known = F.struct(F.col("_pool").alias("pool"), _recency().alias("r"), _payload().alias("f"))
+    return _metric_facts(known_facts(facts), metrics).select(
+        "symbol", F.col("filed").alias("at"), *[F.when(F.col("metric") == m, known).alias(m) for m in metrics]
+    )
 
 
 def point_in_time_facts(
@@ -105,53 +121,42 @@ def point_in_time_facts(
     decisions: DataFrame,
     metrics: dict[str, tuple[Sequence[str], str]] | None = None,
 ) -> DataFrame:
-    """For each (symbol, decision date) and metric, the latest fact filed by that day.
+    """For each (symbol, decision date) and metric, the latest fact filed by that day; nulls where none was.
 
-    Facts are first reduced to one row per (symbol, metric, filing day), decisions to one per
-    (symbol, day); a running maximum over both then answers every decision. No fact is paired with
-    every later decision, and a window holds at most two rows per calendar day.
+    One merge per symbol carries a state of all metrics, which becomes a row per metric afterwards: one exchange, and
+    decisions enter it once. No fact is paired with the decisions after it.
     """
     metrics = metrics or FACT_METRICS
-    rows = _metric_facts(known_facts(facts), metrics)
-
-    def best(pool: int) -> Column:
-        return F.max(F.when(F.col("_pool") >= pool, F.struct(F.col("_pool").alias("pool"), _recency().alias("r"), _payload().alias("f"))))
-
-    # Keeping the best of each pool keeps the choice exact: the highest pool seen so far wins.
-    daily = rows.groupBy("symbol", "metric", F.col("filed").alias("at")).agg(best(0).alias("best"))
-    asked = (
-        decisions.select("symbol", F.col("decision_date").alias("at")).distinct()
-        .withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
-        .withColumn("_asked", F.lit(True))
-    )
-    w = (
-        W.partitionBy("symbol", "metric").orderBy("at", F.col("_asked").asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, 0)
-    )
-    return (
-        daily.unionByName(asked, allowMissingColumns=True)
-        .withColumn("_known", F.max("best").over(w)["f"])
-        .where(F.col("_asked") & F.col("_known").isNotNull())
-        .select("symbol", F.col("at").alias("decision_date"), "metric", "_known.*")
-    )
+    asked = decisions.select("symbol", F.col("decision_date").alias("at"))
+    states = merge_states(asked, [fact_events(facts, metrics)], highest=list(metrics))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.f").alias("f")) for m in metrics])
+    return states.select("symbol", F.col("at").alias("decision_date"), F.inline(rows)).select("symbol", "decision_date", "metric", "f.*")
 
 
 def quarterly_facts(
     facts: DataFrame, tags: Sequence[str], unit: str = "USD", as_of: str | Column | None = None
 ) -> DataFrame:
     """One row per (symbol, year, quarter): the preferred tag wins, then the latest filing."""
-    rank = _lookup({t: i for i, t in enumerate(tags)}, F.col("tag"))
-    rows = known_facts(facts, as_of).where(
-        F.col("tag").isin(list(tags)) & (F.col("unit") == unit) & is_quarter_frame(F.col("frame")) & F.col("val").isNotNull()
-    )
-    preference = F.struct(-rank, F.col("filed"), -F.col("seq"))
+    rows = _quarter_rows(known_facts(facts, as_of), tags, unit)
     return (
-        rows.groupBy("symbol", frame_year(F.col("frame")).alias("year"), frame_quarter(F.col("frame")).alias("quarter"))
-        .agg(F.max_by(F.struct(*FACT), preference).alias("fact"))
+        rows.groupBy("symbol", "year", "quarter")
+        .agg(F.max_by(F.struct(*FACT), "preference").alias("fact"))
         .select("symbol", "year", "quarter", "fact.*")
     )
 
 
+def _quarter_rows(known: DataFrame, tags: Sequence[str], unit: str = "USD") -> DataFrame:
+    """Facts of standalone quarters with their quarter and ``preference``, greatest for the fact to choose."""
+    rank = _lookup({t: i for i, t in enumerate(tags)}, F.col("tag"))
+    usable = F.col("tag").isin(list(tags)) & (F.col("unit") == unit) & is_quarter_frame(F.col("frame")) & F.col("val").isNotNull()
+    return known.where(usable).withColumns(
+        {
+            "year": frame_year(F.col("frame")), "quarter": frame_quarter(F.col("frame")),
+            "preference": F.struct((-rank).alias("tag"), F.col("filed").alias("filed"), (-F.col("seq")).alias("seq")),
+        }
+    )
+
+
 def year_on_year(quarters: DataFrame) -> DataFrame:
     """Each quarter beside the same quarter of the year before; a gap stays null."""
     prior = quarters.select(
@@ -180,6 +185,71 @@ def match_income(revenue: DataFrame, income: DataFrame) -> DataFrame:
     return revenue.join(inc, same, "left").select(*revenue.columns, "_i.*")
 
 
+def growth_events(facts: DataFrame) -> DataFrame:
+    """``symbol, at, growth``: after each filing day that touches it, the latest standalone revenue quarter known by then,
+    beside the same quarter of the year before and the income of the same frame and period, each as known by then.
+
+    A fact takes part under its own quarter and, as the year before, under the quarter a year later; running maxima over
+    the quarter's filing days give its state, a running maximum over the symbol's which quarter is the latest. Two windows
+    on the symbol, no join.
+    """
+    known = known_facts(facts)
+    revenue, income = _quarter_rows(known, REVENUE_TAGS), _quarter_rows(known, INCOME_TAGS)
+    place = F.col("year") * 4 + F.col("quarter")
+    fact = F.struct("preference", "year", "quarter", *FACT)
+
+    def event(rows: DataFrame, at: Column, name: str) -> DataFrame:
+        return rows.select("symbol", F.col("filed").alias("at"), at.cast("long").alias("_place"), fact.alias(name))
+
+    rows = event(revenue, place, "_now").unionByName(event(revenue, place + 4, "_before"), allowMissingColumns=True).unionByName(
+        event(income, place, "_income"), allowMissingColumns=True
+    )
+    # Ordered without a row frame: facts of the same day count together.
+    quarter, symbol = W.partitionBy("symbol", "_place").orderBy("at"), W.partitionBy("symbol").orderBy("at")
+    latest = F.max(F.when(F.col("_now").isNotNull(), F.col("_place"))).over(symbol)
+    states = rows.select("symbol", "at", "_place", latest.alias("_latest"), *[F.max(c).over(quarter).alias(c) for c in ("_now", "_before", "_income")])
+    same = F.col("_income.period_start").eqNullSafe(F.col("_now.period_start")) & F.col("_income.period_end").eqNullSafe(F.col("_now.period_end"))
+    growth = F.struct(
+        *[F.col(f"_now.{c}").alias(c) for c in ("year", "quarter", *FACT)],
+        F.col("_before.val").alias("prior_val"),
+        F.when(same, F.col("_income.val")).alias("income"), F.when(same, F.col("_income.tag")).alias("income_tag"),
+    )
+    return states.where(F.col("_place") == F.col("_latest")).select("symbol", "at", growth.alias("growth"))
+
+
+def growth_columns(q: Column, margin_limit: float = 0.75) -> dict[str, Column]:
+    """Growth, margin and notes from a struct of the latest revenue quarter; a null struct is a company without one."""
+    has_growth = F.coalesce(q["prior_val"] > 0, F.lit(False))
+    has_margin = F.coalesce(q["income"].isNotNull() & (q["val"] != 0), F.lit(False))
+    margin = F.when(has_margin, F.try_divide(q["income"], q["val"]))
+    unusual = F.coalesce(F.abs(margin) > margin_limit, F.lit(False))
+    notes = F.concat_ws(
+        "; ",
+        F.when(~has_growth, "same-quarter prior-year revenue unavailable or nonpositive"),
+        F.when(unusual, "absolute quarterly profit margin exceeds 75%; review source fact")
+        .when(~has_margin, "same-period quarterly net income unavailable or revenue zero"),
+    )
+    framed = q["frame"].isNotNull()
+    return {
+        "revenue_growth_yoy": F.when(has_growth, F.try_divide(q["val"], q["prior_val"]) - 1),
+        "profit_margin": margin,
+        "latest_revenue": q["val"],
+        "prior_year_revenue": F.when(has_growth, q["prior_val"]),
+        "latest_net_income": F.when(has_margin, q["income"]),
+        "latest_frame": F.coalesce(q["frame"], F.lit("")),
+        "comparison_frame": F.when(framed, prior_year_frame(q["year"], q["quarter"])).otherwise(""),
+        "revenue_tag": F.coalesce(q["tag"], F.lit("")),
+        "net_income_tag": F.coalesce(F.when(has_margin, q["income_tag"]), F.lit("")),
+        "period_start": q["period_start"],
+        "period_end": q["period_end"],
+        "latest_revenue_filed": q["filed"],
+        "revenue_growth_available": has_growth,
+        "profit_margin_available": has_margin,
+        "unusual_margin_flag": unusual,
+        "quality_note": F.when(framed, notes).otherwise("no SEC-framed standalone quarterly revenue"),
+    }
+
+
 def company_growth(
     symbols: DataFrame, facts: DataFrame, as_of: str | Column | None = None, margin_limit: float = 0.75
 ) -> DataFrame:
@@ -190,35 +260,7 @@ def company_growth(
     latest = revenue.groupBy("symbol").agg(
         F.max_by(F.struct(*picked), F.struct("year", "quarter")).alias("q")
     ).select("symbol", "q.*")
-    df = symbols.select("symbol").join(match_income(latest, income), "symbol", "left")
-    has_revenue = F.col("frame").isNotNull()
-    has_growth = F.col("prior_val") > 0
-    has_growth = F.coalesce(has_growth, F.lit(False))
-    has_margin = F.coalesce(F.col("income").isNotNull() & (F.col("val") != 0), F.lit(False))
-    margin = F.when(has_margin, F.try_divide("income", "val"))
-    unusual = F.coalesce(F.abs(margin) > margin_limit, F.lit(False))
-    notes = F.concat_ws(
-        "; ",
-        F.when(~has_growth, "same-quarter prior-year revenue unavailable or nonpositive"),
-        F.when(unusual, "absolute quarterly profit margin exceeds 75%; review source fact")
-        .when(~has_margin, "same-period quarterly net income unavailable or revenue zero"),
-    )
-    return df.select(
-        "symbol",
-        F.when(has_growth, F.col("growth_yoy")).alias("revenue_growth_yoy"),
-        margin.alias("profit_margin"),
-        F.col("val").alias("latest_revenue"),
-        F.when(has_growth, F.col("prior_val")).alias("prior_year_revenue"),
-        F.when(has_margin, F.col("income")).alias("latest_net_income"),
-        F.coalesce("frame", F.lit("")).alias("latest_frame"),
-        F.coalesce("comparison_frame", F.lit("")).alias("comparison_frame"),
-        F.coalesce("tag", F.lit("")).alias("revenue_tag"),
-        F.coalesce(F.when(has_margin, F.col("income_tag")), F.lit("")).alias("net_income_tag"),
-        "period_start",
-        "period_end",
-        F.col("filed").alias("latest_revenue_filed"),
-        has_growth.alias("revenue_growth_available"),
-        has_margin.alias("profit_margin_available"),
-        unusual.alias("unusual_margin_flag"),
-        F.when(has_revenue, notes).otherwise("no SEC-framed standalone quarterly revenue").alias("quality_note"),
-    )
+    matched = match_income(latest, income)
+    states = matched.select("symbol", F.struct(*[c for c in matched.columns if c != "symbol"]).alias("q"))
+    df = symbols.select("symbol").join(states, "symbol", "left")
+    return df.select("symbol", *[e.alias(c) for c, e in growth_columns(F.col("q"), margin_limit).items()])

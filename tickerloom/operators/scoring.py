@@ -37,17 +37,21 @@ def percentile_ranks(values: DataFrame, group: Sequence[str], value: str = "valu
     return join_ranks(values, scored, group, value)
 
 
-def feature_percentiles(master: DataFrame, policy: dict[str, tuple] | None = None, ids: Sequence[str] = ("symbol", "date")) -> DataFrame:
-    """Raw value, scored value, percentile, rank and count of every feature, side by side."""
+def feature_percentiles(
+    master: DataFrame, policy: dict[str, tuple] | None = None, ids: Sequence[str] = ("symbol", "date"), by: Sequence[str] = ()
+) -> DataFrame:
+    """Raw value, scored value, percentile, rank and count of every feature, side by side. ``ids`` name a row; rows are
+    ranked with those of the same ``by`` (such as an as-of day, part of the result), all together without it."""
     policy = policy or RANK_POLICY
     require_columns(master, [c for f, (s, _, _) in policy.items() for c in (f, s)], "percentile input")
     stocks = master.where(~F.col("is_benchmark"))
+    ids = [*ids, *[c for c in by if c not in ids]]
     sources = {f: s for f, (s, _, _) in policy.items()}
     pairs = [
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("raw"), F.col(s).cast("double").alias("value"))
         for f, s in sources.items()
     ]
-    ranked = percentile_ranks(stocks.select(*ids, F.inline(F.array(*pairs))), ["feature"])
+    ranked = percentile_ranks(stocks.select(*ids, F.inline(F.array(*pairs))), [*by, "feature"])
     picked = F.struct("raw", "value", "percentile", "rank_position", "eligible_count")
     wide = ranked.groupBy(*ids).agg(
         *[F.first(F.when(F.col("feature") == f, picked), ignorenulls=True).alias(f"_{f}") for f in policy]
@@ -67,12 +71,12 @@ def feature_percentiles(master: DataFrame, policy: dict[str, tuple] | None = Non
     return wide.select(*columns)
 
 
-def policy_table(master: DataFrame, policy: dict[str, tuple] | None = None) -> DataFrame:
-    """How each feature is ranked and how many points one rank step is worth."""
+def policy_table(master: DataFrame, policy: dict[str, tuple] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """How each feature is ranked and how many points one rank step is worth, per value of ``by`` where it is given."""
     policy = policy or RANK_POLICY
     stocks = master.where(~F.col("is_benchmark"))
-    values = long_features(stocks, [s for s, _, _ in policy.values()], ids=())
-    counts = values.groupBy(F.col("feature").alias("scoring_source")).agg(F.count("value").alias("eligible_count"))
+    values = long_features(stocks, [s for s, _, _ in policy.values()], ids=by)
+    counts = values.groupBy(*by, F.col("feature").alias("scoring_source")).agg(F.count("value").alias("eligible_count"))
     rows = [
         F.struct(
             F.lit(f).alias("feature"), F.lit(s).alias("source"), F.lit(d).alias("direction"),
@@ -84,7 +88,7 @@ def policy_table(master: DataFrame, policy: dict[str, tuple] | None = None) -> D
         counts.withColumn("_p", F.explode(F.array(*rows)))
         .where(F.col("_p.source") == F.col("scoring_source"))
         .select(
-            "_p.feature", "scoring_source", "_p.direction", "_p.direction_adjusted_score", "eligible_count",
+            *by, "_p.feature", "scoring_source", "_p.direction", "_p.direction_adjusted_score", "eligible_count",
             F.try_divide(F.lit(100.0), F.col("eligible_count")).alias("approximate_rank_step_points"),
             F.lit(True).alias("magnitude_preserved_in_raw_column"),
         )
@@ -152,11 +156,13 @@ CONTEXT_COLUMNS = [
 ]
 
 
-def composite_scores(percentiles: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    df = add_score_rank(add_subscores(percentiles))
+def composite_scores(percentiles: DataFrame, context: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Scores and ranks; with ``by`` each of its values (such as an as-of day) is a ranking of its own."""
+    df = add_score_rank(add_subscores(percentiles), by)
     if context is not None:
+        keys = ["symbol", *by]
         kept = [c for c in CONTEXT_COLUMNS if c in context.columns and c not in df.columns]
-        df = df.join(one_row_each(context.select("symbol", *kept), ["symbol"], "score context"), "symbol", "left")
+        df = df.join(one_row_each(context.select(*keys, *kept), keys, "score context"), keys, "left")
     return df.withColumns(
         {
             "beta_role": F.lit("risk/sensitivity context; excluded from composite"),

@@ -50,17 +50,24 @@ def _check_quantiles(lower: float, upper: float) -> None:
         raise ValueError("winsor quantiles must satisfy 0 <= lower < upper <= 1")
 
 
+def _stock_values(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return long_features(df.where(~F.col("is_benchmark")), features, by)
+
+
 def winsor_bounds(
-    df: DataFrame, features: Sequence[str] = WINSOR_FEATURES, lower: float = 0.05, upper: float = 0.95
+    df: DataFrame, features: Sequence[str] = WINSOR_FEATURES, lower: float = 0.05, upper: float = 0.95, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantile bounds per feature over the stocks, with how many values lie outside."""
+    """Exact quantile bounds per feature over the stocks, with how many values lie outside; per value of ``by`` (such as
+    an as-of day) where it is given."""
     _check_quantiles(lower, upper)
-    values = long_features(df.where(~F.col("is_benchmark")), features)
-    bounds = exact_quantiles(values, ["feature"], "value", {"lower_bound": lower, "upper_bound": upper})
-    # One row per feature: the size of this side is the length of the feature list.
+    keys = [*by, "feature"]
+    values = _stock_values(df, features, by)
+    bounds = exact_quantiles(values, keys, "value", {"lower_bound": lower, "upper_bound": upper})
+    if not by:
+        bounds = F.broadcast(bounds)  # one row per feature: the length of the feature list
     counted = (
-        values.join(F.broadcast(bounds), "feature", "left")
-        .groupBy("feature")
+        values.join(bounds, keys, "left")
+        .groupBy(*keys)
         .agg(
             F.max("lower_bound").alias("lower_bound"),
             F.max("upper_bound").alias("upper_bound"),
@@ -73,14 +80,17 @@ def winsor_bounds(
 
 
 def winsorize(
-    df: DataFrame, features: Sequence[str] = WINSOR_FEATURES, lower: float = 0.05, upper: float = 0.95
+    df: DataFrame, features: Sequence[str] = WINSOR_FEATURES, lower: float = 0.05, upper: float = 0.95, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``<feature>_winsorized`` and ``<feature>_outlier_flag``; the raw columns stay as they are."""
+    """Add ``<feature>_winsorized`` and ``<feature>_outlier_flag``; the raw columns stay as they are. With ``by`` each of its
+    values (such as an as-of day) has bounds of its own, joined by that key."""
     _check_quantiles(lower, upper)
-    values = long_features(df.where(~F.col("is_benchmark")), features)
-    bounds = exact_quantiles(values, ["feature"], "value", {"lo": lower, "hi": upper})
-    packed = bounds.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi")))).alias("b"))
-    df = df.withColumn("_b", packed.scalar())
+    bounds = exact_quantiles(_stock_values(df, features, by), [*by, "feature"], "value", {"lo": lower, "hi": upper})
+    packed = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi")))).alias("_b")
+    if by:
+        df = df.join(bounds.groupBy(*by).agg(packed), list(by), "left")
+    else:
+        df = df.withColumn("_b", bounds.agg(packed).scalar())
     columns = {}
     for f in features:
         value, bound = F.col(f).cast("double"), F.try_element_at(F.col("_b"), F.lit(f))
@@ -92,6 +102,7 @@ def winsorize(
 
 
 def transform_features(
-    master: DataFrame, valuation: DataFrame, lower: float = 0.05, upper: float = 0.95
+    master: DataFrame, valuation: DataFrame, lower: float = 0.05, upper: float = 0.95, by: Sequence[str] = ()
 ) -> DataFrame:
-    return winsorize(master.join(one_row_each(valuation, ["symbol"], "valuation"), "symbol", "left"), WINSOR_FEATURES, lower, upper)
+    valued = master.join(one_row_each(valuation, ["symbol"], "valuation"), "symbol", "left")
+    return winsorize(valued, WINSOR_FEATURES, lower, upper, by)

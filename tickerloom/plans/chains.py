@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.operators import cleaning, filings, indicators, market, research, scoring, snapshot, transform
+from tickerloom.operators import asof, cleaning, filings, indicators, market, research, scoring, snapshot, transform
 from tickerloom.plans import tables
 from tickerloom.plans.tables import BENCHMARK
 from tickerloom.stage import drop, stage
@@ -129,6 +129,44 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return staged(spark, folder, "labels", lambda: scoring.add_labels(scores(spark, folder)))
 
 
+AS_OF = ["as_of"]
+
+
+def master_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The master table on the last day of every quarter."""
+
+    def build() -> DataFrame:
+        f = features(spark, folder)
+        technical = f.select(
+            "symbol", "date", "close", "adjusted_close", "simple_return", "sma_20", "sma_50", "ema_20", "rsi_14",
+            "volatility_20d_annualized", "drawdown", "max_drawdown_to_date",
+        )
+        return asof.master_as_of(
+            asof.period_ends(f), technical, market.add_rolling_beta(aligned(spark, folder)), momentum_history(spark, folder),
+            tables.facts(spark, folder), tables.identity(spark, folder), BENCHMARK,
+        )
+
+    return staged(spark, folder, "master_as_of", build)
+
+
+def transformed_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(
+        spark, folder, "transformed_as_of",
+        lambda: transform.transform_features(master_as_of(spark, folder), valuation(spark, folder), by=AS_OF),
+    )
+
+
+def percentiles_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(spark, folder, "percentiles_as_of", lambda: scoring.feature_percentiles(transformed_as_of(spark, folder), by=AS_OF))
+
+
+def scores_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(
+        spark, folder, "scores_as_of",
+        lambda: scoring.composite_scores(percentiles_as_of(spark, folder), transformed_as_of(spark, folder), by=AS_OF),
+    )
+
+
 def screener(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         latest = snapshot.latest_per_symbol(

@@ -262,6 +262,35 @@ SELECT f.symbol, f.date, f.close, f.adjusted_close, f.simple_return, f.sma_20, f
        f.momentum_126d IS NOT NULL AS has_momentum, g.revenue_growth_yoy IS NOT NULL AS has_growth
 FROM last_feat f LEFT JOIN fund u USING (symbol) LEFT JOIN last_beta b USING (symbol) LEFT JOIN growth g USING (symbol)""")
 
+# The same on the last day of every quarter.
+cte("quarter_days", "SELECT DISTINCT (date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS as_of FROM panel")
+cte("asked_days", "SELECT symbol, as_of FROM (SELECT DISTINCT symbol FROM panel) CROSS JOIN quarter_days")
+cte("then_feat", "SELECT a.as_of, f.* FROM asked_days a ASOF JOIN feats f ON f.symbol = a.symbol AND f.date <= a.as_of")
+cte("then_beta", "SELECT a.as_of, b.* FROM asked_days a ASOF JOIN beta b ON b.symbol = a.symbol AND b.date <= a.as_of")
+cte("then_snap", f"""
+SELECT as_of, symbol, metric, val, period_end, filed, form, tag FROM ranked_facts JOIN quarter_days ON filed <= as_of
+QUALIFY row_number() OVER (PARTITION BY as_of, symbol, metric {_BEST}) = 1""")
+cte("then_wide", _wide("then_snap").replace("SELECT symbol,", "SELECT as_of, symbol,").replace("GROUP BY symbol", "GROUP BY as_of, symbol"))
+cte("then_fund", CTES["fund"].replace("snap_wide", "then_wide"))
+
+
+def _quarters_then(tags: list[str]) -> str:
+    once = _quarters(tags)
+    return once.replace("SELECT symbol,", "SELECT as_of, symbol,").replace("FROM facts WHERE", "FROM facts JOIN quarter_days ON filed <= as_of WHERE").replace(
+        "PARTITION BY symbol,", "PARTITION BY as_of, symbol,")
+
+
+cte("then_rev", _quarters_then(_REV))
+cte("then_inc", _quarters_then(_INC))
+_GROWTH_HEAD, _GROWTH_FROM = CTES["growth"].split("FROM all_stocks s")
+cte("then_growth", _GROWTH_HEAD.replace("SELECT s.symbol,", "SELECT s.as_of, s.symbol,") + """
+FROM (SELECT as_of, symbol FROM all_stocks CROSS JOIN quarter_days) s
+LEFT JOIN (SELECT * FROM then_rev QUALIFY row_number() OVER (PARTITION BY as_of, symbol ORDER BY year DESC, quarter DESC) = 1) l USING (as_of, symbol)
+LEFT JOIN then_rev p ON p.as_of = l.as_of AND p.symbol = l.symbol AND p.year = l.year - 1 AND p.quarter = l.quarter
+LEFT JOIN then_inc i ON i.as_of = l.as_of AND i.symbol = l.symbol AND i.period_start = l.period_start AND i.period_end = l.period_end""")
+cte("then_master", CTES["master"].replace("SELECT f.symbol,", "SELECT f.as_of, f.symbol,").split("FROM last_feat")[0] + """
+FROM then_feat f LEFT JOIN then_fund u USING (as_of, symbol) LEFT JOIN then_beta b USING (as_of, symbol) LEFT JOIN then_growth g USING (as_of, symbol)""")
+
 # ---- transform and scores ----------------------------------------------------------------------
 
 _WF = ["beta_252", "momentum_21d", "momentum_63d", "momentum_126d", "volatility_20d_annualized",
@@ -312,6 +341,17 @@ SELECT *, CASE WHEN score_coverage > 0 THEN total / 10 / score_coverage END AS c
        score_coverage >= 0.8 AS score_eligible FROM covered""")
 
 
+cte("then_valued", "SELECT m.*, v.* EXCLUDE (symbol) FROM then_master m LEFT JOIN valuation v USING (symbol)")
+cte("then_bounds", CTES["bounds"].replace("SELECT ", "SELECT as_of, ", 1).replace("FROM valued", "FROM then_valued GROUP BY as_of"))
+cte("then_trans", CTES["trans"].replace("FROM valued v, bounds", "FROM then_valued v JOIN then_bounds b USING (as_of)"))
+cte("then_pctl", CTES["pctl"].replace("SELECT symbol, date,", "SELECT as_of, symbol, date,").replace("OVER (ORDER BY", "OVER (PARTITION BY as_of ORDER BY")
+    .replace("OVER (PARTITION BY ", "OVER (PARTITION BY as_of, ").replace("as_of, as_of ORDER", "as_of ORDER").replace("OVER ()", "OVER (PARTITION BY as_of)")
+    .replace("FROM trans", "FROM then_trans"))
+cte("then_subs", CTES["subs"].replace("FROM pctl", "FROM then_pctl"))
+cte("then_covered", CTES["covered"].replace("FROM subs", "FROM then_subs"))
+cte("then_scored", CTES["scored"].replace("FROM covered", "FROM then_covered"))
+
+
 def _label(c: str) -> str:
     return (f"CASE WHEN {c} IS NULL THEN 'Unavailable' WHEN {c} >= 80 THEN 'Strong' WHEN {c} >= 60 THEN 'Positive' "
             f"WHEN {c} >= 40 THEN 'Neutral' WHEN {c} >= 20 THEN 'Weak' ELSE 'Very Weak' END")
@@ -533,6 +573,10 @@ oracle("jn_03_master", f"""
 SELECT symbol, date, is_benchmark, company_name, sic_description, exchange, beta_60_n_obs, beta_252_n_obs, momentum_126d_n_obs,
   latest_frame, comparison_frame, quality_note, {r('revenue net_income assets liabilities equity', 4)},
   {r('close sma_50 rsi_14 eps_diluted beta_60 beta_252 momentum_63d momentum_126d revenue_growth_yoy profit_margin')} FROM master""")
+oracle("jn_03_master_as_of", f"""
+SELECT symbol, as_of, date, is_benchmark, company_name, sic_description, exchange, beta_60_n_obs, beta_252_n_obs, momentum_126d_n_obs,
+  latest_frame, comparison_frame, quality_note, has_fundamentals, has_growth, {r('revenue net_income assets liabilities equity', 4)},
+  {r('close sma_50 rsi_14 eps_diluted beta_60 beta_252 momentum_63d momentum_126d revenue_growth_yoy profit_margin')} FROM then_master""")
 oracle("jn_04_screener", f"""
 SELECT symbol, company_name, signal, trend_above_sma50, overall_display_label, {r('close rsi_14 composite_score score_coverage')} FROM screener""")
 oracle("jn_05_master_valuation", f"SELECT symbol, is_benchmark, pe_is_meaningful, pe_exclusion_reason, {r('pe_ratio pe_ratio_raw')} FROM valued")
@@ -561,9 +605,10 @@ FROM (SELECT p.symbol, t.timeframe, p.date, p.adjusted_close AS s, m.adjusted_cl
       FROM bars p JOIN ends USING (symbol) JOIN mkt_bars m ON m.date = p.date, tf t WHERE p.date >= last - t.days::INT)
 GROUP BY ALL HAVING count(*) >= 2""")
 oracle("jn_08_point_in_time_facts", f"""
-SELECT d.symbol, d.date AS decision_date, f.metric, {r('val', 4)}, f.period_end, f.filed, f.form, f.tag
-FROM bars d JOIN ranked_facts f ON f.symbol = d.symbol AND f.filed <= d.date
-QUALIFY row_number() OVER (PARTITION BY d.symbol, d.date, f.metric {_BEST}) = 1""")
+SELECT d.symbol, d.date AS decision_date, m.metric, {r('val', 4)}, f.period_end, f.filed, f.form, f.tag
+FROM bars d CROSS JOIN (SELECT DISTINCT metric FROM metric_tags) m
+LEFT JOIN ranked_facts f ON f.symbol = d.symbol AND f.metric = m.metric AND f.filed <= d.date
+QUALIFY row_number() OVER (PARTITION BY d.symbol, d.date, m.metric {_BEST}) = 1""")
 oracle("jn_09_year_on_year", f"SELECT symbol, year, quarter, {r('val prior_val', 4)}, {r('growth_yoy')}, comparison_frame FROM yoy_q")
 oracle("jn_10_match_income", """
 SELECT r.symbol, r.year, r.quarter, round(r.val, 4) + 0.0 AS val, round(i.val, 4) + 0.0 AS income, i.tag AS income_tag
@@ -646,6 +691,11 @@ SELECT feature, 0.05::DOUBLE AS lower_quantile, 0.95::DOUBLE AS upper_quantile,
   count(value) AS available_stock_values, count(*) FILTER (value < lo) AS lower_capped_count, count(*) FILTER (value > hi) AS upper_capped_count
 FROM winsor_values JOIN (SELECT feature, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM winsor_values GROUP BY feature) USING (feature)
 GROUP BY feature, lo, hi""")
+oracle("agg_10_winsor_bounds_as_of", "\nUNION ALL ".join(f"""
+SELECT as_of, '{f}' AS feature, 0.05::DOUBLE AS lower_quantile, 0.95::DOUBLE AS upper_quantile, round({f}_lo, 8) + 0.0 AS lower_bound,
+  round({f}_hi, 8) + 0.0 AS upper_bound, count({f}) AS available_stock_values, count(*) FILTER ({f} < {f}_lo) AS lower_capped_count,
+  count(*) FILTER ({f} > {f}_hi) AS upper_capped_count
+FROM then_valued JOIN then_bounds USING (as_of) WHERE NOT is_benchmark GROUP BY as_of, {f}_lo, {f}_hi""" for f in _WF))
 _CF = {
     "Beta 252": "beta_252_winsorized", "Momentum 21D": "momentum_21d_winsorized", "Momentum 63D": "momentum_63d_winsorized",
     "Momentum 126D": "momentum_126d_winsorized", "Volatility 20D": "volatility_20d_annualized_winsorized", "RSI 14": "rsi_14",
@@ -779,11 +829,20 @@ SELECT s.symbol, timeframe, s.date, round(dd * 100, 8) + 0.0 AS timeframe_drawdo
 FROM slice_dd s JOIN windowed w ON w.symbol = s.symbol AND w.date = s.date""")
 oracle("win_14_percentile_rank", "SELECT symbol, " + ", ".join(f"{f}_eligible_count" for f in _DF) + ", "
        + r(" ".join(f"{f}_percentile {f}_rank_position" for f in _DF)) + " FROM pctl")
+oracle("win_14_percentile_as_of", "SELECT symbol, as_of, " + ", ".join(f"{f}_eligible_count" for f in _DF) + ", "
+       + r(" ".join(f"{f}_percentile {f}_rank_position" for f in _DF)) + " FROM then_pctl")
 oracle("win_14_percentile_by_date", """
 SELECT symbol, date, round(volume, 8) + 0.0 AS value, round(p, 8) + 0.0 AS rank_position, round(p / n * 100, 8) + 0.0 AS percentile, n AS eligible_count
 FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE AS p,
              count(*) OVER (PARTITION BY date) AS n FROM bars)""")
 oracle("win_15_score_rank", f"SELECT symbol, score_eligible, score_rank, {r('composite_score')} FROM ranked_scores")
+_EXACT = """CASE WHEN score_eligible THEN
+  (0.0::DOUBLE + coalesce(momentum_subscore * 0.4::DOUBLE, 0) + coalesce(quality_subscore * 0.4::DOUBLE, 0) + coalesce(valuation_subscore * 0.2::DOUBLE, 0))
+  / CASE WHEN parts = 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE + CASE WHEN momentum_subscore IS NULL THEN 0.0::DOUBLE ELSE 0.4::DOUBLE END
+    + CASE WHEN quality_subscore IS NULL THEN 0.0::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN valuation_subscore IS NULL THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END END END"""
+oracle("win_15_score_rank_as_of", f"""
+SELECT symbol, as_of, score_eligible, {r('composite_score')}, CASE WHEN exact IS NOT NULL THEN rank() OVER (PARTITION BY as_of ORDER BY exact DESC NULLS LAST) END AS score_rank
+FROM (SELECT *, {_EXACT} AS exact FROM then_scored)""")
 oracle("win_16_peer_percentile", "\nUNION ALL ".join(f"""
 SELECT symbol, '{c}' AS field, round({c}, 8) + 0.0 AS value, round(p, 8) + 0.0 AS peer_percentile,
   CASE WHEN p >= 67 THEN 'high' WHEN p <= 33 THEN 'low' WHEN p IS NOT NULL THEN 'middle-range' END AS band
@@ -832,6 +891,7 @@ oracle("scl_06_math", """
 SELECT c_custkey, round(ln(abs(c_acctbal) + 1), 8) + 0.0 AS log_value, round(sqrt(abs(c_acctbal)), 8) + 0.0 AS root,
   round(CASE WHEN c_acctbal > 0 THEN c_acctbal / (c_acctbal + 1) END, 8) + 0.0 AS share, round(greatest(least(c_acctbal, 5000), -100), 8) + 0.0 AS clipped FROM customer""")
 oracle("scl_07_winsorize", "SELECT symbol, " + ", ".join(f"round({f}_winsorized, 8) + 0.0 AS {f}_winsorized, {f}_outlier_flag" for f in _WF) + " FROM trans")
+oracle("scl_07_winsorize_as_of", "SELECT symbol, as_of, " + ", ".join(f"round({f}_winsorized, 8) + 0.0 AS {f}_winsorized, {f}_outlier_flag" for f in _WF) + " FROM then_trans")
 oracle("scl_08_pe_validity", f"""
 SELECT symbol, pe_is_meaningful, pe_exclusion_reason, {r('pe_ratio_raw provider_eps_ttm pe_ratio')} FROM valuation
 UNION ALL SELECT n_name, false, 'provider overview missing', NULL, NULL, NULL FROM nation""")
@@ -843,6 +903,14 @@ FROM (SELECT symbol, 4 * (momentum_63d_score IS NOT NULL)::INT + 4 * (valuation_
 oracle("scl_10_subscores", f"""
 SELECT symbol, incomplete_score_flag, score_eligible, parts AS intended_components_available,
   {r('momentum_subscore quality_subscore quality_subscore_coverage valuation_subscore composite_score score_coverage')} FROM scored""")
+oracle("scl_10_subscores_as_of", f"""
+SELECT symbol, as_of, incomplete_score_flag, score_eligible, parts AS intended_components_available,
+  {r('momentum_subscore quality_subscore quality_subscore_coverage valuation_subscore composite_score score_coverage')} FROM then_scored""")
+oracle("scl_11_direction_adjust_as_of", f"SELECT symbol, as_of, {r('momentum_21d_score growth_score profitability_score valuation_score drawdown_resilience_score')} FROM then_pctl")
+oracle("scl_11_policy_table_as_of", "\nUNION ALL ".join(
+    f"SELECT as_of, '{f}' AS feature, '{s}' AS scoring_source, '{d}' AS direction, '{sc or 'none'}' AS direction_adjusted_score, count({s}) AS eligible_count, "
+    f"round(100.0::DOUBLE / nullif(count({s}), 0), 8) + 0.0 AS approximate_rank_step_points, true AS magnitude_preserved_in_raw_column FROM then_trans WHERE NOT is_benchmark GROUP BY as_of"
+    for f, (s, d, sc) in _POLICY.items()))
 oracle("scl_11_direction_adjust", f"SELECT symbol, {r('momentum_21d_score growth_score profitability_score valuation_score drawdown_resilience_score')} FROM pctl")
 oracle("scl_11_policy_table", "\nUNION ALL ".join(
     f"SELECT '{f}' AS feature, '{s}' AS scoring_source, '{d}' AS direction, '{sc or 'none'}' AS direction_adjusted_score, count({s}) AS eligible_count, "

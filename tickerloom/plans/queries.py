@@ -521,6 +521,21 @@ def _(spark, d):
     )
 
 
+@query("jn_03_master_as_of")
+def _(spark, d):
+    """The master table on the last day of every quarter, in one job."""
+    money = {"revenue": 4, "net_income": 4, "assets": 4, "liabilities": 4, "equity": 4}
+    return rounded(
+        chains.master_as_of(spark, d).select(
+            "symbol", "as_of", "date", "close", "sma_50", "rsi_14", "is_benchmark", "company_name", "sic_description", "exchange",
+            "revenue", "net_income", "assets", "liabilities", "equity", "eps_diluted",
+            "beta_60", "beta_60_n_obs", "beta_252", "beta_252_n_obs", "momentum_63d", "momentum_126d", "momentum_126d_n_obs",
+            "revenue_growth_yoy", "profit_margin", "latest_frame", "comparison_frame", "quality_note", "has_fundamentals", "has_growth",
+        ),
+        **money,
+    )
+
+
 @query("jn_04_screener")
 def _(spark, d):
     return pick(
@@ -663,6 +678,12 @@ def _(spark, d):
     return rounded(transform.winsor_bounds(m))
 
 
+@query("agg_10_winsor_bounds_as_of")
+def _(spark, d):
+    m = chains.master_as_of(spark, d).join(chains.valuation(spark, d), "symbol", "left")
+    return rounded(transform.winsor_bounds(m, by=chains.AS_OF))
+
+
 def _correlated(spark, d) -> DataFrame:
     return chains.transformed(spark, d).where(~F.col("is_benchmark"))
 
@@ -894,6 +915,12 @@ def _(spark, d):
     return pick(chains.percentiles(spark, d), "symbol", *cols)
 
 
+@query("win_14_percentile_as_of")
+def _(spark, d):
+    cols = [f"{f}_{s}" for f in DISTRIBUTION_FEATURES for s in ("percentile", "rank_position", "eligible_count")]
+    return pick(chains.percentiles_as_of(spark, d), "symbol", "as_of", *cols)
+
+
 @query("win_14_percentile_by_date")
 def _(spark, d):
     """Every shipping day is a cross-section: volume percentile of each supplier among the day's bars."""
@@ -906,6 +933,11 @@ def _(spark, d):
     return pick(chains.labels(spark, d), "symbol", "composite_score", "score_eligible", "score_rank")
 
 
+@query("win_15_score_rank_as_of")
+def _(spark, d):
+    return pick(chains.scores_as_of(spark, d), "symbol", "as_of", "composite_score", "score_eligible", "score_rank")
+
+
 @query("win_16_peer_percentile")
 def _(spark, d):
     df = explain.peer_percentiles(chains.screener(spark, d), ["volatility_pct", "pe_ratio_raw", "profit_margin_raw_pct"], BENCHMARK)
@@ -1067,6 +1099,12 @@ def _(spark, d):
     return pick(chains.transformed(spark, d), "symbol", *cols)
 
 
+@query("scl_07_winsorize_as_of")
+def _(spark, d):
+    cols = [c for f in WINSOR_FEATURES for c in (f"{f}_winsorized", f"{f}_outlier_flag")]
+    return pick(chains.transformed_as_of(spark, d), "symbol", "as_of", *cols)
+
+
 @query("scl_08_pe_validity")
 def _(spark, d):
     wanted = chains.stock_symbols(spark, d).unionByName(
@@ -1096,6 +1134,27 @@ def _(spark, d):
     )
 
 
+@query("scl_10_subscores_as_of")
+def _(spark, d):
+    return pick(
+        chains.scores_as_of(spark, d), "symbol", "as_of", "momentum_subscore", "quality_subscore", "quality_subscore_coverage",
+        "valuation_subscore", "composite_score", "score_coverage", "incomplete_score_flag", "score_eligible", "intended_components_available",
+    )
+
+
+@query("scl_11_direction_adjust_as_of")
+def _(spark, d):
+    return pick(
+        chains.percentiles_as_of(spark, d), "symbol", "as_of", "momentum_21d_score", "growth_score", "profitability_score",
+        "valuation_score", "drawdown_resilience_score",
+    )
+
+
+@query("scl_11_policy_table_as_of")
+def _(spark, d):
+    return rounded(scoring.policy_table(chains.transformed_as_of(spark, d), by=chains.AS_OF))
+
+
 @query("scl_11_direction_adjust")
 def _(spark, d):
     return pick(
