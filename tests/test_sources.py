@@ -149,3 +149,58 @@ def test_raw_inventory(spark, tmp_path):
     (tmp_path / "sub" / "x.bin").write_bytes(b"abc")
     r = catalog.raw_inventory(spark, str(tmp_path)).first()
     assert r.bytes == 3 and r.sha256 == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_price_folder_with_failed_files(spark, tmp_path):
+    head = "symbol,date,open,high,low,close,adjusted_close,volume,provider"
+    row = "A,2024-01-0{d},1,2,0.5,1.5,1.5,10,x"
+    files = {
+        "good": [head, row.format(d=2), row.format(d=3)],
+        "other order": ["date,symbol,close,open,high,low,adjusted_close,volume,provider,more", '2024-01-05,"B",3,1,4,1,3,7,y,z', ""],
+        "text": [head, row.format(d=4), "A,2024-01-05,1,2,n/a,1.5,1.5,10,x", "A,someday,1,2,1,1.5,1.5,10,x", ",2024-01-09,1,2,1,1.5,1.5,10,x"],
+        "column": [head.replace("low,", "").replace("volume,", ""), "A,2024-01-02,1,2,1.5,1.5,x"],
+        "header": [head], "empty": [],
+    }
+    for name, lines in files.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + ("\n" if lines else ""))
+    (tmp_path / "notes.txt").write_text("not a price file")
+    got = {r.path.replace("%20", " ").rsplit("/", 1)[1][:-4]: r for r in catalog.file_manifest(spark, str(tmp_path)).collect()}
+    assert {k: (r.success, r.rows, r.failed_rows, r.note) for k, r in got.items()} == {
+        "good": (True, 2, 0, ""), "other order": (True, 1, 0, ""), "text": (False, 1, 3, "3 rows failed, first: low"),
+        "column": (False, 0, 0, "missing columns: low, volume"), "header": (False, 0, 0, "no rows"), "empty": (False, 0, 0, "empty file"),
+    }
+    assert got["empty"].bytes == 0 and got["good"].bytes > 100 and str(got["text"].last_date) == "2024-01-04"
+    rows = prices.read_price_folder(spark, str(tmp_path)).orderBy("symbol", "date").collect()
+    assert [(r.symbol, str(r.date), r.close) for r in rows] == [("A", "2024-01-02", 1.5), ("A", "2024-01-03", 1.5), ("A", "2024-01-04", 1.5), ("B", "2024-01-05", 3.0)]
+
+
+def test_bucketed_panel_needs_no_exchange(spark, tmp_path):
+    import uuid
+
+    from tickerloom.operators import indicators
+
+    rows = [(f"S{i % 7}", dt.date(2024, 1, 1) + dt.timedelta(days=i // 7), float(i)) for i in range(1, 700)]
+    panel = spark.createDataFrame(rows, "symbol string, date date, close double")
+    table = sinks.write_bucketed(panel, f"t_{uuid.uuid4().hex}", 3, str(tmp_path / "bucketed"))
+    plan = indicators.add_all(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
+    assert sorted(map(tuple, table.collect())) == sorted(rows)
+
+
+def test_overviews_from_symbol_folders(spark, tmp_path):
+    for s in ("A", "B"):
+        (tmp_path / f"symbol={s}").mkdir()
+        (tmp_path / f"symbol={s}" / "part-0.txt").write_text('{"PERatio": "%s1", "EPS": "2"}' % (s == "B" and "3" or ""))
+    got = {r.symbol: r.PERatio for r in filings.read_overviews(spark, str(tmp_path), ".txt").collect()}
+    assert got == {"A": "1", "B": "31"}
+
+
+def test_inventory_reads_streams(spark, tmp_path):
+    import hashlib
+
+    data = bytes(range(256)) * 50_000
+    (tmp_path / "large file.bin").write_bytes(data)
+    (tmp_path / "packed.gz").write_bytes(b"as it is")
+    found = catalog.raw_inventory(spark, str(tmp_path))
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.bytes, r.sha256) for r in found.collect()) == sorted((len(x), hashlib.sha256(x).hexdigest()) for x in (data, b"as it is"))

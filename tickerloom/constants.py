@@ -127,3 +127,11 @@ DEFAULT_DISPLAY = [
     "symbol", "company_name", "momentum_63d_raw_pct", "profit_margin_raw_pct", "pe_ratio_raw",
     "beta_252_raw", "composite_score", "overall_display_label",
 ]
+
+# Sentences that are shown to users as they stand.
+RSI_LINES = {
+    "above": ", above 70. Recent gains are strong, but this can indicate an overextended move.",
+    "below": ", below 30. Selling pressure is strong; this is not automatically a buy signal.",
+    "between": ", between 30 and 70; neither reference extreme is active.",
+}
+CONCLUSION_PROMPT = "Form a view only after checking business context, fundamentals, valuation, price/risk, and data gaps."

@@ -52,12 +52,23 @@ def prefix_invariance(full: DataFrame, prefix: DataFrame, columns: Sequence[str]
     return a.join(b, ["symbol", "date"], "left").agg(F.count(F.lit(1)).alias("rows_compared"), *differs)
 
 
-def _fold(values: str, start: str, step: str) -> str:
-    """Running values of a recurrence over an array: ``step`` gives the next value from ``s.v`` and ``x``."""
-    nothing = "cast(array() AS array<double>)"
+def _same(stored: str, value: str, rtol: float, atol: float) -> str:
+    return f"(({stored}) <=> ({value}) OR coalesce(abs(({stored}) - ({value})) <= {atol}D + {rtol}D * abs({value}), false))"
+
+
+def _checked_fold(start: dict[str, str], step: dict[str, str], value: str, stored: str, rtol: float, atol: float) -> str:
+    """A fold over ``bars`` that compares as it goes: its state is a handful of numbers, however many days there are.
+
+    ``step`` gives each number from the state ``s`` and the bar ``x``; ``value`` is the indicator that the state stands
+    for. A bar's stored indicator is compared when the next one arrives, so nothing is worked out twice.
+    """
+    same, error = _same("s.w", value, rtol, atol), f"abs(s.w - ({value}))"
+    zero = ", ".join(f"'{k}', {v}" for k, v in start.items())
+    moved = ", ".join(f"'{k}', {v}" for k, v in step.items())
     return (
-        f"aggregate({values}, named_struct('v', {start}, 'out', {nothing}), "
-        f"(s, x) -> named_struct('v', {step}, 'out', array_append(s.out, {step})), s -> s.out)"
+        f"aggregate(bars, named_struct({zero}, 'w', cast(NULL AS double), 'any', false, 'ok', true, 'e', cast(NULL AS double)), "
+        f"(s, x) -> named_struct({moved}, 'w', cast(x.{stored} AS double), 'any', true, 'ok', s.ok AND (NOT s.any OR {same}), 'e', greatest(s.e, {error})), "
+        f"s -> named_struct('indicator', '{stored}', 'passed', s.ok AND (NOT s.any OR {same}), 'max_abs_error', greatest(s.e, {error})))"
     )
 
 
@@ -74,9 +85,9 @@ def independent_recompute(features: DataFrame, rtol: float = 1e-10, atol: float
     """``symbol, indicator, passed, max_abs_error``: nine indicators worked out again from their definitions.
 
     A symbol's closes are one array in order of days, which the calendar bounds: a repeated day fails the job.
-    Averages and deviations come from slices of the array and recurrences from folds over it, so nothing is
-    shared with the window expressions under test. A missing close makes everything after it that depends on
-    it missing.
+    Averages and deviations come from slices of the array, recurrences from folds over it whose state does not grow, so
+    the time is proportional to the days and nothing is shared with the window expressions under test. A missing close
+    ends the RSI; the average of prices discounts what it skips; a window with one in it has no value.
     """
     fields = ", ".join(["date", "close", *INDICATORS])
     bars = features.groupBy("symbol").agg(
@@ -86,7 +97,6 @@ def independent_recompute(features: DataFrame, rtol: float = 1e-10, atol: float
     df = bars.where(F.col("_single").isNull()).select("symbol", "bars", F.expr("transform(bars, b -> cast(b.close AS double))").alias("c"))
     df = df.select(
         "*",
-        F.expr("transform(c, (x, i) -> x - get(c, i - 1))").alias("moves"),
         F.expr("transform(c, (x, i) -> try_divide(x, get(c, i - 1)) - 1)").alias("simple_return"),
         F.expr("transform(c, (x, i) -> ln(x) - ln(get(c, i - 1)))").alias("log_return"),
     )
@@ -95,36 +105,49 @@ def independent_recompute(features: DataFrame, rtol: float = 1e-10, atol: float
         squares = f"transform({w}, y -> pow(y - {_total(w)} / 20, 2))"
         return f"sqrt({_total(squares)} / 19 * 252)"
 
-    seed = {side: f"aggregate(slice({side}, 2, 14), 0D, (a, b) -> a + b) / 14" for side in ("ups", "downs")}
     df = df.select(
         "*",
-        F.expr("transform(moves, m -> greatest(m, 0D))").alias("ups"),
-        F.expr("transform(moves, m -> greatest(-m, 0D))").alias("downs"),
         F.expr(_last("c", 20, lambda w: f"{_total(w)} / 20")).alias("sma_20"),
         F.expr(_last("c", 50, lambda w: f"{_total(w)} / 50")).alias("sma_50"),
         F.expr(_last("log_return", 20, deviation)).alias("volatility_20d_annualized"),
-        F.expr(_fold("c", "cast(NULL AS double)", "CASE WHEN size(s.out) = 0 THEN x ELSE s.v + 2D / 21 * (x - s.v) END")).alias("_ema"),
-        F.expr(_fold("c", "cast(NULL AS double)", "greatest(s.v, x)")).alias("peaks"),
     )
-    # Wilder: the mean of the first 14 moves, then 13 parts of it and one part of each later move.
-    df = df.select(
-        "*",
-        *[F.expr(f"concat(array({seed[k]}), {_fold(f'slice({k}, 16, size({k}))', seed[k], '(13 * s.v + x) / 14')})").alias(f"mean_{k}") for k in ("ups", "downs")],
-        F.expr("transform(_ema, (x, i) -> CASE WHEN i >= 19 THEN x END)").alias("ema_20"),
-        F.expr("transform(c, (x, i) -> x / peaks[i] - 1)").alias("drawdown"),
+    nothing, close = "cast(NULL AS double)", "cast(x.close AS double)"
+    keep = "pow(19D / 21, s.skipped + 1)"
+    average = _checked_fold(
+        {"v": nothing, "skipped": "0", "seen": "0"},
+        {
+            "v": f"CASE WHEN x.close IS NULL THEN s.v WHEN s.v IS NULL THEN {close} ELSE ({keep} * s.v + 2D / 21 * {close}) / ({keep} + 2D / 21) END",
+            "skipped": "CASE WHEN x.close IS NULL THEN s.skipped + 1 ELSE 0 END", "seen": "CASE WHEN x.close IS NULL THEN s.seen ELSE s.seen + 1 END",
+        },
+        "CASE WHEN s.seen >= 20 THEN s.v END", "ema_20", rtol, atol,
+    )
+
+    def smoothed(side: str, sign: str) -> str:
+        """Wilder: the mean of the first 14 moves, then 13 parts of it and one part of each later move."""
+        move = f"coalesce(greatest({sign}({close} - s.prev), 0D), 0D)"
+        return f"CASE WHEN s.i < 12 THEN s.{side} + {move} WHEN s.i = 12 THEN (s.{side} + {move}) / 14 ELSE (13 * s.{side} + {move}) / 14 END"
+
+    strength = _checked_fold(
+        {"i": "-2", "prev": nothing, "up": "0D", "down": "0D", "known": "true"},
+        {
+            "i": "s.i + 1", "prev": close, "up": smoothed("up", ""), "down": smoothed("down", "-"),
+            "known": f"s.known AND (s.i = -2 OR ({close} - s.prev) IS NOT NULL)",
+        },
+        "CASE WHEN s.i < 13 OR NOT s.known THEN NULL WHEN s.up + s.down = 0 THEN 50D ELSE 100 * s.up / (s.up + s.down) END", "rsi_14", rtol, atol,
     )
-    strength = (
-        "transform(c, (x, i) -> CASE WHEN i < 14 THEN NULL WHEN mean_ups[i - 14] + mean_downs[i - 14] = 0 THEN 50D "
-        "ELSE 100 * mean_ups[i - 14] / (mean_ups[i - 14] + mean_downs[i - 14]) END)"
+    peak = {"peak": f"greatest(s.peak, {close})", "c": close}
+    fall = _checked_fold({"peak": nothing, "c": nothing}, peak, "s.c / s.peak - 1", "drawdown", rtol, atol)
+    worst = _checked_fold(
+        {"peak": nothing, "c": nothing, "worst": nothing}, peak | {"worst": f"least(s.worst, {close} / greatest(s.peak, {close}) - 1)"},
+        "CASE WHEN s.c IS NOT NULL THEN s.worst END", "max_drawdown_to_date", rtol, atol,
     )
-    df = df.select("*", F.expr(strength).alias("rsi_14"), F.expr(_fold("drawdown", "cast(NULL AS double)", "least(s.v, x)")).alias("max_drawdown_to_date"))
 
     def compared(name: str) -> str:
         stored = f"transform(bars, b -> cast(b.{name} AS double))"
-        same = f"(a <=> b) OR coalesce(abs(a - b) <= {atol}D + {rtol}D * abs(b), false)"
         return (
-            f"named_struct('indicator', '{name}', 'passed', forall(zip_with({stored}, {name}, (a, b) -> {same}), x -> x), "
+            f"named_struct('indicator', '{name}', 'passed', forall(zip_with({stored}, {name}, (a, b) -> {_same('a', 'b', rtol, atol)}), x -> x), "
             f"'max_abs_error', array_max(zip_with({stored}, {name}, (a, b) -> abs(a - b))))"
         )
 
-    return df.select("symbol", F.expr(f"inline(array({', '.join(map(compared, INDICATORS))}))"))
+    listed = ["simple_return", "log_return", "sma_20", "sma_50", "volatility_20d_annualized"]
+    return df.select("symbol", F.expr(f"inline(array({', '.join([*map(compared, listed), average, strength, fall, worst])}))"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.constants import CONCLUSION_PROMPT, RSI_LINES
 from tickerloom.functions.scalars import kept
 from tickerloom.operators.order_stats import join_ranks, rank_table
 from tickerloom.operators.scoring import percent_text
@@ -95,6 +96,30 @@ def context_texts(df: DataFrame, benchmark: str = "SPY") -> DataFrame:
     return relative.unionByName(df.select("symbol", *_rsi_context()))
 
 
+def context_lines(df: DataFrame, benchmark: str = "SPY") -> DataFrame:
+    """``symbol, context, line, conclusion_prompt``: each context as one sentence."""
+    texts = context_texts(df, benchmark)
+    number = F.regexp_extract("value_text", "^-?[0-9.]+", 0)
+    share = F.regexp_extract("peer_position", "([0-9]+%) of ([0-9]+)", 1)
+    peers = F.regexp_extract("peer_position", "([0-9]+%) of ([0-9]+)", 2)
+    relative = (
+        F.when(F.col("status") == "Unavailable", F.lit(": unavailable; do not infer a zero or a favorable result."))
+        .when(F.col("status") == "Context unavailable", F.concat(F.lit(": "), number, F.lit("; peer context unavailable.")))
+        .otherwise(F.concat(
+            F.lit(": "), number, F.lit(" ("), F.lower("status"), F.lit("; higher than about "), share, F.lit(" of this "), peers,
+            F.lit("-stock universe). "), F.col("meaning"),
+        ))
+    )
+    rsi = (
+        F.when(F.col("status") == "Unavailable", F.lit(": unavailable because there is insufficient usable price history."))
+        .when(F.col("status") == "Above 70", F.concat(F.lit(": "), number, F.lit(RSI_LINES["above"])))
+        .when(F.col("status") == "Below 30", F.concat(F.lit(": "), number, F.lit(RSI_LINES["below"])))
+        .otherwise(F.concat(F.lit(": "), number, F.lit(RSI_LINES["between"])))
+    )
+    line = F.concat(F.col("label"), F.when(F.col("context") == "momentum", rsi).otherwise(relative))
+    return texts.select("symbol", "context", line.alias("line"), F.lit(CONCLUSION_PROMPT).alias("conclusion_prompt"))
+
+
 def _rsi_context() -> list[Column]:
     rsi = F.col("rsi_14")
     zones = [

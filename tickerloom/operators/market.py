@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.constants import BETA_WINDOWS, TIMEFRAME_MONTHS
 from tickerloom.functions.scalars import symbol_text
-from tickerloom.operators.indicators import by_symbol, once_per_day, positive, so_far
+from tickerloom.operators.indicators import by_symbol, last_rows, once_per_day, positive, so_far
 from tickerloom.operators.keys import DataQualityError, one_row_each, require_columns
 
 RETURNS = ["simple_return", "log_return"]
@@ -150,43 +150,65 @@ def add_rolling_beta(
         raise ValueError("beta windows must be integers of at least 2")
     require_columns(aligned, ["symbol", "date", stock, market], "aligned returns")
     y, x, w = F.col(stock), F.col(market), by_symbol()
-    zero = F.lit(0.0)
     pair = y.isNotNull() & x.isNotNull()
-    changed = ~x.eqNullSafe(F.lag(x, 1).over(w))
-    # Each symbol's rows are cut into blocks of n. A window is the end of one block and the start of the next,
-    # so its totals are a sum of two others and cost the same for any n. Nothing is subtracted: a row outside
-    # the window leaves no trace in it, however large.
-    totals = {
-        "_n": F.count(x), "_x": F.sum(F.coalesce(x, zero)), "_xx": F.sum(F.coalesce(x * x, zero)),
-        "_np": F.count(F.when(pair, 1)), "_y": F.sum(F.when(pair, y).otherwise(zero)),
-        "_xy": F.sum(F.when(pair, x * y).otherwise(zero)),
-    }
-    df = aligned.withColumns({"_row": F.row_number().over(w), "_changed": changed})
-    df = df.withColumn("_last_change", F.max(F.when(F.col("_changed"), F.col("_row"))).over(so_far()))
-    held: list[str] = []
+    held = {"_x": x, "_xx": x * x, "_y": F.when(pair, y), "_xy": F.when(pair, x * y)}
+    df = aligned.withColumns(held | {"_row": F.row_number().over(w), "_changed": ~x.eqNullSafe(F.lag(x, 1).over(w))})
+    # Frames of rows over one order: one exchange, one sort and one pass for all windows. A frame is summed anew for each
+    # row, so nothing is subtracted and a row outside it leaves no trace, however large.
+    sums = {"_last_change": F.max(F.when(F.col("_changed"), F.col("_row"))).over(so_far())}
     for n in windows:
-        block = W.partitionBy("symbol", f"_block_{n}").orderBy("date")
-        start, end = block.rowsBetween(W.unboundedPreceding, 0), block.rowsBetween(0, W.unboundedFollowing)
-        df = df.withColumn(f"_block_{n}", F.floor((F.col("_row") - 1) / n))
-        df = df.withColumns({f"{k}_to_{n}": v.over(start) for k, v in totals.items()} | {f"{k}_from_{n}": v.over(end) for k, v in totals.items()})
-        held += [f"_block_{n}", *[f"{k}_{side}_{n}" for k in totals for side in ("to", "from")]]
+        frame = last_rows(n)
+        sums |= {f"_n{n}": F.count("_x").over(frame), f"_np{n}": F.count("_y").over(frame)}
+        sums |= {f"{k}{n}": F.sum(k).over(frame) for k in held}
+    df = df.withColumns(sums)
     columns: dict[str, Column] = {}
     for n in windows:
-        within_block = F.col("_row") % n == 0
-        s = {
-            k: F.col(f"{k}_to_{n}") + F.when(within_block, F.lit(0)).otherwise(F.coalesce(F.lag(f"{k}_from_{n}", n - 1).over(w), F.lit(0)))
-            for k in totals
-        }
-        variance = F.when(s["_n"] == n, F.greatest((s["_xx"] - s["_x"] * s["_x"] / n) / (n - 1), zero))
+        s = {k: F.col(f"_{k}{n}") for k in ("n", "np", "x", "xx", "y", "xy")}
+        variance = F.when(s["n"] == n, F.greatest((s["xx"] - s["x"] * s["x"] / n) / (n - 1), F.lit(0.0)))
         # Decided by the rows, not by a rounded sum: no change inside the window, no variance.
         flat = F.col("_last_change") <= F.col("_row") - (n - 1)
-        variance = F.when(flat & variance.isNotNull(), zero).otherwise(variance)
-        covariance = (s["_xy"] - s["_x"] * s["_y"] / n) / (n - 1)
-        beta = F.when((s["_np"] == n) & ~flat, F.try_divide(covariance, variance))
+        variance = F.when(flat & variance.isNotNull(), F.lit(0.0)).otherwise(variance)
+        covariance = (s["xy"] - s["x"] * s["y"] / n) / (n - 1)
+        beta = F.when((s["np"] == n) & ~flat, F.try_divide(covariance, variance))
         columns[f"beta_{n}"] = once_per_day(beta, "aligned returns")
-        columns[f"beta_{n}_n_obs"] = s["_np"]
+        columns[f"beta_{n}_n_obs"] = s["np"]
         columns[f"benchmark_variance_{n}"] = variance
-    return df.withColumns(columns).drop("_row", "_changed", "_last_change", *held)
+    return df.withColumns(columns).select(*aligned.columns, *columns)
+
+
+def latest_rolling_beta(
+    aligned: DataFrame,
+    windows: Sequence[int] = BETA_WINDOWS,
+    stock: str = "simple_return",
+    market: str = "benchmark_simple_return",
+) -> DataFrame:
+    """``symbol, date`` and the betas of each symbol's last day, as the last row of ``add_rolling_beta`` has them: only the
+    last rows of a symbol are looked at, once, and summed up."""
+    require_columns(aligned, ["symbol", "date", stock, market], "aligned returns")
+    y, x = F.col(stock), F.col(market)
+    from_end = W.partitionBy("symbol").orderBy(F.desc("date"))
+    unique = F.when(
+        F.lag("date").over(from_end) == F.col("date"), F.raise_error(F.lit("aligned returns contains duplicate symbol/date keys")).cast("double")
+    ).otherwise(x)
+    recent = aligned.select("symbol", "date", y.alias("_y"), unique.alias("_x"), F.row_number().over(from_end).alias("_age")).where(
+        F.col("_age") <= max(windows)
+    )
+    sums: dict[str, Column] = {"date": F.max("date")}
+    for n in windows:
+        inside = F.col("_age") <= n
+        xn, yn = F.when(inside, F.col("_x")), F.when(inside & F.col("_x").isNotNull(), F.col("_y"))
+        both = F.when(yn.isNotNull(), xn * yn)
+        sums |= {f"_n{n}": F.count(xn), f"_np{n}": F.count(yn), f"_x{n}": F.sum(xn), f"_xx{n}": F.sum(xn * xn), f"_y{n}": F.sum(yn), f"_xy{n}": F.sum(both)}
+        sums |= {f"_flat{n}": F.min(xn) == F.max(xn)}
+    df = recent.groupBy("symbol").agg(*[e.alias(c) for c, e in sums.items()])
+    columns: list[Column] = [F.col("symbol"), F.col("date")]
+    for n in windows:
+        s = {k: F.col(f"_{k}{n}") for k in ("n", "np", "x", "xx", "y", "xy", "flat")}
+        variance = (s["xx"] - s["x"] * s["x"] / n) / (n - 1)
+        covariance = (s["xy"] - s["x"] * s["y"] / n) / (n - 1)
+        whole = (s["n"] == n) & (s["np"] == n) & ~s["flat"]
+        columns += [F.when(whole, F.try_divide(covariance, F.greatest(variance, F.lit(0.0)))).alias(f"beta_{n}"), s["np"].alias(f"beta_{n}_n_obs")]
+    return df.select(*columns)
 
 
 def compare_betas(calculated: DataFrame, provider: DataFrame, windows: Sequence[int] = BETA_WINDOWS) -> DataFrame:

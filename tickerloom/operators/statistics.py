@@ -262,6 +262,15 @@ def ranked_pairs(df: DataFrame, features: dict[str, str] | None = None) -> DataF
     )
 
 
+def correlation_summary(df: DataFrame, features: dict[str, str] | None = None, least: float = 0.70) -> DataFrame:
+    """One row: rows, pairs, pairs with a correlation, and how many are at or above ``least`` in absolute value."""
+    pairs = _pair_aggregates(df, features or CORRELATION_FEATURES, False, 3).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count("correlation").alias("pairs_with_correlation"),
+        F.count_if(F.abs("correlation") >= least).alias("strong_pairs"), F.max(F.abs("correlation")).alias("strongest"),
+    )
+    return pairs.withColumns({"rows": df.agg(F.count(F.lit(1))).scalar(), "least": F.lit(least), "method": F.lit("Pearson")})
+
+
 def symbol_quality(features: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Rows, span, missing values and repeated days per symbol; repeated days are combined first."""
     per_day = features.groupBy("symbol", "date").agg(

@@ -38,8 +38,22 @@ def staged(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return _staged[key]
 
 
+def bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of the shipments, aggregated once: the panel reads them for the stocks and again for the benchmark."""
+    return staged(spark, folder, "bars", lambda: tables.bars(spark, folder))
+
+
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(spark, folder, "facts", lambda: tables.facts(spark, folder))
+
+
+def panel(spark: SparkSession, folder: str) -> DataFrame:
+    b = bars(spark, folder)
+    return b.unionByName(tables.market_bars(b))
+
+
 def clean_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.clean_prices(tables.panel(spark, folder), validate=False)
+    return cleaning.clean_prices(panel(spark, folder), validate=False)
 
 
 def basis(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +79,7 @@ def as_of(spark: SparkSession, folder: str):
 
 def fundamentals(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        snap = filings.fundamentals_snapshot(tables.facts(spark, folder), as_of=as_of(spark, folder))
+        snap = filings.fundamentals_snapshot(facts(spark, folder), as_of=as_of(spark, folder))
         joined = snap.join(tables.identity(spark, folder), "symbol", "left")
         return cleaning.clean_fundamentals(joined, validate=False)
 
@@ -78,7 +92,7 @@ def stock_symbols(spark: SparkSession, folder: str) -> DataFrame:
 
 def growth(spark: SparkSession, folder: str) -> DataFrame:
     return filings.company_growth(
-        stock_symbols(spark, folder), tables.facts(spark, folder), as_of=as_of(spark, folder)
+        stock_symbols(spark, folder), facts(spark, folder), as_of=as_of(spark, folder)
     )
 
 
@@ -97,7 +111,7 @@ def master(spark: SparkSession, folder: str) -> DataFrame:
         return snapshot.build_master(
             snapshot.latest_per_symbol(technical),
             fundamentals(spark, folder),
-            snapshot.latest_beta(market.add_rolling_beta(aligned(spark, folder))),
+            market.latest_rolling_beta(aligned(spark, folder)),
             snapshot.latest_momentum(momentum_history(spark, folder)),
             growth(spark, folder),
             BENCHMARK,
@@ -143,7 +157,7 @@ def master_as_of(spark: SparkSession, folder: str) -> DataFrame:
         )
         return asof.master_as_of(
             asof.period_ends(f), technical, market.add_rolling_beta(aligned(spark, folder)), momentum_history(spark, folder),
-            tables.facts(spark, folder), tables.identity(spark, folder), BENCHMARK,
+            facts(spark, folder), tables.identity(spark, folder), BENCHMARK,
         )
 
     return staged(spark, folder, "master_as_of", build)

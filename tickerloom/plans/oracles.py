@@ -382,7 +382,8 @@ SELECT m.symbol, m.date, m.close, m.adjusted_close, m.rsi_14, m.sma_20, m.sma_50
        m.simple_return * 100 AS daily_return_pct, m.volatility_20d_annualized * 100 AS volatility_pct,
        m.drawdown * 100 AS drawdown_pct, m.max_drawdown_to_date * 100 AS max_drawdown_pct,
        m.revenue / 1e9 AS revenue_billions, m.net_income / 1e9 AS net_income_billions, m.assets / 1e9 AS assets_billions,
-       l.momentum_63d_raw * 100 AS momentum_63d_raw_pct, l.profit_margin_raw * 100 AS profit_margin_raw_pct,
+       l.momentum_63d_raw * 100 AS momentum_63d_raw_pct, l.momentum_21d_raw * 100 AS momentum_21d_raw_pct,
+       l.momentum_126d_raw * 100 AS momentum_126d_raw_pct, l.revenue_growth_yoy_raw * 100 AS revenue_growth_yoy_raw_pct, l.profit_margin_raw * 100 AS profit_margin_raw_pct,
        v.pe_ratio AS pe_ratio_raw, l.beta_252_raw, l.momentum_subscore, l.quality_subscore, l.valuation_subscore,
        l.composite_score, l.score_coverage, l.momentum_label, l.fundamentals_label, l.valuation_label, l.overall_label,
        l.overall_display_label
@@ -430,6 +431,8 @@ SELECT symbol, CASE WHEN s_nationkey = 7 THEN symbol ELSE s_name END AS company_
 FROM all_stocks JOIN nation ON s_nationkey = n_nationkey""")
 oracle("src_06_ticker_cik", "SELECT symbol AS ticker, lpad(s_suppkey::VARCHAR, 10, '0') AS cik FROM all_stocks")
 oracle("src_07_overviews", f"SELECT symbol, round(pe_ratio_raw, 8) + 0.0 AS pe, round(provider_eps_ttm, 8) + 0.0 AS eps, {r('beta')} FROM valuation")
+oracle("src_07_overview_files", f"SELECT symbol, round(pe_ratio_raw, 8) + 0.0 AS pe, round(provider_eps_ttm, 8) + 0.0 AS eps, {r('beta')} FROM valuation")
+oracle("src_08_bucketed_panel", f"SELECT symbol, date, {r('sma_20 sma_50 volatility_20d_annualized drawdown')} FROM feats")
 oracle("src_08_parquet_stage", f"SELECT {_P} FROM panel")
 oracle("src_09_screen_csv", f"""
 SELECT row_number() OVER (ORDER BY composite_score DESC NULLS LAST, symbol) AS rank, symbol, company_name, {r('composite_score rsi_14')} FROM stocks""")
@@ -438,6 +441,17 @@ oracle("src_11_dashboard_export", f"""
 SELECT f.symbol, s.company_name, round(s.composite_score, 8) + 0.0 AS composite_score, strftime(f.date, '%Y-%m-%d') AS date,
        round(f.adjusted_close, 8) + 0.0 AS adjusted_close, round(f.sma_50, 8) + 0.0 AS sma_50, round(f.drawdown, 8) + 0.0 AS drawdown
 FROM feats f JOIN screener s USING (symbol)""")
+_SF_TEXT = ["symbol", "company_name", "sic_description", "momentum_label", "fundamentals_label", "valuation_label", "overall_label",
+            "overall_display_label", "signal", "trend_above_sma50"]
+_SF_NUMBER = ["adjusted_close", "daily_return_pct", "rsi_14", "volatility_pct", "max_drawdown_pct", "momentum_21d_raw_pct", "momentum_63d_raw_pct",
+              "momentum_126d_raw_pct", "profit_margin_raw_pct", "revenue_growth_yoy_raw_pct", "pe_ratio_raw", "beta_252_raw", "momentum_subscore",
+              "quality_subscore", "valuation_subscore", "composite_score", "score_coverage"]
+oracle("src_11_dashboard_stocks", f"SELECT {', '.join(_SF_TEXT)}, strftime(date, '%Y-%m-%d') AS date, {r(' '.join(_SF_NUMBER))} FROM screener")
+oracle("src_11_dashboard_history", f"""
+SELECT symbol, strftime(date, '%Y-%m-%d') AS date, {r('adjusted_close sma_20 sma_50 rsi_14 volatility_20d_annualized drawdown', 6)} FROM feats""")
+oracle("src_11_dashboard_meta", """
+SELECT strftime(max(date), '%Y-%m-%d') AS latest_market_date, 'adjusted_close' AS price_basis, 'MKT' AS benchmark,
+  'No imputation; filtered metrics require a real value; comparisons use common dates.' AS missing_policy FROM screener""")
 oracle("src_12_catalog_entry", "SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT symbol) AS n_symbols, 9::BIGINT AS n_columns, "
        "'date date, symbol string, open double, high double, low double, close double, adjusted_close double, volume double, provider string' AS columns FROM panel")
 oracle("src_12_catalog_symbols", """
@@ -449,6 +463,15 @@ SELECT w.symbol, b.n IS NOT NULL AS success, coalesce(b.n, 0) AS rows, first_dat
        CASE WHEN b.n IS NULL THEN 'no rows landed' ELSE '' END AS note
 FROM {_WANTED} w LEFT JOIN (SELECT symbol, count(*) AS n, min(date) AS first_date, max(date) AS last_date, min(provider) AS provider
                             FROM bars GROUP BY symbol) b USING (symbol)""")
+# The files themselves, as the tables of this scale lie on disk.
+oracle("src_13_raw_inventory", """
+SELECT parse_filename(filename) AS path, size::BIGINT AS bytes, sha256(content) AS sha256 FROM read_blob('/root/testdata/sf0.01/*.parquet')""")
+oracle("src_14_file_manifest", """
+SELECT symbol AS file, true AS success, count(*) AS rows, 0::BIGINT AS failed_rows, min(date) AS first_date, max(date) AS last_date, '' AS note FROM bars GROUP BY symbol
+UNION ALL SELECT 'TEXT', false, count(*) FILTER (day(date) <> 13), count(*) FILTER (day(date) = 13), min(date) FILTER (day(date) <> 13), max(date) FILTER (day(date) <> 13),
+  count(*) FILTER (day(date) = 13) || ' rows failed, first: close' FROM mkt_bars
+UNION ALL SELECT 'COLUMN', false, 0, 0, NULL, NULL, 'missing columns: adjusted_close'
+UNION ALL SELECT 'NOTHING', false, 0, 0, NULL, NULL, 'empty file'""")
 oracle("src_15_incremental_landing", f"SELECT {_P} FROM panel")
 oracle("src_15_still_to_land", f"SELECT symbol, DATE '2001-12-31' - 737 AS window_start FROM {_WANTED} w WHERE symbol NOT IN (SELECT symbol FROM bars)")
 oracle("src_16_universe", "SELECT DISTINCT symbol, symbol = 'MKT' AS is_benchmark FROM panel")
@@ -723,6 +746,9 @@ cte("pairs", "\nUNION ALL ".join(
     for i, a in enumerate(_names) for b in _names[i + 1:]))
 _PAIR = "SELECT feature_1, feature_2, pairwise_observations, round(c, 8) + 0.0 AS correlation, round(abs(c), 8) + 0.0 AS absolute_correlation FROM pairs"
 oracle("agg_13_ranked_pairs", _PAIR)
+oracle("agg_13_strong_pairs", f"""
+SELECT count(*) AS pairs, count(correlation) AS pairs_with_correlation, count(*) FILTER (abs(correlation) >= 0.7) AS strong_pairs,
+  round(max(abs(correlation)), 8) + 0.0 AS strongest, (SELECT count(*) FROM trans WHERE NOT is_benchmark) AS rows, 0.7::DOUBLE AS least, 'Pearson' AS method FROM ({_PAIR})""")
 oracle("agg_14_quintile_summary", """
 SELECT quintile, count(*) AS observations, count(DISTINCT date) AS dates, round(avg(forward_return_21d), 8) + 0.0 AS mean_forward_return,
   round(median(forward_return_21d), 8) + 0.0 AS median_forward_return, round(avg(forward_hit::INT), 8) + 0.0 AS hit_rate FROM obs GROUP BY quintile""")
@@ -940,17 +966,18 @@ SELECT symbol, concat_ws(' | ', {_evidence("{c} IN ('Strong', 'Positive')", "'{n
          WHEN score_coverage < 1 THEN 'Composite score uses only ' || round(score_coverage * 100)::INT || '% of intended component weight' END) AS data_gaps,
   coalesce(overall_display_label, 'Unavailable') AS overall FROM screener""")
 _CONTEXT = {
-    "valuation": ("pe_ratio_raw", "P/E", "A higher P/E means investors pay more per dollar of earnings and may increase downside risk if growth slows."),
-    "profitability": ("profit_margin_raw_pct", "Profit margin %", "A higher margin indicates more profit retained per dollar of revenue, but durability still needs investigation."),
-    "risk": ("volatility_pct", "20D annualized volatility %", "Higher volatility means a wider range of recent price outcomes, not necessarily a worse company."),
+    "valuation": ("pe_ratio_raw", "P/E", "A higher P/E means investors pay more per dollar of earnings and may increase downside risk if growth slows.", ""),
+    "profitability": ("profit_margin_raw_pct", "Profit margin %", "A higher margin indicates more profit retained per dollar of revenue, but durability still needs investigation.", "%"),
+    "risk": ("volatility_pct", "20D annualized volatility %", "Higher volatility means a wider range of recent price outcomes, not necessarily a worse company.", "%"),
 }
 oracle("scl_17_context_text", "\nUNION ALL ".join(f"""
 SELECT symbol, '{k}' AS context, '{label}' AS label,
   CASE WHEN {c} IS NULL THEN 'Unavailable' WHEN p >= 67 THEN 'High' WHEN p <= 33 THEN 'Low' ELSE 'Middle-range' END AS status,
   CASE WHEN {c} IS NULL THEN 'Missing data is not treated as zero or favorable evidence.' ELSE '{meaning}' END AS meaning,
-  CASE WHEN {c} IS NULL THEN 'Peer position cannot be calculated.' ELSE 'Higher than approximately #% of ' || (SELECT count({c}) FROM stocks) || ' valid stocks.' END AS peer_position
-FROM (SELECT a.symbol, a.{c}, (SELECT count(*) FROM stocks b WHERE b.{c} <= a.{c}) * 100.0 / (SELECT count({c}) FROM stocks) AS p FROM screener a)"""
-    for k, (c, label, meaning) in _CONTEXT.items()) + """
+  CASE WHEN {c} IS NULL THEN 'Peer position cannot be calculated.' ELSE 'Higher than approximately ' || round_even(p, 0)::INT || '% of ' || (SELECT count({c}) FROM stocks) || ' valid stocks.' END AS peer_position,
+  CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.1f', round({c}, 9)) || '{suffix}' END AS value_text
+FROM (SELECT a.symbol, a.{c}, (SELECT count(*) FROM stocks b WHERE b.{c} <= a.{c})::DOUBLE / (SELECT count({c}) FROM stocks) * 100 AS p FROM screener a)"""
+    for k, (c, label, meaning, suffix) in _CONTEXT.items()) + """
 UNION ALL SELECT symbol, 'momentum', 'RSI 14',
   CASE WHEN rsi_14 IS NULL THEN 'Unavailable' WHEN rsi_14 >= 70 THEN 'Above 70' WHEN rsi_14 <= 30 THEN 'Below 30' ELSE '30–70 range' END,
   CASE WHEN rsi_14 IS NULL THEN 'Insufficient usable price history.'
@@ -958,6 +985,18 @@ UNION ALL SELECT symbol, 'momentum', 'RSI 14',
        WHEN rsi_14 <= 30 THEN 'Selling pressure is strong; this is not automatically a buy signal.'
        ELSE 'Momentum is not currently in an extreme reference zone.' END,
   CASE WHEN rsi_14 IS NULL THEN 'No RSI position is inferred.' WHEN rsi_14 >= 70 THEN 'Above the conventional upper reference zone.'
-       WHEN rsi_14 <= 30 THEN 'Below the conventional lower reference zone.' ELSE 'Neither conventional RSI reference extreme is active.' END FROM screener""")
+       WHEN rsi_14 <= 30 THEN 'Below the conventional lower reference zone.' ELSE 'Neither conventional RSI reference extreme is active.' END,
+  CASE WHEN rsi_14 IS NULL THEN 'N/A' ELSE printf('%.1f', round(rsi_14, 9)) END FROM screener""")
+_PROMPT = "Form a view only after checking business context, fundamentals, valuation, price/risk, and data gaps."
+oracle("scl_17_context_lines", "\nUNION ALL ".join(f"""
+SELECT symbol, '{k}' AS context, CASE WHEN {c} IS NULL THEN '{label}: unavailable; do not infer a zero or a favorable result.'
+  ELSE '{label}: ' || printf('%.1f', round({c}, 9)) || ' (' || CASE WHEN p >= 67 THEN 'high' WHEN p <= 33 THEN 'low' ELSE 'middle-range' END || '; higher than about '
+    || round_even(p, 0)::INT || '% of this ' || (SELECT count({c}) FROM stocks) || '-stock universe). {meaning}' END AS line, '{_PROMPT}' AS conclusion_prompt
+FROM (SELECT a.symbol, a.{c}, (SELECT count(*) FROM stocks b WHERE b.{c} <= a.{c})::DOUBLE / (SELECT count({c}) FROM stocks) * 100 AS p FROM screener a)"""
+    for k, (c, label, meaning, suffix) in _CONTEXT.items()) + f"""
+UNION ALL SELECT symbol, 'momentum', 'RSI 14: ' || CASE WHEN rsi_14 IS NULL THEN 'unavailable because there is insufficient usable price history.'
+  ELSE printf('%.1f', round(rsi_14, 9)) || CASE WHEN rsi_14 >= 70 THEN ', above 70. Recent gains are strong, but this can indicate an overextended move.'
+    WHEN rsi_14 <= 30 THEN ', below 30. Selling pressure is strong; this is not automatically a buy signal.'
+    ELSE ', between 30 and 70; neither reference extreme is active.' END END, '{_PROMPT}' FROM screener""")
 oracle("scl_18_json_get", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, -1::BIGINT AS missing FROM events")
 oracle("scl_19_iso_dates", """SELECT o_orderkey, '{"d":"' || strftime(o_orderdate, '%Y-%m-%d') || '","x":null}' AS document FROM orders""")

@@ -90,7 +90,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 @query("src_01_price_files")
 def _(spark, d):
     path = scratch(spark, "price-files")
-    sinks.write_csv(tables.panel(spark, d), path)
+    sinks.write_csv(chains.panel(spark, d), path)
     return rounded(prices.read_price_files(spark, path))
 
 
@@ -174,6 +174,17 @@ def _(spark, d):
     return rounded(df.select("symbol", num["PERatio"].alias("pe"), num["EPS"].alias("eps"), num["Beta"].alias("beta")))
 
 
+@query("src_07_overview_files")
+def _(spark, d):
+    """One file per symbol, read back from the folder."""
+    path = scratch(spark, "overviews")
+    docs = tables.overviews(spark, d).select("symbol", F.to_json(F.struct("PERatio", "EPS", "Beta")).alias("document"))
+    docs.repartition("symbol").write.partitionBy("symbol").text(path)
+    df = filing_sources.read_overviews(spark, path, ".txt")
+    num = {c: scalars.lenient_number(F.col(c)) for c in ("PERatio", "EPS", "Beta")}
+    return rounded(df.select("symbol", num["PERatio"].alias("pe"), num["EPS"].alias("eps"), num["Beta"].alias("beta")))
+
+
 @query("src_08_parquet_stage")
 def _(spark, d):
     path = scratch(spark, "panel")
@@ -181,6 +192,17 @@ def _(spark, d):
     return rounded(sinks.read_panel(spark, path))
 
 
+@query("src_08_bucketed_panel")
+def _(spark, d):
+    """Indicators over a bucketed table: no exchange."""
+    import uuid
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = sinks.write_bucketed(chains.basis(spark, d), f"panel_{uuid.uuid4().hex}", buckets, scratch(spark, "bucketed"))
+    df = indicators.add_risk(indicators.add_simple_averages(table))
+    return pick(df, "symbol", "date", "sma_20", "sma_50", "volatility_20d_annualized", "drawdown")
+
+
 @query("src_09_screen_csv")
 def _(spark, d):
     path = scratch(spark, "screen-csv")
@@ -212,6 +234,38 @@ def _(spark, d):
     )
 
 
+def _typed(row, fields: Sequence[str], texts: Sequence[str], flags: Sequence[str] = ()) -> str:
+    kinds = {c: "string" if c in texts else "boolean" if c in flags else "double" for c in fields}
+    return "struct<" + ", ".join(f"{c}: {k}" for c, k in kinds.items()) + ">"
+
+
+_STOCK_TEXTS = [
+    "symbol", "company_name", "sic_description", "date", "momentum_label", "fundamentals_label", "valuation_label", "overall_label",
+    "overall_display_label", "signal",
+]
+
+
+@query("src_11_dashboard_stocks")
+def _(spark, d):
+    """Every field of the stock objects."""
+    docs = sinks.dashboard_documents(chains.screener(spark, d), chains.features(spark, d))
+    kind = _typed(None, sinks.STOCK_FIELDS, _STOCK_TEXTS, ["trend_above_sma50"])
+    return rounded(docs.select(F.from_json("stock", kind).alias("s")).select("s.*"))
+
+
+@query("src_11_dashboard_history")
+def _(spark, d):
+    """Every field of the daily histories."""
+    docs = sinks.dashboard_documents(chains.screener(spark, d), chains.features(spark, d))
+    kind = f"array<{_typed(None, sinks.HISTORY_FIELDS, ['date'])}>"
+    return rounded(docs.select("symbol", F.explode(F.from_json("history", kind)).alias("h")).select("symbol", "h.*"), 6)
+
+
+@query("src_11_dashboard_meta")
+def _(spark, d):
+    return sinks.dashboard_meta(chains.screener(spark, d), BENCHMARK)
+
+
 @query("src_12_catalog_entry")
 def _(spark, d):
     return catalog.catalog_entry(tables.panel(spark, d))
@@ -236,6 +290,25 @@ def _(spark, d):
     return catalog.landing_manifest(wanted, tables.bars(spark, d))
 
 
+@query("src_14_file_manifest")
+def _(spark, d):
+    """A folder with a file per symbol, among them an empty one, one without a column and one with text for numbers."""
+    path = scratch(spark, "files")
+    bars = tables.bars(spark, d).withColumn("file", F.col("symbol"))
+    bars.repartition("file").write.option("header", True).partitionBy("file").csv(path)
+    market = tables.market_bars(tables.bars(spark, d)).select([F.col(c).cast("string").alias(c) for c in PRICE_COLUMNS])
+    odd = F.when(F.dayofmonth(F.col("date").cast("date")) == 13, "n/a").otherwise(F.col("close"))
+    market.withColumn("close", odd).repartition(1).write.option("header", True).csv(f"{path}/file=TEXT")
+    market.drop("adjusted_close").repartition(1).write.option("header", True).csv(f"{path}/file=COLUMN")
+    jvm = spark.sparkContext._jvm
+    empty = jvm.org.apache.hadoop.fs.Path(f"{path}/file=NOTHING/nothing.csv")
+    empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(empty).close()
+    name = F.regexp_extract("path", "file=([^/]+)", 1)
+    return catalog.file_manifest(spark, path).select(
+        name.alias("file"), "success", "rows", "failed_rows", "first_date", "last_date", "note"
+    )
+
+
 @query("src_15_incremental_landing")
 def _(spark, d):
     source, target, log = scratch(spark, "arrivals"), scratch(spark, "landed"), scratch(spark, "landing-log")
@@ -560,19 +633,19 @@ def _(spark, d):
 
 @query("jn_07_indexed_comparison")
 def _(spark, d):
-    df = market.indexed_comparison(tables.panel(spark, d), BENCHMARK)
+    df = market.indexed_comparison(chains.panel(spark, d), BENCHMARK)
     return pick(df, "symbol", "timeframe", "date", "stock_indexed", "benchmark_indexed")
 
 
 @query("jn_07_comparison_summary")
 def _(spark, d):
-    return rounded(market.comparison_summary(tables.panel(spark, d), BENCHMARK)).drop("benchmark")
+    return rounded(market.comparison_summary(chains.panel(spark, d), BENCHMARK)).drop("benchmark")
 
 
 @query("jn_07_comparison_by_days")
 def _(spark, d):
     """The day-count variant: the window ends on the stock's own last day."""
-    df = market.indexed_comparison_days(tables.panel(spark, d), BENCHMARK, TIMEFRAME_DAYS)
+    df = market.indexed_comparison_days(chains.panel(spark, d), BENCHMARK, TIMEFRAME_DAYS)
     return rounded(df)
 
 
@@ -614,7 +687,7 @@ def _(spark, d):
 
 @query("agg_01_latest_per_symbol")
 def _(spark, d):
-    return rounded(snapshot.latest_per_symbol(tables.panel(spark, d).select("symbol", "date", "close", "volume")))
+    return rounded(snapshot.latest_per_symbol(chains.panel(spark, d).select("symbol", "date", "close", "volume")))
 
 
 @query("agg_01_latest_beta")
@@ -711,6 +784,11 @@ def _(spark, d):
     return rounded(statistics.ranked_pairs(_correlated(spark, d)))
 
 
+@query("agg_13_strong_pairs")
+def _(spark, d):
+    return rounded(statistics.correlation_summary(_correlated(spark, d)))
+
+
 @query("agg_14_quintile_summary")
 def _(spark, d):
     return rounded(research.quintile_summary(chains.observations(spark, d)))
@@ -1017,7 +1095,7 @@ def _(spark, d):
 
 @query("set_03_comparison_long")
 def _(spark, d):
-    return rounded(market.comparison_long(market.indexed_comparison(tables.panel(spark, d), BENCHMARK)))
+    return rounded(market.comparison_long(market.indexed_comparison(chains.panel(spark, d), BENCHMARK)))
 
 
 @query("set_04_pivot_quintiles")
@@ -1213,7 +1291,12 @@ def _(spark, d):
 @query("scl_17_context_text")
 def _(spark, d):
     df = explain.context_texts(chains.screener(spark, d), BENCHMARK)
-    return df.select("symbol", "context", "label", "status", "meaning", F.regexp_replace("peer_position", "[0-9]+%", "#%").alias("peer_position"))
+    return df.select("symbol", "context", "label", "value_text", "status", "meaning", "peer_position")
+
+
+@query("scl_17_context_lines")
+def _(spark, d):
+    return explain.context_lines(chains.screener(spark, d), BENCHMARK)
 
 
 @query("scl_18_json_get")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.constants import DEFAULT_BENCHMARK, DEFAULT_UNIVERSE
 from tickerloom.operators.statistics import listed_in_blocks
+from tickerloom.sources.prices import price_lines
 
 
 def universe_table(
@@ -40,12 +45,35 @@ def catalog_symbols(df: DataFrame) -> DataFrame:
     return listed_in_blocks(distinct, ["dataset"], "symbol", "symbols").drop("dataset")
 
 
+_READ_AT_ONCE = 4 << 20
+
+
+def _opened(path: str):
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem().open_input_stream("/" + path[5:].lstrip("/"), compression=None)
+    store, name = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_stream(name, compression=None)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while part := stream.read(_READ_AT_ONCE):
+                    digest.update(part)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(found, pa.string())], names=["path", "bytes", "sha256"])
+
+
 def raw_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Every file below ``path`` with its size and SHA-256; files are hashed in parallel, one per row."""
+    """Every file below ``path`` with its size and SHA-256. Only names and sizes are rows; a task reads its files as streams, a
+    few megabytes at a time, so a file of any size is hashed (on local disks, HDFS, S3 and GCS, which pyarrow opens)."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    )
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    ).select("path", F.col("length").alias("bytes"))
+    return files.mapInArrow(_digests, "path string, bytes long, sha256 string")
 
 
 def landing_manifest(requested: DataFrame, landed: DataFrame) -> DataFrame:
@@ -93,3 +121,36 @@ def provider_betas(symbols: DataFrame, overviews: DataFrame, provider: str = "pr
         F.when(F.col("_found"), "").otherwise("overview missing").alias("provider_error"),
         lenient_number(F.col("Beta")).isNotNull().alias("provider_beta_available"),
     )
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """``path, bytes, success, rows, failed_rows, first_date, last_date, note``: a row for every file of a price folder.
+
+    A file that is empty, lacks a column or holds rows that are not of their type is a row with its reason, not an end to
+    the job; the other files stay usable (see ``prices.read_price_folder``).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    # Readers pass over files of no bytes, so names come from the listing that the reader holds anyway.
+    # One way to write a local path; the listing and the readers have two.
+    local = r"^file:/+"
+    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").withColumn("path", F.regexp_replace("path", local, "file:/"))
+    sizes = files.select(F.regexp_replace("_metadata.file_path", local, "file:/").alias("path"), F.col("length").alias("bytes"))
+    listed = names.join(sizes, "path", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long")))
+    headers, rows = (df.withColumn("path", F.regexp_replace("path", local, "file:/")) for df in price_lines(spark, path, pattern))
+    counted = rows.groupBy("path").agg(
+        F.count(F.lit(1)).alias("_lines"), F.count("problem").alias("failed_rows"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("line"))).alias("_first"),
+        F.min(F.when(F.col("problem").isNull(), F.col("date"))).alias("first_date"), F.max(F.when(F.col("problem").isNull(), F.col("date"))).alias("last_date"),
+    )
+    df = listed.join(headers.select("path", "missing"), "path", "left").join(counted, "path", "left")
+    failed = F.coalesce("failed_rows", F.lit(0).cast("long"))
+    note = (
+        F.when(F.col("missing").isNull(), "empty file")
+        .when(F.size("missing") > 0, F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")))
+        .when(F.col("_lines").isNull(), "no rows")
+        .when(failed > 0, F.concat(failed.cast("string"), F.lit(" rows failed, first: "), F.col("_first")))
+        .otherwise("")
+    )
+    return df.select(
+        "path", "bytes", (note == "").alias("success"), (F.coalesce("_lines", F.lit(0).cast("long")) - failed).alias("rows"),
+        failed.alias("failed_rows"), "first_date", "last_date", note.alias("note"),
+    )

@@ -16,10 +16,13 @@ SUBMISSION_SCHEMA = (
 
 
 def read_documents(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """``symbol, document`` from a folder of ``<SYMBOL><suffix>`` files, one document per file."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
-    return files.select(F.regexp_replace(name, f"{suffix}$", "").alias("symbol"), F.col("value").alias("document"))
+    """``symbol, document`` from a folder of ``<SYMBOL><suffix>`` files, or of ``symbol=<SYMBOL>`` folders with such files; one
+    document per file."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    folder = F.regexp_extract(F.element_at(parts, -2), "^symbol=(.+)$", 1)
+    name = F.regexp_replace(F.element_at(parts, -1), f"{suffix}$", "")
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.coalesce(F.nullif(folder, F.lit("")), name).alias("symbol"), F.col("value").alias("document"))
 
 
 def flatten_company_facts(documents: DataFrame, taxonomy: str = TAXONOMY) -> DataFrame:
@@ -67,9 +70,9 @@ def ticker_cik_map(payloads: DataFrame) -> DataFrame:
     )
 
 
-def read_overviews(spark: SparkSession, path: str) -> DataFrame:
-    """Provider overview objects; every field is text, the symbol comes from the file name."""
-    documents = read_documents(spark, path, "_overview.json")
+def read_overviews(spark: SparkSession, path: str, suffix: str = "_overview.json") -> DataFrame:
+    """Provider overview objects; every field is text, the symbol comes from the name of the file or its folder."""
+    documents = read_documents(spark, path, suffix)
     return parse_overviews(documents)
 
 

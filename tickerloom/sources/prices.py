@@ -12,6 +12,8 @@ from tickerloom.operators.keys import DataQualityError
 
 NUMBERS = [*OHLC, "adjusted_close", "volume"]
 _SERIES_KEY = "Time Series (Daily)"
+#: Columns of a file beyond these are not looked at.
+_MOST_COLUMNS = 32
 _FIELDS = ["open", "high", "low", "close", "volume"]
 
 
@@ -37,6 +39,46 @@ def read_price_files(spark: SparkSession, path: str) -> DataFrame:
     return typed_prices(rows)
 
 
+def price_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """The headers and the rows of a folder of CSV files, whatever is in them.
+
+    Headers: ``path, header, missing`` (columns that a price file must have and this one lacks); a file of no line is not
+    there. Rows of complete files: ``path, line, problem`` and the price columns, found by the file's own header;
+    ``problem`` names the first column whose text is not of its type.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    # Lines of a file are in order of the part that holds them and of their place in it.
+    lines = text.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_begin"),
+        F.monotonically_increasing_id().alias("line"), F.col("value"),
+    )
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(_MOST_COLUMNS)))
+    split = lines.select("path", "_begin", "line", "value", F.array(*[cells[f"c{i}"] for i in range(_MOST_COLUMNS)]).alias("cells"))
+    first = split.groupBy("path").agg(F.min_by(F.struct("value", "cells"), F.struct("_begin", "line")).alias("h"))
+    wanted = F.array(*[F.lit(c) for c in PRICE_COLUMNS])
+    headers = first.select("path", F.col("h.value").alias("_text"), F.transform("h.cells", F.trim).alias("header")).withColumn(
+        "missing", F.array_except(wanted, F.col("header"))
+    )
+    rows = split.join(headers, "path").where((F.size("missing") == 0) & (F.col("value") != F.col("_text")) & (F.trim("value") != ""))
+
+    def cell(name: str) -> Column:
+        return F.nullif(F.trim(F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1)), F.lit(""))
+
+    typed = {c: cell(c).try_cast("double") for c in NUMBERS} | {"date": cell("date").try_cast("date"), "symbol": cell("symbol"), "provider": cell("provider")}
+    faults = [F.when(cell("date").isNull() | typed["date"].isNull(), "date"), F.when(typed["symbol"].isNull(), "symbol")]
+    faults += [F.when(cell(c).isNotNull() & typed[c].isNull(), c) for c in NUMBERS]
+    return headers.drop("_text"), rows.select(
+        "path", "line", F.coalesce(*faults).alias("problem"),
+        *[(finite(typed[c]) if c in NUMBERS else typed[c]).alias(c) for c in PRICE_COLUMNS],
+    )
+
+
+def read_price_folder(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """The usable rows of a folder of CSV files; ``catalog.file_manifest`` says what was left out and why."""
+    _, rows = price_lines(spark, path, pattern)
+    return rows.where(F.col("problem").isNull()).select(PRICE_COLUMNS)
+
+
 def typed_prices(rows: DataFrame) -> DataFrame:
     return rows.select(
         strict_trading_date(F.col("date")).alias("date"), "symbol",

@@ -19,9 +19,13 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("year")
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
-    """Table bucketed and sorted so that per-symbol windows and joins need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "date").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, path: str) -> DataFrame:
+    """Table of the catalog below ``path``, bucketed and sorted by symbol, with one file a bucket; read back, per-symbol
+    windows and joins need no exchange. The buckets are the tasks that later work on it: take as many as a cluster has
+    use for, since a bucket is the least unit of work."""
+    spread = df.repartition(buckets, "symbol").sortWithinPartitions("symbol", "date")
+    spread.write.mode("overwrite").option("path", path).bucketBy(buckets, "symbol").sortBy("symbol", "date").saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
