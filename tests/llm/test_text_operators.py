@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -125,7 +126,7 @@ def test_heap_and_query_merge_alike(letters):
     r = np.random.default_rng(3)
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     coder = bpe.coder(RANKS)
-    for n in (2, 7, 60, 255):
+    for n in (2, 7, 60, 255, 1000):
         word = "".join(r.choice(list(letters), n)).encode()
         expected = library._core_bpe.encode_single_piece(word)
         assert bpe.merge_by_heap(word, coder.ranks) == expected
@@ -133,6 +134,23 @@ def test_heap_and_query_merge_alike(letters):
         assert [i for _, i in sorted(zip(rows.column("pos").to_pylist(), rows.column("id").to_pylist()))] == expected
 
 
+def test_batches_of_long_words_stay_in_memory():
+    """Unspaced text: many distinct words of many bytes each, and single words of thousands."""
+    r = random.Random(2)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    coder = bpe.coder(RANKS)
+    some = {"".join(chr(r.randint(0x4E00, 0x8FFF)) for _ in range(r.randint(8, 80))) for _ in range(3000)}
+    some |= {"".join(r.choice("etaoinshrdlucmfw") for _ in range(200)) for _ in range(300)}
+    some |= {"a" * n for n in range(1, 60)} | {"ab" * n for n in range(1, 60)} | {"x" * 5000, "xy" * 2500, "".join(r.choice("acgt") for _ in range(3000))}
+    some |= {"".join(r.choice("etaoin") for _ in range(bpe.LONG_WORD + 5))}
+    words = sorted(some)
+    for word, (n, ids, decoded) in zip(words, coder.code(words)):
+        expected = library._core_bpe.encode_single_piece(word.encode())
+        assert n == len(expected) and ids == " ".join(map(str, expected)) and decoded == word.encode()
+    assert coder.connection.sql("SELECT count(*) FROM merges WHERE alone").fetchone()[0] > 0
+
+
+
 def test_shards(spark, odd_docs, no_docs):
     weights = [1.0, 1.0, 2.0, 1.0]
     docs = spark.range(20000).withColumnRenamed("id", "doc_id").withColumn("shard", F.lit("mine"))

@@ -2,12 +2,17 @@
 
 Spark cuts texts into words by the tokenizer's pattern and hands each task batches of word lists. A task
 keeps one row per distinct word: the recursive query holds (word, position, id) rows, joins adjacent ids with
-the merge table, contracts each word's leftmost pair of least rank, and ends when no word has a pair left.
+the merge table, contracts each word's leftmost pair of least rank, and ends when no word has a pair left. Equal
+pairs of that rank further right are contracted in the same round, each free of the one before it: no pair that
+this makes can have a lower rank, except for tokens that the merge table itself shows to be part of an earlier
+one; for those a round contracts one pair. Only the last state of a word is kept, and only words that still have a
+pair take part in a round, so memory follows the bytes of a round (`ROUND_BYTES`), whatever the words are like.
 Decoding joins ids with the vocabulary and concatenates their bytes in order of position. A document is its
 words in order, so ids and bytes of documents are put together from those of words.
 
-A word that is a token itself is that token, as in the tiktoken library. Words above `LONG_WORD` bytes would
-take one round of the query per merge; they are merged with a heap instead, with the same result.
+A word that is a token itself is that token, as in the tiktoken library. A single word above `LONG_WORD` bytes without
+any break would keep a task in the query for minutes (200,000 random letters: over one); such a word is merged with a
+heap instead, with the same result.
 
 Null text counts as empty: no ids, no bytes. Repeated rows give equal rows.
 """
@@ -18,6 +23,8 @@ import base64
 import functools
 import hashlib
 import heapq
+import os
+import tempfile
 from collections.abc import Iterator
 
 import duckdb
@@ -28,33 +35,38 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of one recursive query, words that a task remembers, words of one slice of documents.
-ROUND_WORDS = 20_000
-REMEMBERED = 600_000
+#: Bytes of the words of one recursive query (or one word), bytes of words that a task remembers, words of one slice of documents.
+ROUND_BYTES = 400_000
+REMEMBERED_BYTES = 16 << 20
 SLICE_WORDS = 400_000
-LONG_WORD = 256
+LONG_WORD = 16_384
 
 MERGE_QUERY = """
-WITH RECURSIVE step(round, word, pos, id) AS (
-    SELECT 0, word, pos, id FROM bytes_of_words
+WITH RECURSIVE step(word, pos, id) USING KEY (word, pos) AS (
+    SELECT word, pos, id FROM bytes_of_words
     UNION ALL
     (
         WITH pairs AS (
-            SELECT round, word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id
-            FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ), best AS (
-            SELECT p.word, arg_min({'pos': p.pos, 'next_pos': p.next_pos, 'rank': m.rank}, m.rank::BIGINT * 65536 + p.pos) AS b
-            FROM pairs p JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
-            GROUP BY p.word
+            SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id, row_number() OVER w AS place
+            FROM step WHERE id >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)
+        ), ranked AS (
+            SELECT p.*, m.rank, m.alone, min(m.rank) OVER (PARTITION BY p.word) AS least
+            FROM pairs p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
+        ), equal_pairs AS (
+            SELECT word, pos, next_pos, rank, alone, place - row_number() OVER w AS chain, row_number() OVER w AS nth
+            FROM ranked WHERE rank = least WINDOW w AS (PARTITION BY word ORDER BY pos)
+        ), taken AS (
+            SELECT word, pos, next_pos, rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY word, chain ORDER BY pos) AS link FROM equal_pairs)
+            WHERE CASE WHEN alone THEN nth = 1 ELSE link % 2 = 1 END
         )
-        SELECT p.round + 1, p.word, p.pos, CASE WHEN p.pos = b.pos THEN b.rank ELSE p.id END
-        FROM pairs p JOIN best ON best.word = p.word
-        WHERE p.pos <> b.next_pos
+        SELECT r.word, r.pos, CASE WHEN t.rank IS NOT NULL THEN t.rank WHEN gone.next_pos IS NOT NULL THEN -1 ELSE r.id END
+        FROM ranked r LEFT JOIN taken t ON t.word = r.word AND t.pos = r.pos
+        LEFT JOIN taken gone ON gone.word = r.word AND gone.next_pos = r.pos
+        WHERE r.least IS NOT NULL
     )
-), done AS (
-    SELECT word, max(round) AS round FROM step GROUP BY word
 )
-SELECT step.word, step.pos, step.id FROM step JOIN done ON done.word = step.word AND done.round = step.round
+SELECT word, pos, id FROM step WHERE id >= 0
 """
 
 DECODE_QUERY = """
@@ -110,9 +122,14 @@ class WordCoder:
             for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         ]
-        self.connection = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        #: Tokens that are part of an earlier one.
+        early = {part for left, right, rank in merges for part in (left, right) if rank < part}
+        # What a very long word needs beyond the memory goes to this process's own temporary folder.
+        spill = os.path.join(tempfile.gettempdir(), f"merges-{os.getpid()}")
+        self.connection = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill})
         kinds = pa.int32()
         merge_rows = pa.table([pa.array(c, kinds) for c in zip(*merges)] if merges else [pa.array([], kinds)] * 3, ["left_id", "right_id", "rank"])
+        merge_rows = merge_rows.append_column("alone", pa.array([rank in early for _, _, rank in merges], pa.bool_()))
         vocabulary_rows = pa.table({"id": pa.array(self.ranks.values(), kinds), "hex": [token.hex() for token in self.ranks]})
         for name, rows in (("merges", merge_rows), ("vocabulary", vocabulary_rows)):
             self.connection.register("rows", rows)
@@ -120,6 +137,7 @@ class WordCoder:
         self.connection.unregister("rows")
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known_bytes = 0
 
     def merge(self, words: list[bytes]) -> pa.Table:
         """(word, pos, id) of every token; word is the position in the list."""
@@ -135,11 +153,12 @@ class WordCoder:
         return self.connection.sql(MERGE_QUERY).to_arrow_table()
 
     def tokens_of(self, words: list[bytes]) -> pa.Table:
-        """Token rows of words of any kind: whole tokens, long words, and those that the query merges."""
-        whole = [(i, [self.ranks[w]]) for i, w in enumerate(words) if w in self.ranks]
-        long = [(i, merge_by_heap(w, self.ranks)) for i, w in enumerate(words) if len(w) > LONG_WORD and w not in self.ranks]
+        """Token rows of words: whole tokens, what the query makes of the others, and very long words."""
+        ready = [(i, 0, self.ranks[w]) for i, w in enumerate(words) if w in self.ranks]
+        for i, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                ready += [(i, pos, rank) for pos, rank in enumerate(merge_by_heap(w, self.ranks))]
         rest = np.array([i for i, w in enumerate(words) if len(w) <= LONG_WORD and w not in self.ranks], dtype=np.int32)
-        ready = [(i, pos, rank) for i, ids in (*whole, *long) for pos, rank in enumerate(ids)]
         parts = [pa.table([pa.array(c, pa.int32()) for c in zip(*ready)], ["word", "pos", "id"])] if ready else []
         if len(rest):
             merged = self.merge([words[i] for i in rest])
@@ -148,16 +167,22 @@ class WordCoder:
 
     def code(self, words: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids joined by a space, and bytes decoded from those ids, of each word."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.known_bytes > REMEMBERED_BYTES:
+            self.known, self.known_bytes = {}, 0
         known = self.known
-        new = [w for w in words if w not in known]
-        for start in range(0, len(new), ROUND_WORDS):
-            part = new[start : start + ROUND_WORDS]
-            self.connection.register("tokens", self.tokens_of([w.encode() for w in part]))
+        new = [w.encode() for w in words if w not in known]
+        ends = np.cumsum([len(w) for w in new])
+        start = 0
+        while start < len(new):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + ROUND_BYTES, side="right")))
+            part = new[start:stop]
+            self.connection.register("tokens", self.tokens_of(part))
             coded = self.connection.sql(DECODE_QUERY).to_arrow_table()
             for word, n, ids, decoded in zip(*(coded.column(c).to_pylist() for c in ("word", "n", "ids", "bytes"))):
-                known[part[word]] = (n, ids, decoded)
+                known[part[word].decode()] = (n, ids, decoded)
+            self.known_bytes += int(ends[stop - 1] - before)
+            start = stop
         return [known[w] for w in words]
 
 
