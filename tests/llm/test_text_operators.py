@@ -147,7 +147,7 @@ def test_batches_of_long_words_stay_in_memory():
     for word, (n, ids, decoded) in zip(words, coder.code(words)):
         expected = library._core_bpe.encode_single_piece(word.encode())
         assert n == len(expected) and ids == " ".join(map(str, expected)) and decoded == word.encode()
-    assert coder.connection.sql("SELECT count(*) FROM merges WHERE alone").fetchone()[0] > 0
+    assert coder.connection.sql("SELECT count(*) FROM merges WHERE alone").fetchall()[0][0] > 0
 
 
 
