@@ -49,21 +49,21 @@ WITH RECURSIVE step(word, pos, id) USING KEY (word, pos) AS (
         WITH pairs AS (
             SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id, row_number() OVER w AS place
             FROM step WHERE id >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ), ranked AS (
-            SELECT p.*, m.rank, m.alone, min(m.rank) OVER (PARTITION BY p.word) AS least
-            FROM pairs p LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
+        ), found AS (
+            SELECT p.word, p.pos, p.next_pos, p.place, m.rank, m.alone FROM pairs p JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id
+        ), best AS (
+            SELECT word, min(rank) AS least FROM found GROUP BY word
         ), equal_pairs AS (
-            SELECT word, pos, next_pos, rank, alone, place - row_number() OVER w AS chain, row_number() OVER w AS nth
-            FROM ranked WHERE rank = least WINDOW w AS (PARTITION BY word ORDER BY pos)
+            SELECT f.*, f.place - row_number() OVER w AS chain, row_number() OVER w AS nth
+            FROM found f JOIN best b ON b.word = f.word AND b.least = f.rank WINDOW w AS (PARTITION BY f.word ORDER BY f.pos)
         ), taken AS (
             SELECT word, pos, next_pos, rank
             FROM (SELECT *, row_number() OVER (PARTITION BY word, chain ORDER BY pos) AS link FROM equal_pairs)
             WHERE CASE WHEN alone THEN nth = 1 ELSE link % 2 = 1 END
+        ), changed AS (
+            SELECT word, pos, rank AS id FROM taken UNION ALL SELECT word, next_pos, -1 FROM taken
         )
-        SELECT r.word, r.pos, CASE WHEN t.rank IS NOT NULL THEN t.rank WHEN gone.next_pos IS NOT NULL THEN -1 ELSE r.id END
-        FROM ranked r LEFT JOIN taken t ON t.word = r.word AND t.pos = r.pos
-        LEFT JOIN taken gone ON gone.word = r.word AND gone.next_pos = r.pos
-        WHERE r.least IS NOT NULL
+        SELECT p.word, p.pos, coalesce(c.id, p.id) FROM pairs p SEMI JOIN best ON best.word = p.word LEFT JOIN changed c ON c.word = p.word AND c.pos = p.pos
     )
 )
 SELECT word, pos, id FROM step WHERE id >= 0
