@@ -244,8 +244,11 @@ def test_facts_are_known_from_their_filing_day(spark):
     assert filings.latest_facts(facts, as_of="2026-04-30").first().val == 10
     assert filings.latest_facts(facts, as_of="2026-05-01").first().val == 12
     asked = spark.createDataFrame([("A", D(2026, 1, 31)), ("A", D(2026, 2, 1)), ("A", D(2026, 4, 30)), ("A", D(2026, 5, 1))], "symbol string, decision_date date")
-    got = {r.decision_date: r.val for r in filings.point_in_time_facts(facts, asked).collect()}
-    assert got == {D(2026, 2, 1): 10, D(2026, 4, 30): 10, D(2026, 5, 1): 12}
+    # A row for each day and metric; nothing is known on the first day, and of the other metrics on none.
+    rows = filings.point_in_time_facts(facts, asked).collect()
+    assert len(rows) == 24 and all(r.val is None for r in rows if r.metric != "revenue")
+    got = {r.decision_date: r.val for r in rows if r.metric == "revenue"}
+    assert got == {D(2026, 1, 31): None, D(2026, 2, 1): 10, D(2026, 4, 30): 10, D(2026, 5, 1): 12}
 
 
 def test_point_in_time_agrees_with_one_date_at_a_time(spark):
@@ -263,7 +266,8 @@ def test_point_in_time_agrees_with_one_date_at_a_time(spark):
     asked = spark.createDataFrame([("A", d) for d in dates], "symbol string, decision_date date")
     got = {(r.decision_date, r.metric): (r.val, r.tag) for r in filings.point_in_time_facts(facts, asked).collect()}
     want = {(d, r.metric): (r.val, r.tag) for d in dates for r in filings.latest_facts(facts, as_of=d.isoformat()).collect()}
-    assert got == want and len(want) > 12
+    assert {k: v for k, v in got.items() if v != (None, None)} == want and len(want) > 12
+    assert len(got) == len(dates) * len({m for _, m in got}) and {m for _, m in got} > {m for _, m in want}
 
 
 def _growth(spark, rows):
