@@ -6,7 +6,9 @@ own nearest pivots and sums the differences of places (Spearman's footrule; a pi
 as placed behind the last). The nearest share by footrule is measured by true distance.
 
 The index is a staged table of cells, each with the postings of at most `cell_rows` vectors. A search brings
-blocks of queries together with every cell, so its work is queries times rows, with bounded memory in a task.
+blocks of queries together with every cell where the cell lies, so its work is spread by cell, with bounded memory
+in a task. A query reads the files of its own nearest pivots only: `places` of `pivots`, each with that share of the
+cell, so the postings read are places squared over pivots for each vector.
 
 A vector takes part if it has a vec_id, the most frequent length (the lesser, if several) and only finite
 components, not all zero. Of rows with equal vec_id the one with the least vector counts. Without such rows the
@@ -27,14 +29,18 @@ from pyspark.sql.window import Window
 from tickerloom.llm.staging import Stages
 
 
+#: Tasks of a search, unless the session shuffles into more.
+MOST_TASKS = 20_000
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Recall rises with pivots, places and share. Even independent vectors of 64 dimensions, where nothing is
-    near, are found to 0.99 with these."""
+    """Recall rises with places and share; postings read fall with pivots. Even independent vectors of 64
+    dimensions, where nothing is near, are found to 0.98 with these."""
 
-    pivots: int = 64
+    pivots: int = 512
     #: Pivots that a vector is posted under.
-    places: int = 64
+    places: int = 48
     #: Share of each cell's distinct vectors that is measured, and the least number.
     share: float = 0.25
     least_measured: int = 256
@@ -82,12 +88,17 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, places: int) -> np.n
 
 
 def build(vectors: DataFrame, pivots: np.ndarray, settings: Settings) -> DataFrame:
-    """Cells: distinct vectors, the ids of each, and per pivot the range of its postings (vector of the cell, place)."""
+    """Cells: distinct vectors, the ids of each, and per pivot the range of its postings (vector of the cell, place).
+
+    vectors: cell, vec_id, embedding, in the order of cells; a cell cut by the end of a batch makes several rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, settings.cell_rows):
-                part = batch.slice(start, settings.cell_rows)
+            cell = batch.column("cell").to_numpy()
+            begins = np.append(np.unique(cell, return_index=True)[1], len(cell))
+            for start, end in zip(begins[:-1], begins[1:]):
+                part = batch.slice(start, end - start)
                 ids, held = part.column("vec_id").to_numpy(), np.ascontiguousarray(_matrix(part.column("embedding")))
                 # Copies are posted once, with their ids in order.
                 _, first, copy_of = np.unique(held.view(np.dtype((np.void, held.strides[0]))).ravel(), return_index=True, return_inverse=True)
@@ -97,13 +108,14 @@ def build(vectors: DataFrame, pivots: np.ndarray, settings: Settings) -> DataFra
                 pivot = near.ravel()
                 by_pivot = np.argsort(pivot, kind="stable")
                 row, place = np.divmod(by_pivot, near.shape[1])
-                begins = np.searchsorted(pivot[by_pivot], np.arange(len(pivots) + 1))
+                files = np.searchsorted(pivot[by_pivot], np.arange(len(pivots) + 1))
                 packed = [np.asarray(x, kind).tobytes() for x, kind in (
-                    (ids[by_copy], "<i8"), (copies, "<i4"), (held[first], "<f8"), (begins, "<i4"), (row, "<i2"), (place, "<i2"))]
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], ["ids", "copies", "vectors", "begins", "row", "place"])
+                    (ids[by_copy], "<i8"), (copies, "<i4"), (held[first], "<f8"), (files, "<i4"), (row, "<i2"), (place, "<i2"))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("cell").slice(0, 1), *[pa.array([p], pa.binary()) for p in packed]], ["cell", "ids", "copies", "vectors", "begins", "row", "place"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(
-        run, "ids binary, copies binary, vectors binary, begins binary, row binary, place binary")
+    return vectors.select("cell", F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(
+        run, "cell int, ids binary, copies binary, vectors binary, begins binary, row binary, place binary")
 
 
 def footrules(order: np.ndarray, begins: np.ndarray, row: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
@@ -118,7 +130,7 @@ def footrules(order: np.ndarray, begins: np.ndarray, row: np.ndarray, place: np.
     return total
 
 
-def _search(cells: DataFrame, blocks: DataFrame, pivots: np.ndarray, k: int, settings: Settings) -> DataFrame:
+def _search(met: DataFrame, pivots: np.ndarray, k: int, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim = pivots.shape[1]
         for batch in batches:
@@ -147,7 +159,7 @@ def _search(cells: DataFrame, blocks: DataFrame, pivots: np.ndarray, k: int, set
                     out[2].append(far[best])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["query_id", "vec_id", "score"])
 
-    return cells.join(blocks, "block").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return met.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, settings: Settings = Settings()) -> DataFrame:
@@ -157,15 +169,18 @@ def search(vectors: DataFrame, is_query, k: int = 10, settings: Settings = Setti
     pivots = pick_pivots(rows, settings)
     if not len(pivots):
         pivots = np.zeros((1, 1))
-    # About a cell to a task, so a search has as many tasks as there are cells.
     number = max(1, -(-rows.count() // settings.cell_rows))
-    cells = stages.put(build(rows.repartition(number, "vec_id"), pivots, settings))
+    # Twice as many partitions as cells, since cells are dealt by hash; a stated number is not merged again.
+    tasks = min(2 * number, max(MOST_TASKS, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(number)).cast("int")).repartition(tasks, "cell")
+    cells = stages.put(build(dealt.sortWithinPartitions("cell"), pivots, settings))
     queries = rows.filter(is_query).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Each block of queries meets each cell: the stated queries against all rows. Ids are distinct, so hashing bounds a block.
-    number = max(1, -(-queries.count() // settings.query_rows))
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(number)).cast("int")).groupBy("block").agg(
+    blocks = max(1, -(-queries.count() // settings.query_rows))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).groupBy("block").agg(
         F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    met = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
-    found = _search(met, blocks, pivots, k, settings)
+    # Blocks go to the cells, which are shuffled once however many blocks there are.
+    sent = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("cell")).repartition(tasks, "cell")
+    found = _search(cells.repartition(tasks, "cell").join(sent, "cell"), pivots, k, settings)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
