@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm import components, html_extract, jaccard_join, line_dedup, permutation_index, toxicity
+from tickerloom.llm import components, html_extract, jaccard_join, line_dedup, permutation_index, sharding, toxicity
 from tickerloom.llm.staging import Stages
 
 
@@ -233,6 +233,25 @@ def test_search_recall_and_scores(spark, monkeypatch):
     assert out[out.query_id == 1500].sort_values("rank").vec_id.tolist() == [7, *range(1000, 1009)]
 
 
+def test_an_index_posts_under_few_pivots_and_cells_are_tasks(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(40, 24)) * 4
+    held = centres[r.integers(0, 40, 4000)] + r.normal(size=(4000, 24))
+    settings = permutation_index.Settings(pivots=128, places=8, cell_rows=500)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(held)], "vec_id long, embedding array<double>")
+    out = permutation_index.search(vectors, F.col("vec_id") % 100 == 0, settings=settings)
+    hits = 0
+    for q, own in out.toPandas().groupby("query_id"):
+        far = ((held - held[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10]) & set(own.vec_id))
+    assert hits >= 0.95 * 400
+    # Each vector is posted `places` times, and a query reads about places / pivots of the postings.
+    orders = permutation_index.nearest_pivots(held, held[:128], settings.places)
+    files = np.bincount(orders.ravel(), minlength=128)
+    assert np.mean([files[orders[q]].sum() for q in range(0, 4000, 100)]) < 0.25 * orders.size
+
+
 def test_search_with_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     rows = permutation_index.search(few, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
@@ -240,6 +259,19 @@ def test_search_with_few_rows(spark):
     assert permutation_index.search(few.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+# ---- columns of the caller ----
+
+
+@pytest.mark.parametrize("call, names", [
+    (line_dedup.dedup_lines, ["_key", "_runs"]), (jaccard_join.one_of_each, ["_key", "_KEY2"]),
+    (lambda d: sharding.assign(d, "doc_id", [1.0, 1.0]), ["_part", "_row", "_local", "_begin", "_n"]),
+])
+def test_columns_with_names_of_ours_pass_through(spark, call, names):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "some other text of six words")], "doc_id long, text string")
+    out = call(docs.withColumns({n: F.lit(f"mine {n}") for n in names} | {"_aside_key": F.lit("held")})).collect()
+    assert len(out) == 2 and all(r[n] == f"mine {n}" for r in out for n in names) and all(r["_aside_key"] == "held" for r in out)
+
+
 # ---- toxicity ----
 
 
@@ -260,6 +292,8 @@ def test_toxicity_learns_words_and_pairs(spark, words):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     given = spark.createDataFrame([*labels, (1, None), (None, 1), (77777, 1), (2, 5)], "doc_id long, toxic int")
     model = toxicity.fit(docs, given)
+    long = toxicity.fit(docs, given.withColumn("toxic", F.col("toxic").cast("long")))
+    assert np.array_equal(long.weights, model.weights)
     assert 0 < len(model.buckets) < 500
     out = toxicity.score(docs, model).withColumn("held", toxicity.held_out(F.col("doc_id"), 5)).toPandas()
     truth = out.doc_id.map(dict(labels))

@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 
 from tickerloom.llm import words as W
 from tickerloom.llm.components import components
+from tickerloom.llm.columns import set_aside
 from tickerloom.llm.staging import Stages
 
 SHINGLE = 5
@@ -435,12 +436,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of equal rows one stays. Rows without words are linked with nothing and all stay.
     """
+    docs, back = set_aside(docs, ["_key"])
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     placed, _ = _placed(keyed.select("doc_id", "text", "_key"))
     first = placed.filter("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = keyed.filter(worded).join(first, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.select(*docs.columns).union(docs.filter(~worded))
+    return kept.select(*docs.columns).union(docs.filter(~worded)).withColumnsRenamed(back)
 
 
 def _checked(keyed: DataFrame, pairs: DataFrame, nodes: DataFrame, stages: Stages) -> DataFrame:

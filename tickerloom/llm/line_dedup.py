@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm import words as W
+from tickerloom.llm.columns import set_aside
 from tickerloom.llm.staging import Stages
 
 UNIT_WORDS = 25
@@ -166,7 +167,8 @@ def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
 
 def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """`docs` with repeated runs cut out of `text`, and `n_lines`, `n_removed` behind the other columns."""
-    through = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_key", "_runs")]
+    docs, back = set_aside(docs, ["_key", "_runs"])
+    through = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*through, F.xxhash64("doc_id", "text").alias("_key"))
     runs = repeated_runs(keyed.select("_key", "doc_id", "text"), unit_words, window_words)
     joined = keyed.join(runs.withColumnRenamed("runs", "_runs"), "_key", "left").select(*through, "_runs")
@@ -185,4 +187,4 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: int
             yield pa.RecordBatch.from_arrays([*columns, *counts], [*through, "n_lines", "n_removed"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1]]
-    return joined.mapInArrow(run, ", ".join([*kinds, "n_lines bigint", "n_removed bigint"]))
+    return joined.mapInArrow(run, ", ".join([*kinds, "n_lines bigint", "n_removed bigint"])).withColumnsRenamed(back)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickerloom.llm.columns import set_aside
 from tickerloom.llm.staging import Stages
 
 
@@ -40,7 +41,9 @@ def assign(docs: DataFrame, key: str, weights: Sequence[float], spare_weight: fl
     sum of one count per (partition, shard) gives where each begins. The numbered rows are staged first, since
     a recomputed partition could hold other rows.
     """
+    docs, back = set_aside(docs, ["_part", "_row", "_local", "_begin", "_n"])
     spark = docs.sparkSession
+    key = next((held for held, column in back.items() if column == key), key)
     grown = [*weights, spare_weight]
     drawn = (
         docs.withColumn("shard", shard_of(F.col(key), weights))
@@ -60,6 +63,7 @@ def assign(docs: DataFrame, key: str, weights: Sequence[float], spare_weight: fl
         .join(begins, ["_part", "shard"])
         .withColumn("slot", (F.col("_begin") + F.col("_local")).cast("long"))
         .select(*[c for c in docs.columns if c not in ("shard", "slot", "grown_shard")], "shard", "slot", "grown_shard")
+        .withColumnsRenamed(back)
     )
 
 

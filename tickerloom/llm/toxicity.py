@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     half = settings.sample_rows // 2
     usable = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), settings.held_out_of))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = usable.filter("toxic = 1").orderBy(*by_hash).limit(half).union(usable.filter("toxic = 0").orderBy(*by_hash).limit(settings.sample_rows - half))
