@@ -1,10 +1,14 @@
+import pathlib
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickerloom.operators import order_stats as os_
 from tickerloom.operators.research import add_quantile_bin
 from tickerloom.operators.scoring import percentile_ranks
+from tickerloom.plans import chains
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +83,62 @@ def test_missing_values_are_dealt_out(spark):
     assert "_spread" in join
 
 
+def test_quantiles_read_the_input_twice_and_count_both_sides(spark, skewed, tmp_path):
+    pdf, df = skewed
+    df.write.parquet(str(tmp_path / "values"))
+    stored = spark.read.parquet(str(tmp_path / "values"))
+    out = os_.exact_quantiles(stored, ["g"], "v", {"low": 0.05, "mid": 0.5, "high": 0.95}, also=[F.count("id").alias("n")], counts=True)
+    rows = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # The sketch was the first read; the second is the only scan of the values left, its tally is reused.
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "/values" in x]
+    assert len(scans) == 1 and "ReusedExchange" in plan
+    for row in rows:
+        own = pdf.loc[pdf.g == row.g, "v"]
+        assert row.n == len(own)
+        for name, q in (("low", 0.05), ("mid", 0.5), ("high", 0.95)):
+            bound = row[name]
+            assert bound == pytest.approx(own.quantile(q))
+            assert row[f"{name}_below"] == (own < bound).sum() and row[f"{name}_above"] == (own > bound).sum()
+
+
+@pytest.mark.parametrize("points, accuracy", [(2, 4), (16, 8), (64, 256)])
+def test_quantiles_are_exact_whatever_the_sketch(skewed, monkeypatch, points, accuracy):
+    pdf, df = skewed
+    monkeypatch.setattr(os_, "SKETCH_POINTS", points)
+    monkeypatch.setattr(os_, "SKETCH_ACCURACY", accuracy)
+    qs = {"a": 0.0, "b": 0.05, "c": 0.333, "d": 0.95, "e": 1.0}
+    out = os_.exact_quantiles(df, ["g"], "v", qs).toPandas().set_index("g")
+    for name, q in qs.items():
+        assert np.allclose(out[name].sort_index(), pdf.groupby("g")["v"].quantile(q).sort_index()), name
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_quantiles_of_few_values(spark, n):
+    values = [float(x * 7 % 5) for x in range(n)]
+    qs = {f"q{i}": i / 10 for i in range(11)}
+    out = os_.exact_quantiles(spark.createDataFrame([(x,) for x in values], "v double"), [], "v", qs).first()
+    assert [out[name] for name in qs] == pytest.approx([np.quantile(values, q) for q in qs.values()])
+
+
+def test_no_folder_is_left_of_what_quantiles_wrote(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    assert os_.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"] == 1.5
+    assert any(root.glob("quantiles-*"))
+    chains.forget_stages()
+    assert not any(root.glob("quantiles-*"))
+
+
+def test_quantiles_of_a_group_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
+    assert [tuple(r) for r in os_.exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()] == [("a", 1.5)]
+    assert os_.upper_median(df, ["g"], "v", "m").count() == 1
+    out = os_.exact_quantiles(df, ["g"], "v", {"m": 0.5}, also=[F.count(F.lit(1)).alias("n")], counts=True).orderBy("g").collect()
+    assert [(r.g, r.n, r.m, r.m_below, r.m_above) for r in out] == [("a", 2, 1.5, 1, 1), ("b", 1, None, None, None)]
+    assert os_.exact_quantiles(df.where("g = 'b'"), [], "v", {"m": 0.5}).first()["m"] is None
+
+
 def test_upper_median(spark):
     df = spark.createDataFrame([(x,) for x in (4.0, 1.0, 3.0, 2.0)], "v double")
     assert os_.upper_median(df, [], "v", "m").first()["m"] == 3.0

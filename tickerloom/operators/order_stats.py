@@ -10,6 +10,11 @@ The number of ranges follows the session's shuffle partitions, so a larger clust
 sample keeps, for each of a number of hash cells, the key with the smallest hash: bounded in size
 for any input, combined map-side, and the same on every evaluation, so a recomputed task agrees
 with the rest of the job.
+
+Quantiles need no order of all values. One read of the input makes a mergeable sketch per group (the built-in
+`percentile_approx`, whose rank error is bounded), out of which each wanted position gets a bracket of values that
+holds it. The second read counts what lies between brackets and tallies the values inside them, about an
+800th of a group each. The brackets are written down first, so every task of the second read has the same.
 """
 
 from __future__ import annotations
@@ -20,9 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickerloom.stage import stage
+
 RANGES_PER_PARTITION = 4
 LEAST_RANGES = 256
 CELLS_PER_RANGE = 16
+#: Positions at which a sketch is read, and the inverse of its rank error.
+SKETCH_POINTS = 2048
+SKETCH_ACCURACY = 8192
 
 
 def range_number(spark: SparkSession) -> int:
@@ -147,53 +157,104 @@ def _holds(position: Column) -> Column:
     return (F.col("n_less") <= position) & (position < F.col("n_less") + F.col("n_equal"))
 
 
-def _near_positions(
-    df: DataFrame, group: Sequence[str], value: str, positions: Sequence[Column]
-) -> DataFrame:
-    """The part of the rank table that covers ``positions`` (expressions over ``n_group``).
+def _brackets(df: DataFrame, group: Sequence[str], value: str, positions: Sequence[tuple[Column, Column]], also: Sequence[Column]) -> DataFrame:
+    """One row per group, written: ``n_group`` values, ``also``, and ``_low0``, ``_high0`` .. with the values from and to
+    which the first (low, high) of ``positions`` must lie; null where nothing bounds it.
 
-    Ranges are counted first; only the ranges that hold a wanted position are read again, tallied and
-    ordered, so the values as a whole are never shuffled or sorted. The list of wanted
-    ranges is joined like any other table: Spark broadcasts it where its measured size allows.
+    Point j of the sketch has a rank within the rank error of j shares of the group, so the point taken for
+    the lower end is at most the wanted rank and that for the upper end at least.
     """
-    ranged = with_range(df.where(F.col(value).isNotNull()).select(*group, value), [*group, value])
-    offsets = _offsets(ranged, group, F.lit(1))
-    hit = F.lit(False)
-    for at in positions:
-        hit = hit | ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_held")))
-    wanted = offsets.where(hit).drop("_held")
+    points = ", ".join(f"{j / SKETCH_POINTS!r}D" for j in range(SKETCH_POINTS + 1))
+    sketched = df.groupBy(*group).agg(
+        F.count(value).alias("n_group"),
+        F.expr(f"percentile_approx(`{value}`, array({points}), {SKETCH_ACCURACY})").alias("_points"),
+        *also,
+    )
+    share, error = F.try_divide(F.lit(float(SKETCH_POINTS)), F.col("n_group")), SKETCH_POINTS / SKETCH_ACCURACY
+    ends = []
+    for i, (low, high) in enumerate(positions):
+        first = F.floor(low * share - error).cast("int")
+        last = F.ceil((high + 1) * share + error).cast("int")
+        ends.append(F.when(first >= 0, F.get("_points", first)).alias(f"_low{i}"))
+        ends.append(F.when(last <= SKETCH_POINTS, F.get("_points", last)).alias(f"_high{i}"))
+    return stage(sketched.select("*", *ends).drop("_points"), "quantiles")
+
+
+def _near_positions(df: DataFrame, brackets: DataFrame, group: Sequence[str], value: str, number: int) -> DataFrame:
+    """The part of the rank table that lies in the brackets: ``n_less`` and ``n_equal`` of each value there.
+
+    Values outside are counted by the number of brackets below them, so they lie before the values
+    inside that have as many below; they are never shuffled or sorted.
+    """
+    at, inside = F.lit(0), F.lit(False)
+    for i in range(number):
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        at = at + F.coalesce(high < F.col(value), F.lit(False)).cast("int")
+        inside = inside | ((low.isNull() | (low <= F.col(value))) & (high.isNull() | (F.col(value) <= high)))
+    # A row per group: Spark sends it to the values where its written size allows, else skew is split.
+    ends = brackets.select(*group, "n_group", *[f"_{e}{i}" for i in range(number) for e in ("low", "high")])
     tally = (
-        ranged.join(wanted, [*group, "_range"])
-        .groupBy(*group, "_range", "_before", "n_group", value)
+        df.where(F.col(value).isNotNull()).select(*group, value).join(ends, list(group))
+        .groupBy(*group, "n_group", at.alias("_at"), F.when(inside, F.col(value)).alias(value))
         .agg(F.count(F.lit(1)).alias("n_equal"))
     )
-    smaller = W.partitionBy(*group, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return tally.withColumn("n_less", F.col("_before") + F.coalesce(F.sum("n_equal").over(smaller), F.lit(0)))
+    below = (
+        tally.groupBy(*group, "_at").agg(F.sum("n_equal").alias("_held"))
+        .select(*group, "_at", (F.sum("_held").over(W.partitionBy(*group).orderBy("_at")) - F.col("_held")).alias("_before"))
+    )
+    smaller = W.partitionBy(*group, "_at").orderBy(F.col(value).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        tally.withColumn("_within", F.coalesce(F.sum("n_equal").over(smaller), F.lit(0)))
+        .join(below, [*group, "_at"])
+        .select(*group, value, "n_equal", (F.col("_before") + F.col("_within")).alias("n_less"), "n_group")
+        .where(F.col(value).isNotNull())
+    )
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float]
+    df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float], also: Sequence[Column] = (), counts: bool = False
 ) -> DataFrame:
-    """Linear-interpolation quantiles, one column per entry of ``quantiles``, one row per group."""
+    """Linear-interpolation quantiles, one column per entry of ``quantiles``, one row per group with a value.
+
+    ``also``: named aggregates over all rows of a group, taken along in the first read; groups without a value then
+    have a row too. ``counts`` adds ``<name>_below`` and ``<name>_above``, how many values are less and greater.
+    """
     for q in quantiles.values():
         if not 0 <= q <= 1:
             raise ValueError(f"quantile outside 0-1: {q}")
     keys = list(group) or ["_all"]
     source = df if group else df.withColumn("_all", F.lit(0))
     places = {name: (F.col("n_group") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
-    near = _near_positions(
-        source, keys, value, [f(at) for at in places.values() for f in (F.floor, F.ceil)]
-    )
-    picks, columns = [], []
+    brackets = _brackets(source, keys, value, [(F.floor(at), F.ceil(at)) for at in places.values()], also)
+    near = _near_positions(source, brackets, keys, value, len(places))
+    held = F.struct(F.col(value).alias("value"), "n_less", "n_equal")
+    picks, columns = [F.max("n_group").alias("_n")], []
     for name, at in places.items():
         picks += [
-            F.max(F.when(_holds(F.floor(at)), F.col(value))).alias(f"_{name}_low"),
-            F.max(F.when(_holds(F.ceil(at)), F.col(value))).alias(f"_{name}_high"),
+            F.max(F.when(_holds(F.floor(at)), held)).alias(f"_{name}_low"),
+            F.max(F.when(_holds(F.ceil(at)), held)).alias(f"_{name}_high"),
             F.max(at - F.floor(at)).alias(f"_{name}_share"),
         ]
-        lo, hi = F.col(f"_{name}_low"), F.col(f"_{name}_high")
-        columns.append((lo + (hi - lo) * F.col(f"_{name}_share")).alias(name))
-    return _per_group(near, group, picks).select(*group, *columns)
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        lo, hi = low["value"], high["value"]
+        found = _found(low, lo + (hi - lo) * F.col(f"_{name}_share"))
+        columns.append(found.alias(name))
+        if counts:
+            columns += [
+                F.when(found <= lo, low["n_less"]).otherwise(high["n_less"]).alias(f"{name}_below"),
+                (F.col("_n") - high["n_less"] - F.when(found < hi, 0).otherwise(high["n_equal"])).alias(f"{name}_above"),
+            ]
+    out = _per_group(near, group, picks).select(*group, *columns)
+    if not also:
+        return out
+    first = brackets.drop("n_group", *[f"_{e}{i}" for i in range(len(places)) for e in ("low", "high")])
+    return first.join(out, list(group), "left")
+
+
+def _found(held: Column, result: Column) -> Column:
+    """``result``, or the failure of the job where a group has values and none was at the wanted position."""
+    missed = F.col("_n").isNotNull() & held.isNull()
+    return F.when(missed, F.raise_error(F.lit("a wanted position lies outside its bracket"))).otherwise(result)
 
 
 def _per_group(near: DataFrame, group: Sequence[str], picks: list[Column]) -> DataFrame:
@@ -206,5 +267,8 @@ def upper_median(df: DataFrame, group: Sequence[str], value: str, name: str) ->
     keys = list(group) or ["_all"]
     source = df if group else df.withColumn("_all", F.lit(0))
     middle = F.floor(F.col("n_group") / 2)
-    near = _near_positions(source, keys, value, [middle])
-    return _per_group(near, group, [F.max(F.when(_holds(middle), F.col(value))).alias(name)])
+    brackets = _brackets(source, keys, value, [(middle, middle)], [])
+    near = _near_positions(source, brackets, keys, value, 1)
+    picked = F.max(F.when(_holds(middle), F.struct(F.col(value).alias("value")))).alias("_held")
+    held = _per_group(near, group, [F.max("n_group").alias("_n"), picked])
+    return held.select(*group, _found(F.col("_held"), F.col("_held.value")).alias(name))

@@ -76,14 +76,15 @@ def bin_observations(
 
 
 def quintile_summary(observations: DataFrame, outcome: str = "forward_return_21d") -> DataFrame:
-    means = observations.groupBy("quintile").agg(
+    means = [
         F.count(F.lit(1)).alias("observations"),
         F.count_distinct("date").alias("dates"),
         F.avg(outcome).alias("mean_forward_return"),
         F.avg(F.col("forward_hit").cast("double")).alias("hit_rate"),
-    )
-    medians = exact_quantiles(observations, ["quintile"], outcome, {"median_forward_return": 0.5})
-    return means.join(F.broadcast(medians), "quintile")  # one row per quintile
+    ]
+    rows = observations.where(F.col("quintile").isNotNull())
+    summary = exact_quantiles(rows, ["quintile"], outcome, {"median_forward_return": 0.5}, also=means)
+    return summary.where(F.col("median_forward_return").isNotNull())
 
 
 def spread_by_date(observations: DataFrame, outcome: str = "forward_return_21d") -> DataFrame:

@@ -120,7 +120,7 @@ def skewness(value: str) -> Column:
 
 def distribution_statistics(df: DataFrame, features: Sequence[str] = DISTRIBUTION_FEATURES) -> DataFrame:
     values = long_features(df, features, ids=())
-    moments = values.groupBy("feature").agg(
+    moments = [
         F.count(F.lit(1)).alias("eligible_rows"),
         F.count("value").alias("available_count"),
         F.avg("value").alias("mean"),
@@ -128,12 +128,12 @@ def distribution_statistics(df: DataFrame, features: Sequence[str] = DISTRIBUTIO
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         skewness("value").alias("skewness"),
-    )
-    quantiles = exact_quantiles(
-        values, ["feature"], "value", {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
+    ]
+    described = exact_quantiles(
+        values, ["feature"], "value", {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}, also=moments
     )
     missing = F.col("eligible_rows") - F.col("available_count")
-    return moments.join(quantiles, "feature", "left").withColumns(
+    return described.withColumns(
         {
             "missing_count": missing,
             "missing_rate": F.try_divide(missing, F.col("eligible_rows")),

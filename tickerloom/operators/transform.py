@@ -62,19 +62,13 @@ def winsor_bounds(
     _check_quantiles(lower, upper)
     keys = [*by, "feature"]
     values = _stock_values(df, features, by)
-    bounds = exact_quantiles(values, keys, "value", {"lower_bound": lower, "upper_bound": upper})
-    if not by:
-        bounds = F.broadcast(bounds)  # one row per feature: the length of the feature list
-    counted = (
-        values.join(bounds, keys, "left")
-        .groupBy(*keys)
-        .agg(
-            F.max("lower_bound").alias("lower_bound"),
-            F.max("upper_bound").alias("upper_bound"),
-            F.count("value").alias("available_stock_values"),
-            F.count_if(F.col("value") < F.col("lower_bound")).alias("lower_capped_count"),
-            F.count_if(F.col("value") > F.col("upper_bound")).alias("upper_capped_count"),
-        )
+    available = F.count("value").alias("available_stock_values")
+    bounds = exact_quantiles(values, keys, "value", {"lower_bound": lower, "upper_bound": upper}, also=[available], counts=True)
+    none = F.lit(0).cast("long")
+    counted = bounds.select(
+        *keys, "lower_bound", "upper_bound", "available_stock_values",
+        F.coalesce("lower_bound_below", none).alias("lower_capped_count"),
+        F.coalesce("upper_bound_above", none).alias("upper_capped_count"),
     )
     return counted.withColumns({"lower_quantile": F.lit(lower), "upper_quantile": F.lit(upper)})
 

@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from tickerloom.operators import asof, cleaning, filings, indicators, market, research, scoring, snapshot, transform
 from tickerloom.plans import tables
 from tickerloom.plans.tables import BENCHMARK
-from tickerloom.stage import drop, stage
+from tickerloom.stage import drop_all, stage
 
 _staged: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 def forget_stages() -> None:
-    """Remove every stage table; the next use of one computes it again."""
-    for table in _staged.values():
-        drop(table)
+    """Remove every stage table, of chains and of operators; the next use of one computes it again."""
+    drop_all()
     _staged.clear()
 
 

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Stage tables that have not been dropped, by path.
+_open: dict[str, DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,11 +31,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.stage_path = path
+    _open[path] = staged
     return staged
 
 
 def drop(staged: DataFrame) -> None:
     """Remove a stage table that nothing will read again."""
     spark = staged.sparkSession
+    _open.pop(staged.stage_path, None)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged.stage_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_all() -> None:
+    """Remove every stage table that is left, those inside operators too. What was built on them cannot be read again."""
+    for staged in list(_open.values()):
+        if staged.sparkSession.sparkContext._jsc is None:  # its session has ended
+            _open.pop(staged.stage_path)
+        else:
+            drop(staged)
