@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -333,6 +334,29 @@ def test_article_without_chrome(spark):
     assert out == {1: expected, 2: expected, 3: "", 4: "", 5: "plain text"}
 
 
+def test_parts_of_a_story_stay():
+    def texts(page):
+        return [t for _, _, t in html_extract.blocks_of(page)[0]]
+
+    assert texts('<article><header><h1>Head</h1></header><p title="the hidden truth">A</p><p class="foot legal">B</p><div class="article-header">C</div></article>') == ["Head", "A", "B", "C"]
+    assert texts('<article><p hidden>no</p><p class="advert">no</p><div class="share">no</div><p>A <span hidden>no</span>b<button>no</button></article>') == ["A b"]
+    assert texts('<header><h1>Site</h1></header><div class="site-header">no</div><p>A') == ["A"]
+    assert texts('<p class="x>broken') == ["broken"] and texts('<p class="x>a</p><p>b') == ["a", "b"]
+    assert texts("<p data-a='>' b=\">\" c=d>1 < 2 & 3 <4>") == ["1 < 2 & 3 <4>"] and texts("<p") == [] and texts("a<!-- b") == ["a"]
+
+
+@pytest.mark.parametrize("page, n", [
+    ("<p a" + "=\"" * 500_000 + ">x", None), ("<p " + "\"" * 1_000_000, None), ("<div>" * 40_000 + "deep" + "</div>" * 40_000, 1),
+    ("<div>a" * 40_000, 40_000), ("<div>" * 20_000 + "</p></span>" * 20_000 + "a", 1), ("<" * 1_000_000, 1), ("<!--" * 250_000, 0), ("<p a=\"" * 150_000, None),
+])
+def test_long_and_hostile_pages_are_read_in_linear_time(page, n):
+    begin = time.process_time()
+    blocks, _ = html_extract.blocks_of(page)
+    html_extract.branches_of(blocks)
+    assert n is None or len(blocks) == n
+    assert time.process_time() - begin < 20
+
+
 def test_tree_drops_what_a_site_repeats(spark):
     rows = [(i, f"http://Site.example:80/{i}", f"<div class=top>Welcome to our site</div><div class=body><p>Story {i} of many</p><p>and {i * i} words</p></div>"
              f"<div class=low><p>All rights</p><p>Reserved</p></div>") for i in range(30)]

@@ -9,12 +9,14 @@ importance one, so a branch that never varies goes from five pages on. Pages of
 the article, if there is one) count as one page, so copies of an article do not make it boilerplate.
 
 Known roles are a prior: branches that HTML or their class and id name as navigation, header, footer, aside, form,
-notice, advert or comments go on every page; a page with an <article> or <main> keeps blocks of it only, and keeps
+notice, advert or comments go on every page. Inside an article its own header stays, words that may name a part
+of the story do not count, and paragraphs, headings and the like go only as adverts or comments. A page with an <article> or <main> keeps blocks of it only, and keeps
 all of them if each would go.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty
-line. Unclosed, misnested and cut-off markup is read as far as it goes. Null and empty html give empty text and
-so do pages whose branches all go. Null urls share one site. Repeated rows give equal rows.
+line. Unclosed, misnested and cut-off markup is read as far as it goes: a quoted value without its end quote ends
+with its tag. Pages are read in time proportional to their length. Elements nested deeper than `TREE_DEPTH` belong
+to the node above them. Null and empty html give empty text and so do pages whose branches all go. Null urls share one site. Repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,7 @@ from tickerloom.llm.staging import Stages
 LEAST_IMPORTANCE = 0.3
 #: Weight, in pages, of the assumption that a branch matters.
 PRIOR_PAGES = 2
+TREE_DEPTH = 64
 
 # Fixed values of HTML: elements without content, elements whose content is no text, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,35 +61,97 @@ MAIN = frozenset(["article", "main"])
 WHOLE = MAIN | {"body", "html"}
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Words that name parts of a story as well; inside an article they say nothing.
+AMBIGUOUS_WORDS = frozenset("header masthead foot legal side banner".split())
+#: Elements that hold text itself, and what names them as no part of the story inside an article.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote figcaption dt dd td th tr tbody thead table caption".split())
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion newsletter cookie cookies".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*([\"']?))?")
+_BARE = re.compile(r"[^\s>]*")
 _NAME_PART = re.compile(r"[a-z]+")
 # An open element that one of these start tags ends, as HTML has it.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption"}
 
 
-def _role(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is no main text by its tag, role, class or id; and its name in the tree."""
-    named = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-    label = f"{named.get('class', '')} {named.get('id', '')}".lower()
-    words = set(_NAME_PART.findall(label))
-    chrome = (
-        tag in CHROME or named.get("role", "").lower() in CHROME_ROLES or bool(words & (COMMENT_WORDS if tag in WHOLE else CHROME_WORDS))
-        or named.get("aria-hidden", "").lower() == "true" or bool(re.search(r"(?:^|\s)hidden(?:[\s=/]|$)", attributes))
-        or "display:none" in named.get("style", "").replace(" ", "").lower()
-    )
-    return chrome, f"{tag}.{'.'.join(sorted(set(named.get('class', '').lower().split())))}" if named.get("class") else tag
+class _Reader:
+    """Reads a page from left to right; no character is looked at more than a few times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()  # what the rest of the page does not hold any more
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` comes next, or -1; looked for once if it does not come again."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        found = self.find(what, at)
+        return len(self.page) if found < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """Attributes from behind a tag's name on, whether the tag closes itself, and where it ends."""
+        page, named = self.page, {}
+        while True:
+            found = _ATTRIBUTE.match(page, at)
+            if found is None:
+                end = self.after(">", at)
+                return named, page[at:end].rstrip(" \t\n>").endswith("/"), end
+            name, quote, at = found[1].lower(), found[2], found.end()
+            value = ""
+            if quote:
+                end = self.find(quote, at)
+                if end < 0:
+                    end = self.find(">", at)
+                    end = len(page) if end < 0 else end
+                    value, at = page[at:end], end
+                else:
+                    value, at = page[at:end], end + 1
+            elif quote is not None:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+            named.setdefault(name, html.unescape(value))
+
+
+def _hidden(named: dict[str, str]) -> bool:
+    return "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
+
+
+def _chrome(tag: str, named: dict[str, str], in_main: bool) -> bool:
+    """Whether an element is no main text by its tag, role, class or id."""
+    if _hidden(named) or named.get("role", "").lower() in CHROME_ROLES or (tag in CHROME and not (in_main and tag == "header")):
+        return True
+    words = set(_NAME_PART.findall(f"{named.get('class', '')} {named.get('id', '')}".lower()))
+    if tag in WHOLE:
+        return bool(words & COMMENT_WORDS)
+    if not in_main:
+        return bool(words & CHROME_WORDS)
+    return bool(words & (ADVERT_WORDS | COMMENT_WORDS if tag in TEXT else CHROME_WORDS - AMBIGUOUS_WORDS))
+
+
+def _node_name(tag: str, named: dict[str, str]) -> str:
+    """Tag and classes; long ones by their hash."""
+    classes = ".".join(sorted(set(named.get("class", "").lower().split())))
+    return f"{tag}.{classes if len(classes) <= 40 else _hash(classes)}" if classes else tag
 
 
 def blocks_of(page: str | None) -> tuple[list[tuple[str, bool, str]], bool]:
     """Blocks (path, in an article, text) in page order, without known chrome; whether the page has an article."""
     blocks: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, chrome, in an article
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, chrome, in an article, text unseen
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     where = ("", False, False)
     has_main = False
     page = page or ""
+    reader = _Reader(page)
 
     def flush() -> None:
         if parts:
@@ -94,46 +160,65 @@ def blocks_of(page: str | None) -> tuple[list[tuple[str, bool, str]], bool]:
             if text and not where[1]:
                 blocks.append((where[0], where[2], text))
 
-    def top() -> tuple[str, bool, bool]:
-        return stack[-1][1:] if stack else ("", False, False)
+    def close(tag: str) -> None:
+        while True:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == tag:
+                return
+
+    def say(text: str) -> None:
+        if text and not (stack and stack[-1][4]):
+            parts.append(text)
 
     at = 0
-    while True:
-        found = _MARKUP.search(page, at)
-        if found is None:
-            parts.append(page[at:])
+    while at < len(page):
+        begin = reader.find("<", at)
+        if begin < 0:
+            say(page[at:])
             break
-        if found.start() > at:
-            parts.append(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        say(page[at:begin])
+        found = _TAG.match(page, begin)
+        if found is None:
+            mark = page[begin : begin + 9]
+            if mark.startswith("<!--"):
+                at = reader.after("-->", begin + 4)
+            elif mark == "<![CDATA[":
+                at = reader.after("]]>", begin)
+            elif mark[1:2] in ("!", "?"):
+                at = reader.after(">", begin)
+            else:
+                say("<")
+                at = begin + 1
             continue
+        named, closes, at = reader.attributes(found.end())
+        tag = found[2].lower()
         if tag in BLOCK:
             flush()
         elif tag == "br":
-            parts.append(" ")
+            say(" ")
         if found[1]:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened[tag]:
+                close(tag)
         elif tag in OPAQUE:
-            if not (found[3] or "").rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else len(page)
+            if not closes:
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else len(page)
         elif tag not in VOID:
-            if tag in _ENDS_P and any(s[0] == "p" for s in stack):
-                while stack.pop()[0] != "p":
-                    pass
+            if tag in _ENDS_P and opened["p"]:
+                close("p")
             elif tag in _ENDS and stack and stack[-1][0] in _ENDS[tag]:
-                stack.pop()
-            path, chrome, in_main = top()
-            own, name = _role(tag, found[3] or "")
-            main = tag in MAIN or 'role="main"' in (found[3] or "")
+                close(stack[-1][0])
+            _, path, chrome, in_main, unseen = stack[-1] if stack else ("", "", False, False, False)
+            own = _chrome(tag, named, in_main)
+            main = tag in MAIN or named.get("role", "").lower() == "main"
             has_main |= main and not (chrome or own)
-            stack.append((tag, f"{path}/{name}", chrome or own, in_main or main))
+            deeper = f"{path}/{_node_name(tag, named)}" if len(stack) < TREE_DEPTH else path
+            unseen = unseen or (tag not in BLOCK and (_hidden(named) or tag in CHROME))
+            stack.append((tag, deeper, chrome or own, in_main or main, unseen))
+            opened[tag] += 1
         if tag in BLOCK:
-            where = top()
+            where = stack[-1][1:4] if stack else ("", False, False)
     flush()
     return blocks, has_main
 
@@ -188,7 +273,7 @@ def importance(nodes: DataFrame, stages: Stages) -> DataFrame:
     Texts of a node on a page are one value, so are the paths of its blocks; their entropy over the pages comes
     from counts of values, which are combined before the exchange.
     """
-    distinct = nodes.select("_site", "own", "branches").groupBy("_site", "own").agg(F.first("branches").alias("branches"))
+    distinct = nodes.select("_site", "own", "branches").groupBy("_site", "own").agg(F.min("branches").alias("branches"))
     on_page = stages.put(distinct.select("_site", F.explode("branches").alias("b")).select("_site", "b.node", "b.content", "b.layout"))
 
     def entropy(value: str) -> DataFrame:
