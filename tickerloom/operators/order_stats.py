@@ -13,8 +13,8 @@ with the rest of the job.
 
 Quantiles need no order of all values. One read of the input makes a mergeable sketch per group (the built-in
 `percentile_approx`, whose rank error is bounded), out of which each wanted position gets a bracket of values that
-holds it. The second read counts what lies between brackets and tallies the values inside them, about an
-800th of a group each. The brackets are written down first, so every task of the second read has the same.
+holds it. The second read counts what lies between brackets and tallies the values inside them, about a
+200th of a group each. The brackets are written down first, so every task of the second read has the same.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ RANGES_PER_PARTITION = 4
 LEAST_RANGES = 256
 CELLS_PER_RANGE = 16
 #: Positions at which a sketch is read, and the inverse of its rank error.
-SKETCH_POINTS = 2048
-SKETCH_ACCURACY = 8192
+SKETCH_POINTS = 512
+SKETCH_ACCURACY = 4096
 
 
 def range_number(spark: SparkSession) -> int:
