@@ -164,3 +164,17 @@ def test_fold_check_takes_time_in_proportion(spark):
     short, _ = checked(3_650)
     long, out = checked(36_500)
     assert all(out.values()) and long < 20 * max(short, 1.0)
+
+
+def test_only_rows_that_a_decision_sees_enter_the_merge(spark):
+    days = [None, None, *(D(2020, 1, 1) + dt.timedelta(days=i) for i in range(100))]
+    dated = spark.createDataFrame([(s, d, float(i)) for s in (" a", "B") for i, d in enumerate(days)], "symbol string, date date, v double")
+    decisions = spark.createDataFrame([("A", D(2020, 1, 31)), ("B", D(2020, 3, 31)), ("B", D(2020, 1, 31)), ("B", D(2019, 6, 30))], "symbol string, as_of date")
+    kept = asof._dated(dated, "state", ["date", "v"], decisions)
+    wanted = [None, D(2020, 1, 31), D(2020, 3, 31), D(2020, 4, 9)]
+    assert [(r["symbol"], r["at"], r["state"]["date"]) for r in kept.orderBy("symbol", "at").collect()] == [(s, d, d) for s in "AB" for d in wanted]
+    everything = dated.select(F.upper(F.trim("symbol")).alias("symbol"), F.col("date").alias("at"), F.struct("date", "v").alias("state"))
+    asked = decisions.select("symbol", F.col("as_of").alias("at"))
+    # Which of two rows without a day comes last is not defined.
+    of = lambda part: [(r["symbol"], r["at"], r["state"] and r["state"]["date"]) for r in merge_states(asked, [part]).orderBy("symbol", "at").collect()]
+    assert of(kept) == of(everything)

@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickerloom.operators.keys import keyed
 
-def merge_states(asked: DataFrame, parts: Sequence[DataFrame], highest: Sequence[str] = ()) -> DataFrame:
+
+def merge_states(asked: DataFrame, parts: Sequence[DataFrame], highest: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """``symbol, at`` of every day in ``asked`` with each state of ``parts`` as of that day.
 
     Every part has ``symbol, at`` and state columns. A state is the last one set on or before the day, or the greatest
-    so far where it is named in ``highest``. Days asked for twice have one row; what was never set is null.
+    so far where it is named in ``highest``. Days asked for twice have one row; what was never set is null. ``tasks``
+    fixes the number of tasks, where the caller knows how many rows there are.
     """
     states = [c for p in parts for c in p.columns if c not in ("symbol", "at")]
     rows = asked.select("symbol", "at", F.lit(True).alias("_asked"))
     for part in parts:
         rows = rows.unionByName(part, allowMissingColumns=True)
+    rows = keyed(rows, tasks)
     order = ["at", F.col("_asked").asc_nulls_first()]
     in_order = W.partitionBy("symbol").orderBy(*order)
     so_far = in_order.rowsBetween(W.unboundedPreceding, 0)
