@@ -120,3 +120,12 @@ def test_repeated_days_fail(spark):
     df = series(spark, range(1, 30))
     with pytest.raises(Exception, match="duplicate symbol/date keys: A"):
         ind.add_momentum(df.unionByName(df)).collect()
+
+
+def test_indicators_order_rows_once_and_again_for_each_recurrence(spark):
+    bars = series(spark, range(1, 60))
+    plan = ind.add_all(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [symbol") == 3
+    one_by_one = ind.add_momentum(ind.add_risk(ind.add_rsi(ind.add_ema(ind.add_simple_averages(ind.add_returns(bars))))))
+    assert ind.add_all(bars).columns == one_by_one.columns
+    assert ind.add_all(bars).orderBy("date").collect() == one_by_one.orderBy("date").collect()
