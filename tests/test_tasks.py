@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.operators import market, merge
-from tickerloom.plans import chains
+from tickerloom.operators import filings, market, merge
+from tickerloom.plans import chains, tables
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +37,19 @@ def test_a_merge_takes_the_tasks_it_is_given(spark):
     part = asked.select("symbol", F.lit(dt.date(2020, 1, 1)).alias("at"), F.lit(1).alias("state"))
     states = merge.merge_states(asked, [part], tasks=40)
     assert states.where("state = 1").count() == 400 and most_in_a_task(states) <= 60
+
+
+def test_shipments_and_facts_of_a_task_are_bounded(spark, folder, monkeypatch):
+    monkeypatch.setattr(tables, "SHIPMENTS_PER_TASK", 30, raising=False)
+    monkeypatch.setattr(chains, "BARS_PER_TASK", 30, raising=False)
+    bars = tables.bars(spark, folder)
+    assert bars.count() == 1200 and most_in_a_task(bars) <= 100
+    facts = chains.facts(spark, folder)
+    assert chains.keyed_facts(spark, folder).count() == facts.count() and most_in_a_task(chains.keyed_facts(spark, folder)) < facts.count() / 4
+
+
+def test_a_snapshot_compares_a_fact_once(spark, folder):
+    plan = filings.fundamentals_snapshot(chains.facts(spark, folder).repartition(4, "symbol"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    first = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+    assert first.count("partial_max_by(") == 1
