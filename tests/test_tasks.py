@@ -53,3 +53,25 @@ def test_a_snapshot_compares_a_fact_once(spark, folder):
     assert plan.count("Exchange") == 1
     first = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
     assert first.count("partial_max_by(") == 1
+
+
+def test_facts_read_shipments_once(spark, folder):
+    plan = tables.facts(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_year_to_date_adds_up_the_quarters_there_are(spark, tmp_path):
+    day = dt.datetime
+    rows = [
+        (1, day(2001, 1, 5), 1.0, 100.0, 0.0), (1, day(2001, 2, 5), 1.0, 10.0, 0.5), (1, day(2001, 8, 5), 1.0, 1000.0, 0.0),
+        (1, day(2001, 12, 31), 1.0, 5.0, None), (1, day(2002, 5, 1), 1.0, 7.0, 0.0), (2, day(2001, 11, 1), 1.0, 3.0, 0.0),
+        (None, day(2001, 4, 1), 1.0, 9.0, 0.0), (1, None, 1.0, 11.0, 0.0),
+    ]
+    kind = "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = tables.facts(spark, str(tmp_path)).where("seq = 2").collect()
+    assert {(r.symbol, r.period_end, r.val) for r in found} == {
+        ("S0000000001", dt.date(2001, 9, 30), 1105.0), ("S0000000001", dt.date(2001, 12, 31), 1105.0),
+        ("S0000000001", dt.date(2002, 6, 30), 7.0), ("S0000000002", dt.date(2001, 12, 31), 3.0), (None, dt.date(2001, 6, 30), 9.0),
+    }
+    assert len(found) == 5 and all(r.frame is None and r.tag == "Revenues" and r.period_start == dt.date(r.period_end.year, 1, 1) for r in found)
