@@ -129,3 +129,22 @@ def test_indicators_order_rows_once_and_again_for_each_recurrence(spark):
     one_by_one = ind.add_momentum(ind.add_risk(ind.add_rsi(ind.add_ema(ind.add_simple_averages(ind.add_returns(bars))))))
     assert ind.add_all(bars).columns == one_by_one.columns
     assert ind.add_all(bars).orderBy("date").collect() == one_by_one.orderBy("date").collect()
+
+
+@pytest.mark.parametrize("windows", [(20, 50), (3, 7), (4,)])
+def test_averages_add_a_price_once_a_block(spark, windows):
+    rng = np.random.default_rng(11)
+    values = list(rng.uniform(50, 150, 160))
+    for i in (5, 6, 90, 131):
+        values[i] = None
+    values[40] = 1e12  # leaves no trace once it is out of the window
+    out = ind.add_simple_averages(series(spark, values), windows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"RowFrame, -{max(windows) - 1}, currentrow" not in plan or len(windows) == 1
+    for n in windows:
+        got, seen = column(out, f"sma_{n}"), pd.Series(values, dtype=float)
+        for i in range(len(values)):
+            part = seen[max(0, i - n + 1) : i + 1]
+            want = None if len(part) < n or part.isna().any() else part.mean()
+            assert got[i] == (want if want is None else pytest.approx(want, rel=1e-12))
+    assert out.columns == ["symbol", "date", "close", *[f"sma_{n}" for n in windows]]
