@@ -1,7 +1,9 @@
 """Windows over the bars of symbols: a task holds a bounded number of bars however many there are."""
 
 import datetime as dt
+import pathlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,13 @@ def test_year_to_date_adds_up_the_quarters_there_are(spark, tmp_path):
         ("S0000000001", dt.date(2002, 6, 30), 7.0), ("S0000000002", dt.date(2001, 12, 31), 3.0), (None, dt.date(2001, 6, 30), 9.0),
     }
     assert len(found) == 5 and all(r.frame is None and r.tag == "Revenues" and r.period_start == dt.date(r.period_end.year, 1, 1) for r in found)
+
+
+def test_indicators_are_staged_without_a_dictionary(spark, folder):
+    staged = chains.features(spark, folder)
+    parts = [str(x) for x in pathlib.Path(staged.stage_path.removeprefix("file:")).glob("*.parquet")]
+    group = next(f.metadata.row_group(0) for f in map(pq.ParquetFile, parts) if f.metadata.num_row_groups)
+    encodings = {(c := group.column(i)).path_in_schema: c.encodings for i in range(group.num_columns)}
+    plain = [c for c in encodings if not any("DICTIONARY" in e for e in encodings[c])]
+    assert {"simple_return", "rsi_14", "drawdown", "momentum_21d"} <= set(plain) and "symbol" not in plain
+    assert set(chains.MEASURED) <= set(staged.columns)
