@@ -122,6 +122,16 @@ def test_repeated_days_fail(spark):
         ind.add_momentum(df.unionByName(df)).collect()
 
 
+def test_momentum_looks_up_the_day_and_the_number_of_a_row_once(spark):
+    out = ind.add_momentum(series(spark, [10, 11, None, 12, 15]), (1, 3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") == 1 and plan.count("lag(date") == 1 and plan.count("Window [") == 1
+    assert column(out, "momentum_1d") == [None, pytest.approx(0.1), None, None, pytest.approx(0.25)]
+    assert column(out, "momentum_3d") == [None, None, None, pytest.approx(0.2), pytest.approx(15 / 11 - 1)]
+    assert column(out, "momentum_3d_n_obs") == [0, 1, 2, 3, 3]
+    assert out.columns == ["symbol", "date", "close", "momentum_1d", "momentum_1d_n_obs", "momentum_3d", "momentum_3d_n_obs"]
+
+
 def test_indicators_order_rows_once_and_again_for_each_recurrence(spark):
     bars = series(spark, range(1, 60))
     plan = ind.add_all(bars)._jdf.queryExecution().executedPlan().toString()
