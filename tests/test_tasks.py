@@ -62,6 +62,18 @@ def test_facts_read_shipments_once(spark, folder):
     assert plan.count("FileScan") == 1
 
 
+def test_facts_put_the_texts_of_a_quarter_together_once(spark, tmp_path):
+    rows = [(1, dt.datetime(2001, 11, 5), 1.0, 100.0, 0.0)] * 30 + [(1, None, 1.0, 11.0, 0.0)]
+    kind = "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    facts = tables.facts(spark, str(tmp_path))
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("concat(CY") == 1
+    found = {(r.tag, r.frame, r.form, r.filed) for r in facts.where("seq < 2").collect()}
+    late, filed = dt.date(2003, 2, 14), dt.date(2002, 2, 14)
+    assert found >= {("Revenues", "CY2001Q4", "10-K", filed), ("Assets", "CY2001Q4I", "10-K", filed), ("Revenues", "CY2001Q4", "10-K", late)}
+    assert {r[1:] for r in found if "null" in r[1]} == {("CYnullQnull", "10-Q", None), ("CYnullQnullI", "10-Q", None)}
+
+
 def test_year_to_date_adds_up_the_quarters_there_are(spark, tmp_path):
     day = dt.datetime
     rows = [
