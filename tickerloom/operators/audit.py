@@ -45,11 +45,23 @@ def assert_no_lookahead(audit: DataFrame) -> None:
 
 
 def prefix_invariance(full: DataFrame, prefix: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of the prefix whose features differ, bit for bit, from the same rows of the full run."""
-    a = prefix.select("symbol", "date", *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = full.select("symbol", "date", *[F.col(c).alias(f"b_{c}") for c in columns])
-    differs = [F.count_if(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(f"{c}_changed") for c in columns]
-    return a.join(b, ["symbol", "date"], "left").agg(F.count(F.lit(1)).alias("rows_compared"), *differs)
+    """Rows of the prefix whose features differ, bit for bit, from the same rows of the full run.
+
+    A symbol's rows of both runs, which the calendar bounds, meet in one row and are then grouped by day: where the runs are
+    dealt out by symbol already, as windows leave them, neither is exchanged again. A join on symbol and day would exchange
+    both. A row without a symbol or a day has no row to agree with.
+    """
+    keys, row = ["symbol", "date"], F.struct("date", F.struct(*columns).alias("row"))
+    ran = prefix.groupBy("symbol").agg(F.collect_list(row).alias("a"))
+    held = ran.join(full.dropna(subset=keys).groupBy("symbol").agg(F.collect_list(row).alias("b")), "symbol", "left")
+    # An array past its end is null, and so is the field of a null: each row keeps its own side only.
+    a = F.transform("a", lambda x: F.struct(x["date"].alias("date"), x["row"].alias("a"), F.get("b", F.lit(-1))["row"].alias("b")))
+    b = F.transform("b", lambda x: F.struct(x["date"].alias("date"), F.get("a", F.lit(-1))["row"].alias("a"), x["row"].alias("b")))
+    days = held.select("symbol", F.explode(F.array(a, b)).alias("side")).select("symbol", F.inline("side")).groupBy(*keys)
+    pairs = days.agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).select(F.explode("a").alias("a"), "b")
+    pairs = pairs.select("a", F.explode_outer("b").alias("b"))
+    differs = [F.count_if(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"{c}_changed") for c in columns]
+    return pairs.agg(F.count(F.lit(1)).alias("rows_compared"), *differs)
 
 
 def _same(stored: str, value: str, rtol: float, atol: float) -> str:
