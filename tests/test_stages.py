@@ -3,6 +3,7 @@
 import datetime as dt
 import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickerloom import stage as stages
@@ -62,3 +63,33 @@ def test_prefix_rows_pair_as_a_left_join_does(spark):
         ], kind,
     )
     assert audit.prefix_invariance(full, cut, ["x", "y"]).first().asDict() == {"rows_compared": 10, "x_changed": 6, "y_changed": 5}
+
+
+def test_recomputing_exchanges_a_bar_once_at_most(spark):
+    plain = stages.stage(indicators.add_all(bars(spark, 4, 90)), "plain")
+    passed = {(r.symbol, r.indicator) for r in audit.independent_recompute(plain).where("passed").collect()}
+    assert passed == {(f"S{s}", i) for s in range(4) for i in audit.INDICATORS}
+    assert len(exchanges(audit.independent_recompute(plain))) == 1
+    assert not exchanges(audit.independent_recompute(stages.stage(plain.repartition(3, "symbol"), "bucketed", buckets=3)))
+
+
+@pytest.mark.parametrize("day", [DAY(2020, 1, 3), None])
+def test_recomputing_refuses_a_repeated_or_missing_day(spark, day):
+    f = stages.stage(indicators.add_all(bars(spark, 2, 30)), "features")
+    spoiled = f.unionByName(f.where("date = '2020-01-03'").withColumn("date", F.lit(day).cast("date")))
+    with pytest.raises(Exception, match="duplicate symbol/date"):
+        audit.independent_recompute(spoiled).collect()
+
+
+def test_recomputing_windows_keep_gaps_and_outliers_apart(spark):
+    """A missing close empties its windows only, and a price beyond all others leaves no trace once it is out."""
+    gap = F.when((F.col("symbol") == "S0") & (F.col("date") == "2020-02-10"), None)
+    closes = gap.when((F.col("symbol") == "S1") & (F.col("date") == "2020-02-10"), 1e15).when(F.col("symbol") != "S2", F.col("close")).otherwise(5.0)
+    f = stages.stage(indicators.add_all(bars(spark, 3, 150).withColumn("close", closes)), "features")
+    listed = ["sma_20", "sma_50", "volatility_20d_annualized"]
+    checked = audit.independent_recompute(f).where(F.col("indicator").isin(listed))
+    assert {(r.symbol, r.indicator) for r in checked.where("passed").collect()} == {(f"S{s}", i) for s in range(3) for i in listed}
+    for c in listed:
+        off = f.withColumn(c, F.when((F.col("symbol") == "S0") & (F.col("date") == "2020-05-20"), F.col(c) + 1e-6).otherwise(F.col(c)))
+        found = {(r.symbol, r.indicator) for r in audit.independent_recompute(off).where(F.col("indicator").isin(listed) & ~F.col("passed")).collect()}
+        assert found == {("S0", c)}

@@ -84,44 +84,49 @@ def _checked_fold(start: dict[str, str], step: dict[str, str], value: str, store
     )
 
 
-def _last(values: str, n: int, worth: Callable[[str], str]) -> str:
-    """``worth`` of the array of the last ``n`` values up to each index; null before there are n."""
-    return f"transform({values}, (x, i) -> CASE WHEN i >= {n - 1} THEN {worth(f'slice({values}, i - {n - 2}, {n})')} END)"
+def _joined(values: str, parts: Sequence[tuple[str, int]]) -> str:
+    """The sum of ``values`` up to each index and of those that each array of ``parts`` holds so many places before it; null
+    where one is missing or lies before the start."""
+    return f"transform({values}, (x, i) -> x" + "".join(f" + get({of}, i - {back})" for of, back in parts) + ")"
 
 
-def _total(values: str) -> str:
-    return f"aggregate({values}, 0D, (a, b) -> a + b)"
+def _spread(squares: str, sums: str, n: int) -> str:
+    """Squared deviations from the mean of the last ``2 n`` values, out of those of both halves and of their sums."""
+    return f"transform({squares}, (x, i) -> x + get({squares}, i - {n}) + pow(get({sums}, i) - get({sums}, i - {n}), 2) / {2 * n})"
 
 
 def independent_recompute(features: DataFrame, rtol: float = 1e-10, atol: float = 1e-12) -> DataFrame:
     """``symbol, indicator, passed, max_abs_error``: nine indicators worked out again from their definitions.
 
     A symbol's closes are one array in order of days, which the calendar bounds: a repeated day fails the job.
-    Averages and deviations come from slices of the array, recurrences from folds over it whose state does not grow, so
-    the time is proportional to the days and nothing is shared with the window expressions under test. A missing close
+    Averages and deviations of a window are put together from those of its halves, recurrences are folds whose state does not
+    grow, so the time is proportional to the days and nothing is shared with the window expressions under test. A missing close
     ends the RSI; the average of prices discounts what it skips; a window with one in it has no value.
     """
     fields = ", ".join(["date", "close", *INDICATORS])
-    bars = features.groupBy("symbol").agg(
-        F.expr(f"array_sort(collect_list(struct({fields})))").alias("bars"),
-        F.when(F.count(F.lit(1)) > F.count_distinct("date"), F.raise_error(F.lit("features contain duplicate symbol/date keys")).cast("boolean")).alias("_single"),
-    )
-    df = bars.where(F.col("_single").isNull()).select("symbol", "bars", F.expr("transform(bars, b -> cast(b.close AS double))").alias("c"))
+    # Days are counted in the sorted array: a distinct count beside the list would exchange every bar twice.
+    bars = features.groupBy("symbol").agg(F.expr(f"array_sort(collect_list(struct({fields})))").alias("bars"))
+    once = F.expr("forall(bars, b -> b.date IS NOT NULL) AND size(array_distinct(transform(bars, b -> b.date))) = size(bars)")
+    again = F.raise_error(F.lit("features contain duplicate symbol/date keys")).cast("boolean")
+    df = bars.where(F.when(once, True).otherwise(again)).select("symbol", "bars", F.expr("transform(bars, b -> cast(b.close AS double))").alias("c"))
     df = df.select(
         "*",
         F.expr("transform(c, (x, i) -> try_divide(x, get(c, i - 1)) - 1)").alias("simple_return"),
         F.expr("transform(c, (x, i) -> ln(x) - ln(get(c, i - 1)))").alias("log_return"),
     )
 
-    def deviation(w: str) -> str:
-        squares = f"transform({w}, y -> pow(y - {_total(w)} / 20, 2))"
-        return f"sqrt({_total(squares)} / 19 * 252)"
-
+    # The last 2, 4, 8 .. values are two halves put together: a window of n costs a few steps, not n.
+    for n in (1, 2, 4, 8, 16):
+        halves = {of: _joined(f"{of}{n}" if n > 1 else column, [(f"{of}{n}" if n > 1 else column, n)]) for of, column in (("c", "c"), ("r", "log_return"))}
+        squares = "transform(log_return, (x, i) -> pow(x - get(log_return, i - 1), 2) / 2)" if n == 1 else _spread(f"q{n}", f"r{n}", n)
+        kept = {f"{of}{2 * n}": e for of, e in halves.items() if of == "c" or n < 16} | ({f"q{2 * n}": squares} if n < 16 else {})
+        df = df.select("*", *[F.expr(e).alias(name) for name, e in kept.items()])
+    parts = "pow(get(r16, i) / 16 - get(r4, i - 16) / 4, 2) * 16 * 4 / 20"
     df = df.select(
         "*",
-        F.expr(_last("c", 20, lambda w: f"{_total(w)} / 20")).alias("sma_20"),
-        F.expr(_last("c", 50, lambda w: f"{_total(w)} / 50")).alias("sma_50"),
-        F.expr(_last("log_return", 20, deviation)).alias("volatility_20d_annualized"),
+        F.expr(f"transform({_joined('c16', [('c4', 16)])}, x -> x / 20)").alias("sma_20"),
+        F.expr(f"transform({_joined('c32', [('c16', 32), ('c2', 48)])}, x -> x / 50)").alias("sma_50"),
+        F.expr(f"transform(q16, (x, i) -> sqrt((x + get(q4, i - 16) + {parts}) / 19 * 252))").alias("volatility_20d_annualized"),
     )
     nothing, close = "cast(NULL AS double)", "cast(x.close AS double)"
     keep = "pow(19D / 21, s.skipped + 1)"
