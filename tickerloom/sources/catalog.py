@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.constants import DEFAULT_BENCHMARK, DEFAULT_UNIVERSE
 from tickerloom.operators.statistics import listed_in_blocks
-from tickerloom.sources.prices import price_lines
+from tickerloom.sources.prices import price_lines, price_texts
 
 
 def universe_table(
@@ -129,19 +129,20 @@ def file_manifest(spark: SparkSession, path: str, pattern: str = "*.csv") -> Dat
     A file that is empty, lacks a column or holds rows that are not of their type is a row with its reason, not an end to
     the job; the other files stay usable (see ``prices.read_price_folder``).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    # Readers pass over files of no bytes, so names come from the listing that the reader holds anyway.
-    # One way to write a local path; the listing and the readers have two.
+    texts = price_texts(spark, path, pattern)
+    # Readers pass over files of no bytes, so names come from the listing that the reader holds anyway. It stays in the JVM.
+    jvm = spark.sparkContext._jvm
+    names = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(texts._jdf.inputFiles())
+    found = spark._jsparkSession.createDataset(names, jvm.org.apache.spark.sql.Encoders.STRING())
+    # One way to write a local path; the listing and the reader have two.
     local = r"^file:/+"
-    names = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").withColumn("path", F.regexp_replace("path", local, "file:/"))
-    sizes = files.select(F.regexp_replace("_metadata.file_path", local, "file:/").alias("path"), F.col("length").alias("bytes"))
-    listed = names.join(sizes, "path", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long")))
-    headers, rows = (df.withColumn("path", F.regexp_replace("path", local, "file:/")) for df in price_lines(spark, path, pattern))
+    listed = DataFrame(found.toDF(), spark).select(F.regexp_replace("value", local, "file:/").alias("path"))
+    headers, rows = (df.withColumn("path", F.regexp_replace("path", local, "file:/")) for df in price_lines(texts))
     counted = rows.groupBy("path").agg(
         F.count(F.lit(1)).alias("_lines"), F.count("problem").alias("failed_rows"), F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("line"))).alias("_first"),
         F.min(F.when(F.col("problem").isNull(), F.col("date"))).alias("first_date"), F.max(F.when(F.col("problem").isNull(), F.col("date"))).alias("last_date"),
     )
-    df = listed.join(headers.select("path", "missing"), "path", "left").join(counted, "path", "left")
+    df = listed.join(headers.select("path", "bytes", "missing"), "path", "left").join(counted, "path", "left")
     failed = F.coalesce("failed_rows", F.lit(0).cast("long"))
     note = (
         F.when(F.col("missing").isNull(), "empty file")
@@ -151,6 +152,6 @@ def file_manifest(spark: SparkSession, path: str, pattern: str = "*.csv") -> Dat
         .otherwise("")
     )
     return df.select(
-        "path", "bytes", (note == "").alias("success"), (F.coalesce("_lines", F.lit(0).cast("long")) - failed).alias("rows"),
+        "path", F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), (note == "").alias("success"), (F.coalesce("_lines", F.lit(0).cast("long")) - failed).alias("rows"),
         failed.alias("failed_rows"), "first_date", "last_date", note.alias("note"),
     )

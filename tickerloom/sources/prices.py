@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tickerloom.constants import OHLC, PRICE_COLUMNS
 from tickerloom.functions.scalars import finite, strict_trading_date, trading_date
 from tickerloom.operators.keys import DataQualityError
+from tickerloom.stage import stage
 
 NUMBERS = [*OHLC, "adjusted_close", "volume"]
 _SERIES_KEY = "Time Series (Daily)"
@@ -39,43 +40,64 @@ def read_price_files(spark: SparkSession, path: str) -> DataFrame:
     return typed_prices(rows)
 
 
-def price_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """The headers and the rows of a folder of CSV files, whatever is in them.
+def price_texts(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """The lines of a folder of CSV files; the listing of the reader names every file, those of no bytes too."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
 
-    Headers: ``path, header, missing`` (columns that a price file must have and this one lacks); a file of no line is not
-    there. Rows of complete files: ``path, line, problem`` and the price columns, found by the file's own header;
-    ``problem`` names the first column whose text is not of its type.
+
+def _cells(line: Column) -> Column:
+    return F.from_csv(line, ", ".join(f"c{i} string" for i in range(_MOST_COLUMNS)))
+
+
+def _listed(cells: str) -> Column:
+    return F.array(*[F.col(f"{cells}.c{i}") for i in range(_MOST_COLUMNS)])
+
+
+def price_lines(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The headers and the rows of ``price_texts``, whatever is in them.
+
+    Headers: ``path, bytes, header, missing`` (columns that a price file must have and this one lacks); a file of no line is
+    not there. They are read first and staged, so Spark can send them to the lines where their size allows. Rows of complete
+    files: ``path, line, problem`` and the price columns, found by the file's own header; ``problem`` names the first column
+    whose text is not of its type.
     """
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
     # Lines of a file are in order of the part that holds them and of their place in it.
     lines = text.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_begin"),
         F.monotonically_increasing_id().alias("line"), F.col("value"),
     )
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(_MOST_COLUMNS)))
-    split = lines.select("path", "_begin", "line", "value", F.array(*[cells[f"c{i}"] for i in range(_MOST_COLUMNS)]).alias("cells"))
-    first = split.groupBy("path").agg(F.min_by(F.struct("value", "cells"), F.struct("_begin", "line")).alias("h"))
+    sized = lines.withColumn("bytes", F.col("_metadata.file_size"))
+    first = sized.groupBy("path").agg(F.max("bytes").alias("bytes"), F.min_by("value", F.struct("_begin", "line")).alias("_text"))
     wanted = F.array(*[F.lit(c) for c in PRICE_COLUMNS])
-    headers = first.select("path", F.col("h.value").alias("_text"), F.transform("h.cells", F.trim).alias("header")).withColumn(
-        "missing", F.array_except(wanted, F.col("header"))
+    named = first.withColumn("_cells", _cells(F.col("_text"))).select("path", "bytes", "_text", F.transform(_listed("_cells"), F.trim).alias("header"))
+    headers = stage(
+        named.withColumns({
+            "missing": F.array_except(wanted, F.col("header")),
+            "_at": F.transform(wanted, lambda c: F.array_position("header", c).cast("int") - 1),
+            "_width": F.coalesce(F.array_max(F.transform("header", lambda c, i: F.when(c.isNotNull(), i + 1))), F.lit(0)),
+        }), "price-headers",
     )
-    rows = split.join(headers, "path").where((F.size("missing") == 0) & (F.col("value") != F.col("_text")) & (F.trim("value") != ""))
-
-    def cell(name: str) -> Column:
-        return F.nullif(F.trim(F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1)), F.lit(""))
-
-    typed = {c: cell(c).try_cast("double") for c in NUMBERS} | {"date": cell("date").try_cast("date"), "symbol": cell("symbol"), "provider": cell("provider")}
-    faults = [F.when(cell("date").isNull() | typed["date"].isNull(), "date"), F.when(typed["symbol"].isNull(), "symbol")]
-    faults += [F.when(cell(c).isNotNull() & typed[c].isNull(), c) for c in NUMBERS]
-    return headers.drop("_text"), rows.select(
-        "path", "line", F.coalesce(*faults).alias("problem"),
-        *[(finite(typed[c]) if c in NUMBERS else typed[c]).alias(c) for c in PRICE_COLUMNS],
+    complete = headers.where(F.size("missing") == 0).select("path", "_text", "_at", "_width")
+    kept = lines.join(complete, "path").where((F.col("value") != F.col("_text")) & (F.trim("value") != ""))
+    # A line with fewer cells than the schema is an exception to the parser, each time. A quote might stay open.
+    full = F.concat("value", F.repeat(F.lit(","), F.lit(_MOST_COLUMNS) - F.col("_width")))
+    parsed = kept.withColumn("_cells", _cells(F.when(F.contains("value", F.lit('"')), F.col("value")).otherwise(full)))
+    split = parsed.select("path", "line", "_at", _listed("_cells").alias("_cells"))
+    texts = split.select("path", "line", *[F.nullif(F.trim(F.get("_cells", F.get("_at", F.lit(i)))), F.lit("")).alias(c) for i, c in enumerate(PRICE_COLUMNS)])
+    typed = texts.select(
+        "*", *[F.col(c).try_cast("double").alias(f"_{c}") for c in NUMBERS], F.col("date").try_cast("date").alias("_date")
+    )
+    faults = [F.when(F.col("_date").isNull(), "date"), F.when(F.col("symbol").isNull(), "symbol")]
+    faults += [F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), c) for c in NUMBERS]
+    shown = {c: finite(F.col(f"_{c}")) for c in NUMBERS} | {"date": F.col("_date"), "symbol": F.col("symbol"), "provider": F.col("provider")}
+    return headers.select("path", "bytes", "header", "missing"), typed.select(
+        "path", "line", F.coalesce(*faults).alias("problem"), *[shown[c].alias(c) for c in PRICE_COLUMNS]
     )
 
 
 def read_price_folder(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """The usable rows of a folder of CSV files; ``catalog.file_manifest`` says what was left out and why."""
-    _, rows = price_lines(spark, path, pattern)
+    _, rows = price_lines(price_texts(spark, path, pattern))
     return rows.where(F.col("problem").isNull()).select(PRICE_COLUMNS)
 
 
