@@ -2,16 +2,22 @@
 
 import datetime as dt
 import pathlib
+import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickerloom import stage as stages
-from tickerloom.operators import audit, indicators
+from tickerloom.operators import audit, indicators, market
 
 DAY = dt.date
 
 
+def local_folders(spark):
+    return list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+
 def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
@@ -36,10 +42,19 @@ def test_a_bucketed_stage_is_read_without_an_exchange(spark):
     assert not pathlib.Path(staged.stage_path.removeprefix("file:")).exists() and not spark.catalog.tableExists(staged.stage_table)
 
 
-def test_a_stage_leaves_the_setting_as_it_was(spark):
-    before = spark.conf.get(stages._CLEANUP, None)
-    stages.drop(stages.stage(bars(spark).groupBy("symbol").count(), "plain"))
-    assert spark.conf.get(stages._CLEANUP, None) == before
+def test_a_stage_leaves_settings_as_they_were_and_no_exchange(spark):
+    before = {k: spark.conf.get(k, None) for k in stages.WRITTEN_WITH}
+    blocks = lambda: [x for d in local_folders(spark) for x in pathlib.Path(d).rglob("shuffle_*.data")]
+    there = set(blocks())
+    staged = stages.stage(bars(spark).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), "plain")
+    until = time.time() + 20  # files go a moment after the write
+    while set(blocks()) - there and time.time() < until:
+        time.sleep(0.1)
+    assert not set(blocks()) - there and staged.where("n = 8").count() == 20
+    assert {k: spark.conf.get(k, None) for k in stages.WRITTEN_WITH} == before
+    with pytest.raises(Exception, match="no more"):
+        stages.stage(spark.range(1).select(F.raise_error(F.lit("no more")).alias("x")), "failing")
+    assert {k: spark.conf.get(k, None) for k in stages.WRITTEN_WITH} == before
 
 
 def test_prefix_rows_meet_the_full_run_without_an_exchange(spark):
@@ -93,3 +108,39 @@ def test_recomputing_windows_keep_gaps_and_outliers_apart(spark):
         off = f.withColumn(c, F.when((F.col("symbol") == "S0") & (F.col("date") == "2020-05-20"), F.col(c) + 1e-6).otherwise(F.col(c)))
         found = {(r.symbol, r.indicator) for r in audit.independent_recompute(off).where(F.col("indicator").isin(listed) & ~F.col("passed")).collect()}
         assert found == {("S0", c)}
+
+
+def test_windows_of_beta_are_made_of_short_blocks():
+    for windows in ((60, 126, 252), (5,), (8, 12, 20), (7, 11, 100)):
+        blocks = market._blocks(windows)
+        for n in windows:
+            ends = [at for _, at in blocks[n]]
+            assert ends == sorted(ends) and [at + size for size, at in blocks[n]] == [*ends[1:], n] and ends[0] == 0
+    assert max(size for parts in market._blocks((60, 126, 252)).values() for size, _ in parts) == 18
+
+
+def test_beta_of_blocks_is_that_of_every_window(spark):
+    """Against sums over whole frames: gaps in either series, a flat benchmark, partial windows and what they count."""
+    rows = [
+        (s, DAY(2020, 1, 1) + dt.timedelta(days=d), None if d % 41 == 40 and s == "A" else (d * 7 % 13) / 100, None if d == 70 else (d * 5 % (1 if s == "C" else 11)) / 90)
+        for s in "ABC" for d in range(150)
+    ]
+    df = spark.createDataFrame(rows, "symbol string, date date, simple_return double, benchmark_simple_return double")
+    got = {(r.symbol, r.date): r for r in market.add_rolling_beta(df, (6, 20, 50)).collect()}
+    for s in "ABC":
+        mine = [r for r in rows if r[0] == s]
+        for i, (_, day, _, _) in enumerate(mine):
+            for n in (6, 20, 50):
+                held = mine[max(0, i - n + 1): i + 1]
+                pairs = [(y, x) for _, _, y, x in held if y is not None and x is not None]
+                xs = [x for *_, x in held if x is not None]
+                r = got[s, day]
+                assert r[f"beta_{n}_n_obs"] == len(pairs)
+                full = len(xs) == n
+                assert (r[f"benchmark_variance_{n}"] is not None) == full
+                if full:
+                    assert r[f"benchmark_variance_{n}"] == pytest.approx(statistics.variance(xs), abs=1e-12)
+                if len(pairs) == n and len(set(xs)) > 1:
+                    assert r[f"beta_{n}"] == pytest.approx(statistics.covariance([p[0] for p in pairs], xs) / statistics.variance(xs), abs=1e-9)
+                else:
+                    assert r[f"beta_{n}"] is None
