@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "1000")  # plans name whole paths, however long the temp folder
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stages")))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
